@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavetable.llm import decontam, langid, packing, simhash, tokencount, toxicity
+from wavetable.llm import chat, decontam, embdedup, html, langid, packing, simhash, tokencount, toxicity, warc
 from wavetable.llm.util import table
 
 
@@ -22,11 +23,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.round_trip(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,7 +49,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op4_packing, op6_token_counts, op7_language, op8_toxicity)}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.format_conversations(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "step", "pos", "call_id", "linked", "valid", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_packing, op5_warc, op6_token_counts, op7_language, op8_toxicity, op9_chat, op10_embedding_dedup)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -56,4 +75,36 @@ SELECT d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coale
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+OP10_SQL = """
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id u, b.vec_id w FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT u, u w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, min(w) component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT n_links, coalesce(component_id, vec_id)::BIGINT component_id, coalesce(component_id, vec_id) = vec_id kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id
+"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT payload_bytes, sha1(coalesce(html, '')) hex FROM pages WHERE page_id IS NOT NULL),
+g AS (SELECT page_id, payload_bytes, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT) five FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[(i // 4 + 1)::BIGINT] >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') payload_digest FROM g),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END record_type,
+       CASE WHEN first <> page_id THEN first END refers_to FROM f
+"""
+
+OP9_SQL = """
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT u.conv_id, u.turn pos, 'turn-' || u.turn call_id, u.text q, a.text r, a.turn IS NOT NULL linked,
+             row_number() OVER (PARTITION BY u.conv_id, (u.turn % 2) ORDER BY u.turn) - 1 n, (u.turn - min(u.turn) OVER (PARTITION BY u.conv_id, u.turn % 2)) // 2 k
+      FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+s AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, pos % 2, k - n ORDER BY pos) - 1)::BIGINT step FROM c)
+SELECT conv_id, step, pos, call_id, linked, q IS NOT NULL AND length(q) > 0 valid,
+       sha256('{"arguments":{' || coalesce('"text":' || to_json(q), '') || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(r)::VARCHAR, 'null') || ',"step":' || step || '}') json_sha256
+FROM s
+"""
+
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_chat": OP9_SQL, "op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}

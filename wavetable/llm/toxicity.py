@@ -32,8 +32,10 @@ SAMPLE = 12_000
 FOLDS = 5
 BUCKETS = 1 << 18
 PREFIXES = (5, 7)
-#: Training rows that a feature must occur in; strength of the penalty; steps of the optimiser.
-LEAST_ROWS, PENALTY, STEPS = 3, 1.0, 40
+#: Training rows that a feature must occur in, and standard errors between its rows' rate of the category and the rate of all.
+LEAST_ROWS, LEAST_ERRORS = 6, 5.0
+#: Strength of the penalty; steps of the optimiser.
+PENALTY, STEPS = 0.1, 40
 #: Words that one Python worker remembers.
 REMEMBERED = 1_000_000
 
@@ -47,14 +49,17 @@ def word_features(word: bytes) -> list[int]:
 def fit_logistic(owner: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:
     """Weights of the features, then of the columns of extra, then the intercept. owner, feature: one entry for each feature of a row."""
     n, k = len(y), extra.shape[1]
-    rows_with = np.bincount(feature, minlength=n_features)
-    live = np.flatnonzero(rows_with >= LEAST_ROWS)
+    once = np.unique(owner * n_features + feature)
+    rows_with, rate = np.bincount(once % n_features, minlength=n_features), y.mean()
+    error = np.sqrt(np.maximum(rows_with * rate * (1 - rate) * (1 - rows_with / n), 1e-9))
+    apart = np.abs(np.bincount(once % n_features, y[once // n_features], n_features) - rows_with * rate) / error
+    live = np.flatnonzero((rows_with >= LEAST_ROWS) & (apart >= LEAST_ERRORS))
     place = np.full(n_features, -1)
     place[live] = np.arange(len(live))
     used = place[feature] >= 0
     owner, col = owner[used], place[feature[used]]
     d = len(live)
-    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    rate = np.clip(rate, 1e-6, 1 - 1e-6)
     w = np.zeros(d + k + 1)
     w[-1] = np.log(rate / (1 - rate))
 
@@ -145,7 +150,7 @@ def _fit_folds(rows: DataFrame, category: str, earlier: list[str]) -> dict[int,
 def _log_odds(rows: DataFrame, category: str, earlier: list[str], models: dict[int, np.ndarray]) -> DataFrame:
     """rows with the out-of-fold log-odds of category as column z_<category>."""
     sent = rows.sparkSession.sparkContext.broadcast(models)
-    schema = rows.schema.add(f"z_{category}", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField(f"z_{category}", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
