@@ -1,6 +1,6 @@
-"""Registered queries and, where SQL can express them, the same in DuckDB's SQL."""
+"""All registered queries and, where SQL can express them, the same in DuckDB's SQL."""
 
-from __future__ import annotations
+from wavetable.plans import q_metrics  # noqa: F401
+from wavetable.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
