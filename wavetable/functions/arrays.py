@@ -23,7 +23,13 @@ def softmax(logits: Column, k: int, temperature: Column | float = 1.0) -> Column
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     x = items(logits, k)
     e = [F.exp((a - F.greatest(*x)) / t) for a in x]
-    return F.transform(F.array(*e), lambda a: a / total(e)) if k > 8 else F.array(*[a / total(e) for a in e])
+    return F.array(*[a / total(e) for a in e])
+
+
+def softmax_array(v: Column) -> Column:
+    """The same for an array of any width; for expressions that are long themselves, as it repeats v less often."""
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
 def argmax(v: Column) -> Column:
