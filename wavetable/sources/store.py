@@ -66,7 +66,7 @@ def channel_table(channels: DataFrame, data_columns: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, paths: str | list[str], classes: list[str]) -> DataFrame:
     """Prediction files, wide (logit_<class> or p_<class>), as rows with an array; run is the file's name."""
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:/part-[^/]*)?(?:\.parquet)?$", 1))
+    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.parquet)?(?:/part-[^/]*)?$", 1))
     for kind, name in (("logit", "logits"), ("p", "p")):
         own = [f"{kind}_{c}" for c in classes]
         if all(c in df.columns for c in own):
