@@ -106,10 +106,11 @@ class Counter:
 
     def count(self, text: bytes) -> int:
         known, chunks = self.chunks, text.split()
-        for c in {c for c in chunks if c not in known}:
-            if len(known) >= REMEMBERED:
-                self.chunks = known = {}
-                return self.count(text)
+        new = {c for c in chunks if c not in known}
+        if len(known) + len(new) > REMEMBERED:
+            self.chunks = known = {}
+            new = set(chunks)
+        for c in new:
             known[c] = self._chunk(c)
         n = sum(map(known.__getitem__, chunks))
         for c in [c for c in chunks if len(c) > LONGEST]:

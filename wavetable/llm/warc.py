@@ -126,7 +126,8 @@ def _runs(path: str, spark: SparkSession) -> DataFrame:
                     ts = re.sub(r"\D", "", fields["WARC-Date"])
                     rows.append((page, fields["WARC-Target-URI"], url_key(fields["WARC-Target-URI"]), ts, fields["WARC-Type"], refers, digest, size, archive, offset, length))
                 rows.sort(key=lambda r: (r[2], r[3], r[0]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return files.mapInArrow(run, CAPTURE)
