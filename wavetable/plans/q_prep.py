@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavetable.functions import labels as L
 from wavetable.operators import prep as B
+from wavetable.plans import build
 from wavetable.plans.registry import query, r
 from wavetable.sources import store
 from wavetable.sources import views as V
@@ -167,3 +168,32 @@ def source_listing(spark, sf):
     o = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("session"), (F.col("o_orderstatus") == "O").alias("has_lfp_data"))
     sizes = V.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("name")).agg(F.count("*").alias("size"))
     return store.sources(o, "1-URGENT", sizes).withColumn("size", F.coalesce("size", F.lit(0)))
+
+
+BUILT = f"""{S}, ac AS (SELECT *, ([{', '.join(repr(a) for a in ACRONYMS)}])[(channel % 60 + 1)::bigint] a FROM (SELECT DISTINCT channel FROM samples)), ch AS (SELECT channel, {SQL_REGION} AS region FROM ac),
+w AS (SELECT channel, sample_ix // {WIDTH} k, list(value ORDER BY sample_ix) v FROM samples WHERE sample_ix < {5 * WIDTH} GROUP BY 1, 2 HAVING count(*) = {WIDTH}),
+ok AS (SELECT channel, count(*) n FROM w WHERE list_max(v) > list_min(v) GROUP BY 1)"""
+
+
+def _recordings(spark, sf):
+    """Samples as blocks of seven, users as channels of four groups."""
+    s = V.samples(spark, sf).withColumn("grp", F.concat(F.lit("g"), F.col("channel") % 4))
+    blocks = s.groupBy("grp", "channel", (F.floor(F.col("sample_ix") / 7) * 7).alias("block_start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_ix", "value"))), lambda x: x["value"]).alias("samples"))
+    acronym = F.get(F.array(*[F.lit(a) for a in ACRONYMS]), (F.col("channel") % 60).cast("int"))
+    channels = s.select("grp", "channel").distinct().withColumn("acronym", acronym).withColumn("valid_data", F.col("channel") % 5 != 0)
+    return build.build_chunks(blocks, channels, 1.0, WIDTH, 0.0, 5, most_s=1e9)
+
+
+@query(f"{BUILT} SELECT concat('g', channel % 4) grp, region, count(*) n_channels, sum(n)::bigint n_chunks FROM ch JOIN ok USING (channel) WHERE region <> 'UNK' AND channel % 5 <> 0 GROUP BY 1, 2")
+def store_build(spark, sf):
+    return _recordings(spark, sf)[0].groupBy("grp", "region").agg(F.count_distinct("channel").alias("n_channels"), F.count("*").alias("n_chunks"))
+
+
+@query(f"{BUILT} SELECT concat('g', channel % 4) grp, channel, CASE WHEN region = 'UNK' THEN 'no region' WHEN channel % 5 = 0 THEN 'bad channel' ELSE 'no complete live window' END AS reason FROM ch LEFT JOIN ok USING (channel) WHERE region = 'UNK' OR channel % 5 = 0 OR n IS NULL")
+def store_ledger(spark, sf):
+    return _recordings(spark, sf)[1]
+
+
+@query(f"{C} SELECT scheme, count(*) n FROM (SELECT 'cross_session_all' scheme, grp FROM chunks GROUP BY ALL UNION ALL SELECT concat('cross_session_', dataset), grp FROM chunks GROUP BY ALL UNION ALL SELECT unnest(['cross_lab_labA_to_labB', 'cross_lab_labB_to_labA']), grp FROM (SELECT DISTINCT grp FROM chunks)) GROUP BY 1")
+def named_splits(spark, sf):
+    return build.named_splits(V.chunks(spark, sf)).groupBy("scheme").agg(F.count("*").alias("n"))
