@@ -41,7 +41,7 @@ def fit_temperature(df: DataFrame, keys: list[str], k: int, rounds: int = 3, poi
     found = best_on_grid(df, keys, k, points).withColumnRenamed("best_t", "t")
     for _ in range(rounds):
         factors = temperature_grid(points, math.exp(-step), math.exp(step))
-        near = df.join(F.broadcast(found), keys) if keys else df.crossJoin(F.broadcast(found))  # a row for each key
+        near = df.join(found, keys) if keys else df.crossJoin(F.broadcast(found))  # without keys one row
         scaled = near.withColumn("logits", F.transform("logits", lambda x: x / F.col("t")))
         by = _factor_nll(scaled, keys, k, factors)
         found = by.groupBy(*keys).agg(F.min(F.struct("nll", "t")).alias("x")).select(*keys, F.least(F.greatest(F.col("x.t"), F.lit(LOW)), F.lit(HIGH)).alias("t"))

@@ -36,7 +36,7 @@ def span_fraction(index: DataFrame) -> DataFrame:
     require_columns(index, "grp", "depth_um")
     span = index.groupBy("grp").agg(F.min("depth_um").alias("_low"), (F.max("depth_um") - F.min("depth_um")).alias("_span"))
     place = (F.col("depth_um") - F.col("_low")) / F.when(F.col("_span") == 0, 1.0).otherwise(F.col("_span"))
-    return index.join(F.broadcast(span), "grp").select("chunk_id", F.array(place).alias("v"))  # a row for each group
+    return index.join(span, "grp").select("chunk_id", F.array(place).alias("v"))
 
 
 def psd(wave: Column, fs: float, width: int | None = None, window: str = "hann") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions import arrays as A
-from wavetable.operators.ranks import running_totals
+from wavetable.operators.ranks import quantiles, running_totals
 
 BINS = 15
 
@@ -60,9 +60,8 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = BINS) -> DataF
 
 def adaptive_calibration_error(df: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     """The same over bins of equal mass: edges are the distinct linear quantiles; with one edge all rows are one bin."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile("conf", shares)).alias("edges"))
-    joined = df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))  # a row for each key
+    edges = quantiles(df, keys, "conf", [i / bins for i in range(bins + 1)]).withColumn("edges", F.array_distinct("quantiles"))
+    joined = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))  # without keys one row
     below = F.size(F.filter("edges", lambda e: e < F.col("conf")))
     return _gap(_binned(joined, keys, F.when(F.size("edges") < 2, 1).otherwise(F.greatest(F.lit(1), below))), keys)
 

@@ -26,3 +26,20 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], keys
 def ranked(df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Row numbers from 1 by a unique order, without one task for a key."""
     return running_totals(df, order, {name: "1L"}, keys)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, quantiles): linear quantiles, exact, from one row for each distinct value and running counts over them."""
+    by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    run = running_totals(by, ["_v"], {"_upto": "_n"}, keys)
+    total = by.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    h = [F.lit(s) * (F.col("_all") - 1) for s in shares]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("h"), at.alias("at")) for i, x in enumerate(h) for at in (F.floor(x), F.ceil(x))])
+    wanted = total.select(*keys, places.alias("_places"))
+    joined = run.join(wanted, keys) if keys else run.crossJoin(F.broadcast(wanted))  # without keys one row
+    # the value at a place (from 0) is the one whose running count first passes it
+    own = F.filter("_places", lambda p: (p["at"] < F.col("_upto")) & (p["at"] >= F.col("_upto") - F.col("_n")))
+    found = joined.select(*keys, "_v", F.inline(own))
+    low, high = F.min("_v"), F.max("_v")
+    each = found.groupBy(*keys, "i", "h").agg((low + (high - low) * (F.col("h") - F.floor("h"))).alias("q"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("quantiles"))

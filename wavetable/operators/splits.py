@@ -86,7 +86,7 @@ def verify(split: DataFrame, index: DataFrame, kind: str = "cross_session") -> D
 
 
 def sizes(split: DataFrame, index: DataFrame) -> DataFrame:
-    return index.select("grp").join(F.broadcast(split), "grp").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"))
+    return index.select("grp").join(split, "grp").groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("n_groups"))
 
 
 def leave_one_out(index: DataFrame, dataset: str | None = None, val: float = FOLD_VAL, seed: int = 0) -> DataFrame:
@@ -105,7 +105,7 @@ def cross_lab_folds(index: DataFrame, source: str, target: str, val: float = FOL
         raise ValueError("source and target are the same dataset")
     split = cross_lab(index, [source], [target], seed, val)
     tests = split.filter("part = 'test'").select(F.col("grp").alias("fold"))
-    fixed = split.filter("part <> 'test'").crossJoin(F.broadcast(tests))  # groups by groups
+    fixed = split.filter("part <> 'test'").crossJoin(tests)  # groups by groups
     out = fixed.select("fold", "part", "grp").unionByName(tests.select("fold", F.lit("test").alias("part"), F.col("fold").alias("grp")))
     return out.select(F.lit(f"cross_lab_{source}_to_{target}").alias("scheme"), "fold", "part", "grp")
 

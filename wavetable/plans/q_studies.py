@@ -163,11 +163,11 @@ def latest_run(spark, sf):
     return K_.latest_run(V.read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("tag"), F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("path")))
 
 
-@query(f"SELECT concat('cfg', o_custkey % 7) AS config, o_orderstatus AS stage, count(DISTINCT o_custkey % 3) seeds, {r('avg(o_totalprice)', 'price_mean')}, {r('stddev_samp(o_totalprice)', 'price_sd')} FROM orders GROUP BY 1, 2")
+@query(f"SELECT concat('cfg', o_custkey % 7) AS config, o_orderstatus AS stage, count(DISTINCT o_custkey % 3) seeds, {r('avg(ln(o_totalprice))', 'price_mean')}, {r('stddev_samp(ln(o_totalprice))', 'price_sd')} FROM orders GROUP BY 1, 2")
 def config_table(spark, sf):
     o = V.read(spark, sf, "orders")
     tag = F.concat(F.lit("cfg"), (F.col("o_custkey") % 7).cast("string"), F.lit("__seed"), (F.col("o_custkey") % 3).cast("string"))
-    return K_.config_table(o.select(tag.alias("tag"), F.col("o_orderstatus").alias("stage"), F.col("o_totalprice").alias("price")), ["price"])
+    return K_.config_table(o.select(tag.alias("tag"), F.col("o_orderstatus").alias("stage"), F.log("o_totalprice").alias("price")), ["price"])
 
 
 @query(f"{FOLDS}, ru AS (SELECT features run, fold, balanced_accuracy FROM fm), bs AS (SELECT fold, features, balanced_accuracy b FROM fm WHERE features <> 'set2'), me AS (SELECT run, avg(balanced_accuracy) mean, stddev_samp(balanced_accuracy) sd FROM ru GROUP BY 1)\nSELECT run, features, count(*) folds, {r('avg(balanced_accuracy - b)', 'difference')}, count(*) FILTER (balanced_accuracy > b) wins, {r('any_value(mean)', 'mean')}, {r('any_value(sd)', 'sd')}, any_value(mean) = (SELECT max(mean) FROM me) AS best FROM ru JOIN bs USING (fold) JOIN me USING (run) GROUP BY 1, 2")
@@ -183,14 +183,14 @@ def position_report(spark, sf):
 
 
 #: Days of one user stand for the epochs of a run, the mean value of a day for its validation score.
-@query(f"""WITH h AS (SELECT user_id run, row_number() OVER (PARTITION BY user_id ORDER BY d) epoch, s FROM (SELECT user_id, ts::date d, round(avg(value), 6) s FROM events GROUP BY 1, 2)),
+@query(f"""WITH h AS (SELECT user_id run, row_number() OVER (PARTITION BY user_id ORDER BY d) epoch, s FROM (SELECT user_id, ts::date d, round(ln(1 + avg(value)), 6) s FROM events GROUP BY 1, 2)),
 b AS (SELECT *, coalesce(s > max(s) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) better FROM h),
 c AS (SELECT *, epoch - max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) since FROM b), st AS (SELECT run, coalesce(min(epoch) FILTER (since >= 3), max(epoch)) stopped_at FROM c GROUP BY 1)
 SELECT run, arg_max(epoch, s) FILTER (better) AS best_epoch, {r('max(s)', 'best')}, stopped_at FROM c JOIN st USING (run) WHERE epoch <= stopped_at GROUP BY run, stopped_at""")
 def early_stop(spark, sf):
     from pyspark.sql import Window as W
 
-    e = V.read(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.round(F.avg("value"), 6).alias("val_score"))
+    e = V.read(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.round(F.log(1 + F.avg("value")), 6).alias("val_score"))
     history = e.select(F.col("user_id").alias("run"), F.row_number().over(W.partitionBy("user_id").orderBy("d")).alias("epoch"), "val_score")
     return K_.early_stop(history, ["run"], 3)
 

@@ -17,7 +17,7 @@ LEAST_FOLDS = 3
 
 def merge_results(old: DataFrame, new: DataFrame, key: str = "features") -> DataFrame:
     """old without the rows of the feature sets in new, and new."""
-    return old.join(F.broadcast(new.select(key).distinct()), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def summarise(folds: DataFrame, keys: list[str] = SUMMARY_KEYS, means: tuple[str, ...] = ("macro_f1", "ece", "nll", "chance")) -> DataFrame:

@@ -30,7 +30,7 @@ def fitted_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, draws: int =
         for g in groups:
             member.setdefault(g, []).append(n)
     table = spark.createDataFrame([(g, s) for g, own in member.items() for s in own], "grp string, set int")
-    joined = (rows if train is None else train).select("chunk_id", "grp", "label", "v").join(F.broadcast(table), "grp")  # fixed by the folds
+    joined = (rows if train is None else train).select("chunk_id", "grp", "label", "v").join(table, "grp")
     trained = joined.withColumn("draw", F.lit(0))
     if draws:
         copies = joined.select("set", "chunk_id", "label", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
@@ -41,7 +41,7 @@ def fitted_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, draws: int =
     trained.unpersist()
     fold_table = spark.createDataFrame([(s, f, n) for (s, f), n in number.items()], "scheme string, fold string, set int")
     tests = folds.filter("part = 'test'").select("scheme", "fold", "grp").join(fold_table, ["scheme", "fold"])
-    asked = rows.join(F.broadcast(tests), "grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    asked = rows.join(tests, "grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     return E.predict_grouped(asked.withColumn("config", F.col("set") * per + F.col("draw")), models, k).drop("config", "set")
 
 
@@ -102,7 +102,7 @@ def fusion(position: tuple[DataFrame, int], signals: dict[str, tuple[DataFrame,
     out = base.select("scheme", "fold", "chunk_id", "label", F.lit("position").alias("source"), F.col("p_position").alias("p"))
     for name, (rows, d) in signals.items():
         own = fitted(rows, d).select("scheme", "fold", "chunk_id", F.col("p").alias("p_signal"))
-        both = base.join(own, ["scheme", "fold", "chunk_id"]).join(F.broadcast(prior), ["scheme", "fold"])  # a row for each fold
+        both = base.join(own, ["scheme", "fold", "chunk_id"]).join(prior, ["scheme", "fold"])
         out = out.unionByName(both.select("scheme", "fold", "chunk_id", "label", F.lit(name).alias("source"), F.col("p_signal").alias("p")))
         fused = I.product_of_experts([F.col("p_position"), F.col("p_signal")], F.col("prior"))
         out = out.unionByName(both.select("scheme", "fold", "chunk_id", "label", F.lit(f"position+{name}").alias("source"), fused.alias("p")))

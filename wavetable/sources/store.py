@@ -60,7 +60,7 @@ def channel_table(channels: DataFrame, data_columns: DataFrame) -> DataFrame:
     """Anatomy and geometry beside each data column; groups whose numbers of channels differ raise."""
     n = channels.groupBy("grp").agg(F.count("*").alias("_a")).join(data_columns.groupBy("grp").agg(F.count("*").alias("_b")), "grp", "full")
     ok = n.filter(F.when(F.col("_a") == F.col("_b"), True).otherwise(F.raise_error(F.concat(F.lit("channels do not match in "), F.col("grp"))).cast("boolean")))
-    return data_columns.join(channels, ["grp", "channel"]).join(F.broadcast(ok.select("grp")), "grp")  # a row for each group
+    return data_columns.join(channels, ["grp", "channel"]).join(ok.select("grp"), "grp")
 
 
 def predictions(spark: SparkSession, paths: str | list[str], classes: list[str]) -> DataFrame:
