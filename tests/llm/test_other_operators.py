@@ -28,6 +28,19 @@ def test_article_alone():
     assert html.main_text(html.lines_of(PAGE), set()) == "Head line First bold text. Second <one> 3 < 4. Last."
 
 
+@pytest.mark.parametrize(
+    ("inside", "stays"),
+    [
+        ('<div class="post has-sidebar">', True), ('<div class="no-comments">', True), ('<p style="overflow:hidden">', True), ('<p data-x="hidden menu">', True), ('<div class="adaptive header">', True), ("<section>", True), ('<p title="ad">', True),
+        ('<div class="ad">', False), ('<div id="comments">', False), ('<div class="x promo_box">', False), ('<div class="cookieBanner">', False), ("<div hidden>", False), ('<div role="navigation">', False), ("<aside>", False), ("<form>", False), ('<span class="share-bar">', False),
+    ],
+)
+def test_markup_inside_an_article(inside, stays):
+    tag = inside[1:].split()[0].rstrip(">")
+    text = html.main_text(html.lines_of(f"<body class='page-with-menu'><article><p>Begin</p>{inside}word</{tag}><p>End</article>"), set())
+    assert text == ("Begin word End" if stays else "Begin End")
+
+
 def test_markup_that_never_ends():
     for text in ("<div><p>a<p>b", "<article><p>a<b>b", "<!-- open", "<script>x", "<p title='a>b'>c", "a</p></div>b", "<", "a<b", ""):
         html.lines_of(text)
