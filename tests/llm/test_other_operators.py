@@ -101,6 +101,8 @@ def test_archives_round_trip(spark, tmp_path):
     large = {r["page_id"]: r["record_type"] for r in warc.round_trip(pages, min_bytes=5).collect()}
     assert set(large.values()) == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "b"), (None, "u", "a")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(twice.withColumn("first", F.lit("x"))).collect()) == [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1)]
 
 
 def test_records_are_where_the_index_says(spark, tmp_path, sf):

@@ -45,10 +45,14 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
 def captures(pages: DataFrame, min_bytes: int = 0, key: str = "page_id") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page; no payloads."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = materialize(pages.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("page_id"), F.octet_length(payload).cast("bigint").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest")), "digests")
+    rows = pages.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("page_id"), F.octet_length(_payload()).cast("bigint").alias("payload_bytes"), base32_sha1(_payload()).alias("payload_digest"))
+    rows = materialize(rows, "digests")
     firsts = materialize(rows.groupBy("payload_digest").agg(F.min("page_id").alias("first")), "firsts")
     again = (F.col("first") != F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
     return rows.join(firsts, "payload_digest").select(
@@ -75,8 +79,9 @@ def _record(page: str = "page_id") -> Column:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write pages as WARC files under path."""
     known = captures(pages, min_bytes)
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    records = rows.join(known.dropDuplicates(["page_id"]), "page_id").select(_record().alias("value"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", base32_sha1(_payload()).alias("payload_digest"))
+    one = ["page_id", "payload_digest"]
+    records = rows.join(known.dropDuplicates(one), one).select(_record().alias("value"))
     records.write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_ROWS).option("compression", "gzip").text(path)
 
 
