@@ -37,7 +37,7 @@ LEAST_ROWS, LEAST_ERRORS = 6, 5.0
 #: Strength of the penalty; steps of the optimiser.
 PENALTY, STEPS = 0.1, 40
 #: Words that one Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -46,28 +46,43 @@ def word_features(word: bytes) -> list[int]:
     return found + [zlib.crc32(f"{n}{text[:n]}".encode()) % BUCKETS for n in PREFIXES if len(text) > n]
 
 
-def fit_logistic(owner: np.ndarray, feature: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:
-    """Weights of the features, then of the columns of extra, then the intercept. owner, feature: one entry for each feature of a row."""
-    n, k = len(y), extra.shape[1]
-    once = np.unique(owner * n_features + feature)
-    rows_with, rate = np.bincount(once % n_features, minlength=n_features), y.mean()
+def flat(features: list[np.ndarray], times: list[np.ndarray], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, times) of all entries; with place, of those features that have a place, by it. Rows are taken by the hundred."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))]
+    for a in range(0, len(features), 256):
+        own = features[a : a + 256]
+        row = np.repeat(np.arange(a, a + len(own), dtype=np.int32), [len(f) for f in own])
+        col, n = np.concatenate(own).astype(np.int32), np.concatenate(times[a : a + 256]).astype(float)
+        if place is not None:
+            col = place[col]
+            row, n, col = row[col >= 0], n[col >= 0], col[col >= 0]
+        out.append((row, col, n))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def fit_logistic(features: list[np.ndarray], times: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:
+    """Weights of the features, then of the columns of extra, then the intercept. features, times: for each row its features and how many words have each."""
+    n, k, rate = len(y), extra.shape[1], y.mean()
+    rows_with, hits = np.zeros(n_features), np.zeros(n_features)
+    for own, is_one in zip(features, y > 0.5):
+        rows_with[own] += 1
+        if is_one:
+            hits[own] += 1
     error = np.sqrt(np.maximum(rows_with * rate * (1 - rate) * (1 - rows_with / n), 1e-9))
-    apart = np.abs(np.bincount(once % n_features, y[once // n_features], n_features) - rows_with * rate) / error
-    live = np.flatnonzero((rows_with >= LEAST_ROWS) & (apart >= LEAST_ERRORS))
-    place = np.full(n_features, -1)
+    live = np.flatnonzero((rows_with >= LEAST_ROWS) & (np.abs(hits - rows_with * rate) / error >= LEAST_ERRORS))
+    place = np.full(n_features, -1, np.int32)
     place[live] = np.arange(len(live))
-    used = place[feature] >= 0
-    owner, col = owner[used], place[feature[used]]
+    owner, col, number = flat(features, times, place)
     d = len(live)
     rate = np.clip(rate, 1e-6, 1 - 1e-6)
     w = np.zeros(d + k + 1)
     w[-1] = np.log(rate / (1 - rate))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(owner, w[col], n) + extra @ w[d : d + k] + w[-1]
+        z = np.bincount(owner, w[col] * number, n) + extra @ w[d : d + k] + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         r = p - y
-        g = np.concatenate([np.bincount(col, r[owner], d), extra.T @ r, [r.sum()]])
+        g = np.concatenate([np.bincount(col, r[owner] * number, d), extra.T @ r, [r.sum()]])
         g[:-1] += PENALTY * w[:-1]
         return float(np.logaddexp(0, z).sum() - y @ z + PENALTY / 2 * w[:-1] @ w[:-1]), g
 
@@ -117,20 +132,18 @@ class Weigher(dict):
 
 
 def _features(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep and features, the features of each distinct word."""
+    """The columns keep, features (those of a row's distinct words) and times (the words that have each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[f for w in sorted(set(words_of(t))) for f in word_features(w)] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], [*keep, "features"])
+            found = [np.unique([f for w in set(words_of(t)) for f in word_features(w)], return_counts=True) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]], [*keep, "features", "times"])
 
     rows = rows.select(*keep, text_bytes().alias("__text"))
-    return rows.mapInArrow(run, rows.drop("__text").schema.add("features", T.ArrayType(T.IntegerType())))
-
-
-def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    n = frame["features"].map(len).to_numpy()
-    return np.repeat(np.arange(len(frame)), n), np.concatenate([*frame["features"], np.empty(0, np.int32)]).astype(np.int64)
+    schema = rows.drop("__text").schema
+    for name in ("features", "times"):
+        schema = schema.add(name, T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(run, schema)
 
 
 def _fit_folds(rows: DataFrame, category: str, earlier: list[str]) -> dict[int, np.ndarray]:
@@ -139,8 +152,7 @@ def _fit_folds(rows: DataFrame, category: str, earlier: list[str]) -> dict[int,
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        owner, feature = _flat(frame)
-        w = fit_logistic(owner, feature, frame[earlier].to_numpy(float).reshape(len(frame), len(earlier)), frame[category].to_numpy(float), BUCKETS)
+        w = fit_logistic(list(frame["features"]), list(frame["times"]), frame[earlier].to_numpy(float).reshape(len(frame), len(earlier)), frame[category].to_numpy(float), BUCKETS)
         return pd.DataFrame({"model": [int(frame["model"].iloc[0])], "weights": [w.tobytes()]})
 
     got = rows.withColumn("model", F.explode(models)).groupBy("model").applyInPandas(fit, "model int, weights binary").collect()  # FOLDS + 1 rows of fixed size
@@ -159,8 +171,8 @@ def _log_odds(rows: DataFrame, category: str, earlier: list[str], models: dict[i
                 at = np.flatnonzero(frame["fold"].to_numpy() == fold)
                 if len(at):
                     part = frame.iloc[at]
-                    owner, feature = _flat(part)
-                    z[at] = np.bincount(owner, w[feature], len(at)) + part[earlier].to_numpy(float).reshape(len(at), len(earlier)) @ w[BUCKETS:-1] + w[-1]
+                    owner, col, number = flat(list(part["features"]), list(part["times"]))
+                    z[at] = np.bincount(owner, w[col] * number, len(at)) + part[earlier].to_numpy(float).reshape(len(at), len(earlier)) @ w[BUCKETS:-1] + w[-1]
             yield frame.assign(**{f"z_{category}": np.clip(z, -30, 30)})
 
     return rows.mapInPandas(run, schema)

@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 
 #: Chunks, and pieces, that one Python worker remembers, and the longest of them in bytes.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LONGEST = 48
 
 #: Fixed values of the vocabulary file: its rule for pieces, and the same rule for lower-case text of the plain characters.
