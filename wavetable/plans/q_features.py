@@ -104,18 +104,26 @@ def spectrum_ratio(spark, sf):
 
 
 def _energy(df, after, name):
-    before = F.aggregate("wave", F.lit(0.0), lambda a, x: a + x * x)
+    before = F.aggregate(F.col("wave").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
     return df.withColumn("after", after).select("chunk_id", before.alias("energy_before"), F.aggregate("after", F.lit(0.0), lambda a, x: a + x * x).alias(name))
 
 
-@query()
+ENERGY = "list_sum(list_transform(wave, lambda x: x::DOUBLE * x::DOUBLE))"
+
+
+#: Whitening keeps the power of each chunk.
+@query(f"{CH} SELECT chunk_id, {r(ENERGY, 'energy_after')} FROM chunks")
 def whiten(spark, sf):
     c = _chunks(spark, sf)
     white = D.whitened(c, D.fit_references(c, FS, 400, 64), FS)
     return white.select("chunk_id", F.aggregate("wave", F.lit(0.0), lambda a, x: a + x * x).alias("energy_after"))
 
 
-@query()
+#: By Parseval's theorem: twice the samples, the last bin of the shorter spectrum halved on both sides.
+@query(f"""{CH}, ix AS (SELECT chunk_id, n, wave[n + 1]::DOUBLE x FROM chunks, range(0, 64) t(n)),
+ft AS (SELECT chunk_id, k, sum(x * cos(2 * pi() * k * n / 64)) re, sum(x * sin(2 * pi() * k * n / 64)) im FROM ix, range(0, 33) u(k) GROUP BY ALL),
+en AS (SELECT chunk_id, sum((re * re + im * im) * CASE k WHEN 0 THEN 1 WHEN 32 THEN 0.5 ELSE 2 END) / 32e0 a FROM ft GROUP BY 1)
+SELECT chunk_id, {r(ENERGY, 'energy_before')}, {r('a', 'energy_after')} FROM chunks JOIN en USING (chunk_id)""")
 def resample(spark, sf):
     return _energy(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.resample(x, 128))(F.col("wave")), "energy_after")
 
@@ -135,7 +143,7 @@ def bandstop(spark, sf):
     return _energy(_chunks(spark, sf), J.band_stop(F.col("wave"), FS, "alpha", 2), "energy_after")
 
 
-@query()
+@query(f"{CH} SELECT chunk_id, {r(ENERGY, 'energy_before')}, {r(ENERGY, 'energy_after')} FROM chunks")
 def phase_randomise(spark, sf):
     return _energy(_chunks(spark, sf), J.random_phase(F.col("wave"), F.col("chunk_id")), "energy_after")
 
