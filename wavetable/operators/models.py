@@ -77,12 +77,15 @@ def _sums(rows: DataFrame, model: dict[int, np.ndarray], scale: dict[int, tuple[
         models, scales = sent.value
         parts: dict[int, list] = {}
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), float).reshape(-1, d)
+            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             y = batch.column("label").to_numpy()
-            configs = batch.column("configs").to_pylist()
-            for c in models:
-                at = np.flatnonzero([c in own for own in configs])
-                if not len(at):
+            lists = batch.column("configs")
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            order = np.argsort(flat, kind="stable")
+            found, first = np.unique(flat[order], return_index=True)
+            for c, at in zip(found.tolist(), np.split(row[order], first[1:])):
+                if c not in models:
                     continue
                 mean, sd = scales[c]
                 z = np.concatenate([(x[at] - mean) / sd, np.ones((len(at), 1))], axis=1)
