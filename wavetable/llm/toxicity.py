@@ -117,18 +117,25 @@ def fit_logistic(features: list[np.ndarray], times: list[np.ndarray], extra: np.
     return full
 
 
-class Weigher(dict):
-    """Word to the sum of its features' weights, for each model."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = float(self.weights[word_features(word)].sum())
-        return value
+class Weigher:
+    """Sums of the weights of a text's words, for each model; words are remembered."""
+
+    def __init__(self, weights: list[np.ndarray]) -> None:
+        self.live = [{int(i): float(w[i]) for i in np.flatnonzero(w[:BUCKETS])} for w in weights]
+        self.known: list[dict[bytes, float]] = [{} for _ in weights]
+
+    def sums(self, words: set[bytes]) -> list[float]:
+        first = self.known[0]
+        new = [w for w in words if w not in first]
+        if len(first) + len(new) > REMEMBERED:
+            for known in self.known:
+                known.clear()
+            new = list(words)
+        for w in new:
+            features = word_features(w)
+            for live, known in zip(self.live, self.known):
+                known[w] = sum([live[f] for f in features if f in live])
+        return [sum(map(known.__getitem__, words)) for known in self.known]
 
 
 def _features(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -202,13 +209,13 @@ def score_chain(docs: DataFrame, chain: list[np.ndarray], categories: list[str],
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighers = [Weigher(w) for w in sent.value]
+        weigher = Weigher(sent.value)
         for batch in batches:
-            words = [set(words_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            sums = np.array([weigher.sums(set(words_of(t))) for t in texts], float).reshape(len(texts), len(sent.value))
             z: list[np.ndarray] = []
-            for weigher in weighers:
-                w = weigher.weights
-                own = np.array([sum(map(weigher.__getitem__, x)) for x in words]) + w[-1]
+            for own, w in zip(sums.T, sent.value):
+                own = own + w[-1]
                 for v, before in zip(w[BUCKETS:-1], z):
                     own = own + v * before
                 z.append(np.clip(own, -30, 30))
