@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.llm.util import small_batches, text_bytes
-from wavetable.llm.vocabulary import LONGEST, PIECES, PLAIN, PLAIN_PIECES, REMEMBERED, cuts_at_white_space
+from wavetable.llm.vocabulary import LONGEST, PIECES, PLAIN, PLAIN_PIECES, REMEMBERED, cuts_at_white_space, trimmed
 
 ANY_PIECES = regex.compile(PIECES.replace(r"\s", r"\p{White_Space}"))
 
@@ -90,7 +90,7 @@ class Counter:
         n = merged_length(symbols, self.ranks)
         if len(piece) <= LONGEST:
             if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
+                self.pieces = trimmed(self.pieces)
             self.pieces[piece] = n
         return n
 
@@ -105,12 +105,10 @@ class Counter:
         return n
 
     def count(self, text: bytes) -> int:
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = trimmed(self.chunks)
         known, chunks = self.chunks, text.split()
-        new = {c for c in chunks if c not in known}
-        if len(known) + len(new) > REMEMBERED:
-            self.chunks = known = {}
-            new = set(chunks)
-        for c in new:
+        for c in {c for c in chunks if c not in known}:
             known[c] = self._chunk(c)
         n = sum(map(known.__getitem__, chunks))
         for c in [c for c in chunks if len(c) > LONGEST]:

@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
 #: Chunks, and pieces, that one Python worker remembers, and the longest of them in bytes.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 LONGEST = 48
 
 #: Fixed values of the vocabulary file: its rule for pieces, and the same rule for lower-case text of the plain characters.
@@ -37,6 +38,11 @@ def cuts_at_white_space(config: dict) -> bool:
     )
 
 
+def trimmed(store: dict) -> dict:
+    """The half of a store that came first: what recurs often was met early."""
+    return dict(islice(store.items(), len(store) // 2))
+
+
 class Encoder:
     """Packed ids (little-endian, 32 bits) of whole texts."""
 
@@ -51,7 +57,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.by_chunk = cuts_at_white_space(config)
-        self.added = [t["content"][:2] for t in config.get("added_tokens", [])]
+        self.added = sorted({t["content"][:2] for t in config.get("added_tokens", [])})
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -62,8 +68,6 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > REMEMBERED:
-            self.pieces.clear()
         got = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids, at = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
         ends = np.searchsorted(at, np.arange(len(pieces) + 1))
@@ -72,22 +76,20 @@ class Encoder:
 
     def _encode(self, new: list[bytes]) -> list[bytes]:
         """The packed ids of chunks."""
-        cut, lacking = [], {}
-        known = self.pieces
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = trimmed(self.pieces)
+        cut, lacking, known, plain, pieces_of = [], {}, self.pieces, PLAIN.fullmatch, PLAIN_PIECES.findall
         for chunk in new:
             text = chunk.decode("utf-8", "replace")
-            if len(chunk) > LONGEST or not PLAIN.fullmatch(text) or any(a in text for a in self.added):
+            if len(chunk) > LONGEST or not plain(text) or [a for a in self.added if a in text]:
                 cut.append(text)
                 continue
-            cut.append(own := PLAIN_PIECES.findall(text.lower()))
+            cut.append(own := pieces_of(text.lower()))
             for piece in own:
                 if piece not in known:
                     lacking[piece] = None
         if lacking:
-            before = len(known)
             self._learn(list(lacking))
-            if len(known) < before:  # the store was emptied
-                self._learn(list({p for own in cut if isinstance(own, list) for p in own if p not in known}))
         return [self._whole(x) if isinstance(x, str) else known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in cut]
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
@@ -96,10 +98,9 @@ class Encoder:
             return [self._whole(t.decode("utf-8", "replace")) for t in texts]
         known = self.chunks
         cut = [t.split() for t in texts]
+        if len(known) > REMEMBERED:
+            self.chunks = known = trimmed(known)
         new = list({c for own in cut for c in own if c not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({c for own in cut for c in own})
         known.update(zip(new, self._encode(new)))
         out = [b"".join(map(known.__getitem__, own)) for own in cut]
         for c in new:
