@@ -19,6 +19,9 @@ def test_ece_by_hand(spark):
     df = rows(spark, [(0.9, 1.0 if i < 5 else 0.0) for i in range(10)], "conf double, hit double")
     assert M.calibration_error(df, []).first()["ece"] == pytest.approx(0.4)
     assert M.adaptive_calibration_error(df, []).first()["ece"] == pytest.approx(0.4)
+    many = spark.range(500).select((F.col("id") % 3).alias("k"), ((F.col("id") * 37 % 101) / 101).alias("conf"), (F.col("id") % 2).cast("double").alias("hit"))
+    one, other = ({r["k"]: round(r["ece"], 9) for r in M.adaptive_calibration_error(many, ["k"], spread=s).collect()} for s in (False, True))
+    assert one == other and len(one) == 3
 
 
 def test_uniform_probabilities(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -
     total = by.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     h = [F.lit(s) * (F.col("_all") - 1) for s in shares]
     places = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("h"), at.alias("at")) for i, x in enumerate(h) for at in (F.floor(x), F.ceil(x))])
-    wanted = total.select(*keys, places.alias("_places"))
+    wanted = total.select(*keys, "_all", places.alias("_places"))
     joined = run.join(wanted, keys) if keys else run.crossJoin(F.broadcast(wanted))  # without keys one row
     # the value at a place (from 0) is the one whose running count first passes it
+    inside = [(at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_n")) for x in h for at in (F.floor(x), F.ceil(x))]
+    joined = joined.filter(reduce(lambda p, q: p | q, inside))  # plain comparisons leave a few rows of each key
     own = F.filter("_places", lambda p: (p["at"] < F.col("_upto")) & (p["at"] >= F.col("_upto") - F.col("_n")))
     found = joined.select(*keys, "_v", F.inline(own))
     low, high = F.min("_v"), F.max("_v")
