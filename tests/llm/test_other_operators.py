@@ -76,6 +76,16 @@ def test_differencing_without_an_article(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_equal_pages_without_an_article(spark):
+    page = lambda k: f"<html><body><div>Welcome</div><div><p>Story {k} is here</p></div><div>Contact us</div></body></html>"
+    rows = [(0, "http://h.com/a/1", page(0)), (1, "http://h.com/a/2", page(1)), (2, "http://h.com/a/2", page(1)), (3, "http://h.com/a/2?ref=x", page(1)), (3, "http://h.com/a/2?ref=x", page(1)), (4, "http://h.com/b", page(4))]
+    rows += [(5, "http://twice.com/a", page(5)), (6, "http://twice.com/b", page(5))]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    story = {i: f"Story {k} is here" for i, k in ((0, 0), (1, 1), (2, 1), (3, 1), (4, 4))}
+    assert len(got) == 8 and all(r["text"] == story[r["page_id"]] and r["n_shared"] == 2 for r in got if r["page_id"] < 5)
+    assert {(r["text"], r["n_shared"]) for r in got if r["page_id"] >= 5} == {("Welcome Story 5 is here Contact us", 0)}
+
+
 def test_pages_of_the_table(spark, sf):
     import re
     from html import unescape

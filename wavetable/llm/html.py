@@ -2,16 +2,17 @@
 
 Pages are ordered by host, URL path, query and id over ranges of that order, so that a host with very many pages is
 spread over many tasks. Each page is paired with the neighbour in its host whose path shares the longer beginning
-with its own (the earlier one of equals; at the edge of a range the neighbour on this side). The text lines of both
-are aligned by a longest common subsequence; shared lines are what a site repeats.
+with its own (the earlier one of equals; at the edge of a range the neighbour on this side). Neighbours with the same
+lines are passed over for the next page that differs, as the same article under two addresses says nothing of what a
+site repeats. The text lines of both are aligned by a longest common subsequence; shared lines are what a site repeats.
 
 Differencing alone gives wrong text where menus and adverts vary from page to page, and where articles repeat a line
 or a whole article is served under two addresses. So a page's own markup is asked first: inside elements or classes
 for menus, headers, footers, asides, notices, adverts, forms and comments a line goes; inside an article or main
 element it stays; all other lines stay if they are not shared, and only on pages without such an element.
 
-Defined cases: null or empty html gives an empty text; a null url pairs with nothing; repeated rows are neighbours of
-each other; markup that is never closed ends with the page; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; a null url pairs with nothing; repeated rows share their
+neighbours; markup that is never closed ends with the page; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.util import small_batches
+from wavetable.llm.util import ARROW_ROWS, small_batches
 
 GONE, OPEN, MAIN = 0, 1, 2
 
@@ -166,31 +168,37 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     small_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = now = None
-        out: list[tuple] = []
-
-        def decide(before, page, after) -> tuple:
-            host, path, key_, url, lines = page
-            near = [p for p in (before, after) if p and host and p[0] == host]
-            best = max(near, key=lambda p: _common(p[1], path), default=None)
-            shared = shared_lines([t for _, t in lines], [t for _, t in best[4]]) if best else set()
-            return key_, url, main_text(lines, shared), len(lines), len(shared)
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        # pages of a host in a row with equal lines: (host, text of the lines, [(path, page_id, url, lines)])
+        before = now = None
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        def decide(after) -> Iterator[tuple]:
+            host, texts, same = now
+            sides = [(p[2][at][0], shared_lines(texts, p[1])) for p, at in ((before, -1), (after, 0)) if p and p[0] == host]
+            for path, key_, url, lines in same:
+                shared = max(sides, key=lambda x: _common(x[0], path), default=("", set()))[1]
+                yield key_, url, main_text(lines, shared), len(lines), len(shared)
 
         for batch in batches:
             for host, path, key_, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                page = (host, path, key_, url, lines_of(html or ""))
-                if now:
-                    out.append(decide(last, now, page))
-                last, now = now, page
-            if out:
-                yield batch_of(out)
-                out = []
+                lines = lines_of(html or "")
+                texts = [t for _, t in lines]
+                if not host:
+                    yield key_, url, main_text(lines, set()), len(lines), 0
+                elif now and now[0] == host and now[1] == texts:
+                    known = now[2][-1][3]
+                    now[2].append((path, key_, url, known if known == lines else lines))  # equal lines are held once
+                else:
+                    page = (host, texts, [(path, key_, url, lines)])
+                    if now:
+                        yield from decide(page)
+                    before, now = now, page
         if now:
-            yield batch_of([decide(last, now, None)])
+            yield from decide(None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(decided(batches), ARROW_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)([^#]*)"
     rows = pages.select(
