@@ -86,6 +86,25 @@ def test_equal_pages_without_an_article(spark):
     assert {(r["text"], r["n_shared"]) for r in got if r["page_id"] >= 5} == {("Welcome Story 5 is here Contact us", 0)}
 
 
+def test_pages_at_the_edges_of_ranges(spark):
+    page = lambda k: f"<html><body><div>Welcome</div><div><p>Story {k} is here</p></div><div>Contact us</div></body></html>"
+    rows = [(i, f"http://h.com/{'ab'[i % 2]}/{i}", page(i)) for i in range(9)] + [(20 + i, f"http://same.com/{i}", page(20)) for i in range(9)] + [(29, "http://same.com/z", page(29)), (30, None, page(30)), (31, None, page(31))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 5, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(sorted((r["page_id"], r["text"], r["n_shared"]) for r in html.extract(df).collect()))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert all((text, n) == (f"Story {min(i, 20) if i < 29 else i} is here", 2) for i, text, n in found[0] if i < 30)
+    assert all((text, n) == (f"Welcome Story {i} is here Contact us", 0) for i, text, n in found[0] if i >= 30)
+
+
 def test_pages_of_the_table(spark, sf):
     import re
     from html import unescape

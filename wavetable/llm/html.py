@@ -1,10 +1,14 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are ordered by host, URL path, query and id over ranges of that order, so that a host with very many pages is
-spread over many tasks. Each page is paired with the neighbour in its host whose path shares the longer beginning
-with its own (the earlier one of equals; at the edge of a range the neighbour on this side). Neighbours with the same
-lines are passed over for the next page that differs, as the same article under two addresses says nothing of what a
-site repeats. The text lines of both are aligned by a longest common subsequence; shared lines are what a site repeats.
+Pages are ordered by host, URL path, query, id and digest over ranges of that order, so that a host with very many
+pages is spread over many tasks. Each page is paired with the neighbour in its host whose path shares the longer
+beginning with its own (the earlier one of equals). Neighbours with the same lines are passed over for the next page
+that differs, as the same article under two addresses says nothing of what a site repeats. The text lines of both are
+aligned by a longest common subsequence; shared lines are what a site repeats.
+
+The ranges do not show in the result. A first pass orders addresses and digests alone and tells of each range where it
+begins and which pages stand at its edges; from that the driver, which gets four rows of a range at most, finds the
+differing page on either side of each range. Those pages are sent to the range besides its own.
 
 Differencing alone gives wrong text where menus and adverts vary from page to page, and where articles repeat a line
 or a whole article is served under two addresses. So a page's own markup is asked first: inside elements or classes
@@ -20,14 +24,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 from html import unescape
 from itertools import batched
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.util import ARROW_ROWS, small_batches
+from wavetable.llm.util import ARROW_ROWS, materialize, small_batches
 
 GONE, OPEN, MAIN = 0, 1, 2
 
@@ -163,33 +170,101 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+ORDER = ("host", "path", "query", "page_id", "digest")
+TYPES = ("string", "string", "string", "bigint", "bigint")
+
+
+def _address() -> list[Column]:
+    """host, path and query of url; empty ones where it has none."""
+    address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)([^#]*)"
+    parts = [F.coalesce(F.regexp_extract("url", address, i), F.lit("")) for i in (1, 2, 3)]
+    return [F.lower(parts[0]).alias("host"), parts[1].alias("path"), parts[2].alias("query")]
+
+
+def _edges(rows: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """Of ranges of ORDER: where each begins; and (range, place) of the page before and the page after it that differ from its own at that edge.
+
+    A range's edge is the run of pages of one host with equal lines at its end. rows: ORDER and html.
+    """
+    places = ", ".join(f"{c} {t}" for c, t in zip(ORDER, TYPES))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [blake2b("\n".join(t for _, t in lines_of(x or "")).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*ORDER, "lines"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the range: its first page (0) and last page (3); the first page of the first one's host that differs from it (1); the last of the last one's host that differs (2)."""
+        first = second = back = last = None
+        ended = False
+        for batch in batches:
+            for page in zip(*(c.to_pylist() for c in batch.columns)):
+                first = first or page
+                if second is None and not ended:
+                    ended = page[0] != first[0]
+                    second = page if not ended and page[-1] != first[-1] else None
+                if last and page[0] != last[0]:
+                    back = None
+                elif last and page[-1] != last[-1]:
+                    back = last
+                last = page
+        told = [(i, *p) for i, p in enumerate((first, second, back, last)) if p]
+        if told:
+            columns = [pa.array(c, t) for c, t in zip(zip(*told), (pa.int32(), *[pa.string()] * 3, pa.int64(), pa.int64(), pa.binary()))]
+            part = pa.array([TaskContext.get().partitionId()] * len(told), pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *columns], ["part", "which", *ORDER, "lines"])
+
+    spark = rows.sparkSession
+    keys = materialize(rows.select(*ORDER, "html").mapInArrow(digests, f"{places}, lines binary"), "page-digests")
+    dealt = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *ORDER).sortWithinPartitions(*ORDER)
+    told: dict[int, dict[int, tuple]] = {}
+    for part, which, *page in dealt.mapInArrow(ends, f"part int, which int, {places}, lines binary").collect():
+        told.setdefault(part, {})[which] = (*page[:-1], bytes(page[-1]))
+    ranges = [told[p] for p in sorted(told)]
+    beside = []
+    for i, mine in enumerate(ranges):
+        for edge, others, far, near in ((mine[0], ranges[:i][::-1], 3, 2), (mine[3], ranges[i + 1 :], 0, 1)):
+            for other in others:
+                if not edge[0] or other[far][0] != edge[0]:
+                    break
+                found = other[far] if other[far][-1] != edge[-1] else other.get(near)
+                if found:
+                    beside.append((i, *found[:-1]))
+                    break
+                if other[3 - far][0] != edge[0]:  # its host ends in that range
+                    break
+    return [x[0][:-1] for x in ranges], beside
+
+
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Per row: page_id, url, text, n_chars, n_lines, n_shared (lines that its neighbour has, too)."""
     small_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        # pages of a host in a row with equal lines: (host, text of the lines, [(path, page_id, url, lines)])
+        # pages of a range and host in a row with equal lines: ((part, host), text of the lines, [(own, path, page_id, url, lines)])
         before = now = None
 
         def decide(after) -> Iterator[tuple]:
             host, texts, same = now
-            sides = [(p[2][at][0], shared_lines(texts, p[1])) for p, at in ((before, -1), (after, 0)) if p and p[0] == host]
-            for path, key_, url, lines in same:
+            sides = [(p[2][at][1], shared_lines(texts, p[1])) for p, at in ((before, -1), (after, 0)) if p and p[0] == host]
+            for own, path, key_, url, lines in same:
+                if not own:
+                    continue
                 shared = max(sides, key=lambda x: _common(x[0], path), default=("", set()))[1]
                 yield key_, url, main_text(lines, shared), len(lines), len(shared)
 
         for batch in batches:
-            for host, path, key_, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, own, host, path, key_, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = lines_of(html or "")
                 texts = [t for _, t in lines]
                 if not host:
                     yield key_, url, main_text(lines, set()), len(lines), 0
-                elif now and now[0] == host and now[1] == texts:
-                    known = now[2][-1][3]
-                    now[2].append((path, key_, url, known if known == lines else lines))  # equal lines are held once
+                elif now and now[0] == (part, host) and now[1] == texts:
+                    known = now[2][-1][4]
+                    now[2].append((own, path, key_, url, known if known == lines else lines))  # equal lines are held once
                 else:
-                    page = (host, texts, [(path, key_, url, lines)])
+                    page = ((part, host), texts, [(own, path, key_, url, lines)])
                     if now:
                         yield from decide(page)
                     before, now = now, page
@@ -200,12 +275,20 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
         for rows in batched(decided(batches), ARROW_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)([^#]*)"
-    rows = pages.select(
-        F.lower(F.regexp_extract("url", address, 1)).alias("host"), F.regexp_extract("url", address, 2).alias("path"), F.regexp_extract("url", address, 3).alias("query"),
-        F.col(key).cast("bigint").alias("page_id"), "url", "html",
-    )
-    order = ["host", "path", "query", "page_id"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("host", F.coalesce("path", F.lit("")).alias("path"), "page_id", "url", "html")
+    rows = pages.select(*_address(), F.col(key).cast("bigint").alias("page_id"), F.xxhash64("html").alias("digest"), "url", "html")
+    begins, beside = _edges(rows)
+    if begins:
+        spark = pages.sparkSession
+        place = F.struct(*[F.col(c) for c in ORDER])
+        starts = F.array(*[F.struct(*[F.lit(x).cast(t).alias(c) for c, t, x in zip(ORDER, TYPES, start)]) for start in begins])
+        known = spark.createDataFrame(beside, ", ".join(["part int", *[f"{c} {t}" for c, t in zip(ORDER, TYPES)]]))
+        same = reduce(lambda p, q: p & q, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ORDER])
+        # two rows for each range at most; of repeated rows one is enough
+        lent = rows.alias("r").join(F.broadcast(known.alias("k")), same).select("k.part", "r.*").dropDuplicates(["part", *ORDER])
+        own = rows.withColumn("part", F.size(F.filter(starts, lambda x: x <= place)) - 1)
+        rows = own.withColumn("own", F.lit(True)).unionByName(lent.withColumn("own", F.lit(False)))
+    else:
+        rows = rows.select("*", F.lit(0).alias("part"), F.lit(True).alias("own"))
+    rows = rows.repartitionByRange("part").sortWithinPartitions("part", *ORDER).select("part", "own", "host", "path", "page_id", "url", "html")
     found = rows.mapInArrow(run, "page_id bigint, url string, text string, n_lines bigint, n_shared bigint")
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
