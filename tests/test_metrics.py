@@ -120,3 +120,10 @@ def test_running_totals_by_key(spark):
     assert all(rank == i // 3 + 1 for (k, i), rank in got.items()) and len(got) == 1000
     total = running_totals(df, ["id"], {"s": "id"}).agg(F.max("s")).first()[0]
     assert total == sum(range(1000))
+
+
+def test_registered_adaptive_error_gathers_no_group(spark, sf):
+    from wavetable.plans.queries import QUERIES
+
+    plan = QUERIES["ece_adaptive"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile(" not in plan

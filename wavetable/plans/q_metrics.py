@@ -54,7 +54,7 @@ def ece_fixed(spark, sf):
 b AS (SELECT gid, CASE WHEN len(edges) < 2 THEN 1 ELSE greatest(1, len(list_filter(edges, lambda x: x < conf))) END bin, count(*) n, sum(conf) conf, sum(hit::int) hit FROM pr JOIN e USING (gid) GROUP BY 1, 2)
 SELECT gid, {r('sum(abs(hit-conf))/sum(n)', 'ece')} FROM b GROUP BY gid""")
 def ece_adaptive(spark, sf):
-    return M.adaptive_calibration_error(_big(spark, sf), ["gid"])
+    return M.adaptive_calibration_error(_big(spark, sf), ["gid"], spread=True)
 
 
 @query(f"{BIG}, {SQL_BINS.format(key='0 AS z')} SELECT k::int AS bin, {r('(k-1)/15e0', 'lower')}, {r('k/15e0', 'upper')}, {r('conf/n', 'confidence')}, {r('hit/n', 'accuracy')}, coalesce(n, 0) n FROM range(1, 16) t(k) LEFT JOIN b ON bin = k")
