@@ -121,7 +121,10 @@ REPLY = {"reply": {"type": "object", "properties": {"text": {"type": "string", "
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Plain conversations as calls: turn t of a user calls `reply`, after the user's turn t - 2; the assistant's turn t + 1 is its result."""
+    """Plain conversations as calls: turn t of a user calls `reply`, after the user's turn t - 2; the assistant's turn t + 1 is its result.
+
+    Other turns (system; assistant without a user's turn right before) give no row.
+    """
     name = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     calls = turns.filter("role = 'user'").select("conv_id", name(F.col("turn")).alias("call_id"), F.col("turn").alias("pos"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), name(F.col("turn") - 2).alias("after"))
     results = turns.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("pos"), F.col("text").alias("content"))
