@@ -177,3 +177,24 @@ def test_stream_gives_the_batch_chunks(spark, tmp_path):
     got = spark.sql("select * from chunks_out").count()
     batch = stream_chunks(df, ["channel"], 8, 8).count()
     assert batch >= 4 and batch - 1 <= got <= batch
+
+
+def test_windows_are_cut_without_gathering_a_channel(spark):
+    from wavetable.plans import build
+
+    sizes = {("g", 0): [7, 7, 7, 3, 20], ("g", 1): [1] * 9, ("h", 0): [50], ("h", 1): [4]}
+    rows, signals = [], {}
+    for i, (key, ns) in enumerate(sizes.items()):
+        x = [float((j * 37 + i) % 101) for j in range(sum(ns))]
+        signals[key] = x
+        rows += [(*key, sum(ns[:b]), x[sum(ns[:b]) : sum(ns[: b + 1])]) for b in range(len(ns))]
+    blocks = spark.createDataFrame(rows[::-1], "grp string, channel int, block_start long, samples array<double>").repartition(3)
+    for width, first, most in ((8, 0, None), (8, 3, 2), (3, 1, None), (40, 0, None)):
+        want = {(*key, k): x[k * width + first : (k + 1) * width + first] for key, x in signals.items() for k in range(max(0, (len(x) - first) // width)) if most is None or k < most}
+        assert {(r["grp"], r["channel"], r["k"]): r["wave"] for r in build.cut_windows(blocks, width, first, most).collect()} == want
+    channels = spark.createDataFrame([(*key, "CA1", True) for key in sizes], "grp string, channel int, acronym string, valid_data boolean")
+    chunks, ledger = build.build_chunks(blocks, channels, 1.0, 8, 0.0, None)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert all(", k#" in line.split("]")[0] for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line)
+    assert {(r["grp"], r["channel"]): r["count"] for r in chunks.groupBy("grp", "channel").count().collect()} == {("g", 0): 5, ("g", 1): 1, ("h", 0): 6}
+    assert [(r["grp"], r["channel"], r["reason"]) for r in ledger.collect()] == [("h", 1, "no complete live window")]

@@ -9,6 +9,7 @@ from wavetable.functions import dsp
 from wavetable.functions.labels import region
 from wavetable.operators import prep as B
 from wavetable.operators import splits as C
+from wavetable.operators.ranks import running_totals
 from wavetable.schema import UNKNOWN
 
 
@@ -18,32 +19,52 @@ def joined_blocks(recordings: DataFrame) -> DataFrame:
     return blocks.select("grp", "channel", F.flatten(F.transform("_b", lambda b: b["samples"].cast("array<double>"))).alias("signal"))
 
 
+def cut_windows(recordings: DataFrame, width: int, first: int = 0, most: int | None = None) -> DataFrame:
+    """(grp, channel, k, wave): complete windows of a channel's blocks end to end, most at most, without a row or task that holds a channel."""
+    blocks = recordings.select("grp", "channel", "block_start", F.col("samples").cast("array<double>").alias("samples"), F.coalesce(F.size("samples"), F.lit(0)).alias("_size"))
+    placed = running_totals(blocks, ["block_start"], {"_end": "_size"}, ["grp", "channel"]).withColumn("_start", F.col("_end") - F.col("_size"))
+    low = F.greatest(F.lit(0), F.floor((F.col("_start") - first) / width))
+    high = F.floor((F.col("_end") - 1 - first) / width)
+    if most is not None:
+        high = F.least(high, F.lit(most - 1))
+    met = placed.filter((F.col("_size") > 0) & (high >= low)).withColumn("k", F.explode(F.sequence(low, high)))
+    begin = F.greatest(F.col("_start"), F.col("k") * width + first)
+    end = F.least(F.col("_end"), (F.col("k") + 1) * width + first)
+    pieces = met.select("grp", "channel", F.col("k").cast("int").alias("k"), F.struct(begin.alias("at"), F.slice("samples", (begin - F.col("_start") + 1).cast("int"), (end - begin).cast("int")).alias("v")).alias("_p"))
+    whole = pieces.groupBy("grp", "channel", "k").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    return whole.select("grp", "channel", "k", F.flatten(F.transform("_p", lambda p: p["v"])).alias("wave")).filter(F.size("wave") == width)
+
+
 def build_chunks(
     recordings: DataFrame, channels: DataFrame, fs: float, window_s: float = 3.0, start_s: float = 200.0, n_chunks: int | None = 100, target_fs: float | None = None, most_s: float = 600.0
 ) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ledger). One shuffle on (grp, channel) puts each channel's signal together; the rest runs row by row.
+    """(chunks, ledger). Windows are put together from the blocks that they meet; only to filter and resample (target_fs) is
+    each channel's signal put together in one row.
 
     recordings: grp, channel, block_start, samples (volts if target_fs is given, else microvolts); channels: grp, channel,
     acronym, depth_um, valid_data or quality, and whatever else the index is to carry. Only blocks that begin within
-    most_s are read, which bounds a channel's signal. The ledger has every channel that gave no chunk, with the reason.
+    most_s are read, which bounds a channel's signal where it is put together. The ledger has every channel that gave no chunk, with the reason.
     """
     labelled = channels.withColumn("region", region(F.col("acronym")))
     good = B.usable(labelled)
-    signals = joined_blocks(recordings.filter(F.col("block_start") < most_s * fs).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi"))
+    asked = recordings.filter(F.col("block_start") < most_s * fs).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi")
     rate = target_fs or fs
     width, first = round(window_s * rate), round(start_s * rate)
     # a flat signal is told before it is filtered
-    signals = signals.withColumn("dead", F.forall("signal", lambda x: x == 0))
-    alive = signals.filter(~F.col("dead"))
     if target_fs:
-        alive = alive.withColumn("signal", dsp.vector_function(lambda x: dsp.preprocess(x, fs, target_fs))(F.col("signal")))
-    whole = F.greatest(F.lit(0), F.floor((F.size("signal") - first) / width)).cast("int")
-    number = F.least(whole, F.lit(n_chunks)) if n_chunks is not None else whole
-    cut = alive.withColumn("k", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1)))).select("grp", "channel", "k", F.slice("signal", F.col("k") * width + first + 1, width).alias("wave"))
+        signals = joined_blocks(asked).withColumn("dead", F.forall("signal", lambda x: x == 0))
+        alive = signals.filter(~F.col("dead")).withColumn("signal", dsp.vector_function(lambda x: dsp.preprocess(x, fs, target_fs))(F.col("signal")))
+        whole = F.greatest(F.lit(0), F.floor((F.size("signal") - first) / width)).cast("int")
+        number = F.least(whole, F.lit(n_chunks)) if n_chunks is not None else whole
+        cut = alive.withColumn("k", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1)))).select("grp", "channel", "k", F.slice("signal", F.col("k") * width + first + 1, width).alias("wave"))
+    else:
+        zeros = asked.select("grp", "channel", F.forall("samples", lambda x: x == 0).alias("_z"))
+        signals = zeros.groupBy("grp", "channel").agg(F.when(F.count_if(~F.col("_z")) > 0, False).when(F.count_if(F.col("_z").isNull()) == 0, True).alias("dead"))
+        cut = cut_windows(asked, width, first, n_chunks).join(signals.filter(~F.col("dead")).select("grp", "channel"), ["grp", "channel"], "left_semi")
     chunks = B.scaled(cut).withColumn("t0_s", (F.col("k") * width + first) / rate).withColumn("fs", F.lit(float(rate))).join(good, ["grp", "channel"])
     why = F.when(F.col("region") == UNKNOWN, "no region").when(~F.col("good"), "bad channel").when(F.col("dead").isNull(), "no recording").when(F.col("dead"), "all zeros").otherwise("no complete live window")
-    asked = labelled.join(good.select("grp", "channel", F.lit(True).alias("good")), ["grp", "channel"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
-    lost = asked.join(chunks.select("grp", "channel").distinct(), ["grp", "channel"], "left_anti").join(signals.select("grp", "channel", "dead"), ["grp", "channel"], "left")
+    listed = labelled.join(good.select("grp", "channel", F.lit(True).alias("good")), ["grp", "channel"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    lost = listed.join(chunks.select("grp", "channel").distinct(), ["grp", "channel"], "left_anti").join(signals.select("grp", "channel", "dead"), ["grp", "channel"], "left")
     return chunks, lost.select("grp", "channel", why.alias("reason"))
 
 
