@@ -5,17 +5,21 @@ import gzip
 import hashlib
 import json
 import random
+import re
 from glob import glob
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wavetable.llm import chat, embdedup, html, packing, queries, simhash, toxicity, warc
+from wavetable.llm import chat, embdedup, html, langid, packing, queries, toxicity, warc
 from wavetable.llm.util import table
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -105,8 +109,79 @@ def test_pages_at_the_edges_of_ranges(spark):
     assert all((text, n) == (f"Welcome Story {i} is here Contact us", 0) for i, text, n in found[0] if i >= 30)
 
 
+@pytest.mark.parametrize("bad", ["<a " * 350_000, '<a "' * 250_000, "<script " * 130_000, "<!x" * 300_000, "<div>" * 90_000 + "</x>" * 90_000, "<li><div>" + "<span>" * 80_000 + "</li>" * 80_000])
+def test_a_bad_page_takes_linear_time(bad):
+    import time
+
+    began = time.process_time()
+    html.lines_of(bad)
+    assert time.process_time() - began < 5
+
+
+def test_long_pages_are_halved(monkeypatch):
+    monkeypatch.setattr(html, "MOST_BITS", 40)
+    rng = random.Random(5)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        pairs = sorted(html.align(a, b))
+        assert len(pairs) == brute_common(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def brute_extract(rows):
+    """Texts and line counts by comparing each page with the two runs of pages on either side of it, by a plain table of common lengths."""
+    from urllib.parse import urlsplit
+
+    def shared(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        return t[0][0]
+
+    pages = []
+    for page, url, text in rows:
+        u = urlsplit(url)
+        pages.append((u.netloc.lower(), u.path, f"?{u.query}" if u.query else "", page, html.lines_of(text)))
+    runs = []
+    for p in sorted(pages):
+        if runs and runs[-1][0] == p[0] and runs[-1][1] == p[4]:
+            runs[-1][2].append(p[3])
+        else:
+            runs.append((p[0], p[4], [p[3]]))
+    out = {}
+    for r, (host, lines, ids) in enumerate(runs):
+        near = [x[1] for x in (*runs[max(0, r - 2) : r], *runs[r + 1 : r + 3]) if x[0] == host and [t for _, t, _ in x[1]] != [t for _, t, _ in lines]]
+        keys = [html.keys_of(x) for x in (lines, *near)]
+        for i in ids:
+            out[i] = (len(lines), len(near), sum(shared(keys[0], k) for k in keys[1:]))
+    return out
+
+
+def test_differencing_decides_on_whole_table_pages(spark):
+    """Nearly all deleted lines are deleted as shared ones, on every page; counts of neighbours and shared lines are those of brute force."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    got = html.extract(pages).collect()
+    shared, by_place = sum(r["n_shared"] for r in got), sum(r["n_by_place"] for r in got)
+    assert shared > 50 * by_place and all(r["n_shared"] > 0 for r in got if r["n_neighbours"] > 1)
+    want = brute_extract([(r["page_id"], r["url"], r["html"]) for r in pages.collect()])
+    assert all((r["n_lines"], r["n_neighbours"]) == want[r["page_id"]][:2] for r in got)
+    for r in got:  # a line has to be shared with half of the neighbours
+        votes = want[r["page_id"]][2]
+        assert 2 * votes >= r["n_neighbours"] * (r["n_shared"] + r["n_tied"])
+
+
+def test_menus_of_any_words_align_by_their_place(spark):
+    """No word of menus and notices recurs; without an article element differencing leaves the story."""
+    page = lambda k: f"<html><body><nav><ul><li>menu{k}<li>entry{k}</ul></nav><div>Welcome</div><div><p>Story {k} is here</p></div><div class='cookie-bar'>Cookies {k * 7}</div></body></html>"
+    rows = [(i, f"http://h.com/news/{i}", page(i)) for i in range(6)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all((r["text"], r["n_shared"], r["n_by_place"]) == (f"Story {r['page_id']} is here", 4, 0) for r in got)
+    clash = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as part", "'x' as own", "3 as digest", "'y' as text", "'z' as path")
+    assert sorted(map(tuple, html.extract(clash).collect())) == sorted(map(tuple, got))
+
+
 def test_pages_of_the_table(spark, sf):
-    import re
     from html import unescape
 
     got = {r["page_id"]: r["text"] for r in html.extract(table(spark, sf, "pages")).collect()}
@@ -130,23 +205,39 @@ def test_archives_round_trip(spark, tmp_path):
     large = {r["page_id"]: r["record_type"] for r in warc.round_trip(pages, min_bytes=5).collect()}
     assert set(large.values()) == {"response"}
     assert warc.round_trip(pages.limit(0)).count() == 0
-    twice = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "b"), (None, "u", "a")], "page_id long, url string, html string")
-    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(twice.withColumn("first", F.lit("x"))).collect()) == [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1)]
+    twice = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "u", "b"), (None, "u", "a"), (None, "v", "c"), (None, None, "c")], "page_id long, url string, html string")
+    found = [(r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(twice.withColumns({"first": F.lit("x"), "payload_digest": F.lit("y")})).collect()]
+    assert sorted(found, key=str) == [(0, 1, "response", None)] * 2 + [(0, 1, "revisit", 1)] + [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1)]
 
 
 def test_records_are_where_the_index_says(spark, tmp_path, sf):
     pages = table(spark, sf, "pages")
-    warc.write_archives(pages, str(tmp_path / "w"))
+    warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=4_000)
     index = warc.read_index(spark, str(tmp_path / "w")).collect()
     keys = [(r["url_key"], r["ts"], r["page_id"]) for r in index]
     assert keys == sorted(keys) and len(keys) == pages.count()
-    raw = {f.rsplit("/", 1)[1]: gzip.open(f).read() for f in glob(str(tmp_path / "w/part-*"))}
-    htmls = {r["page_id"]: r["html"].encode() for r in pages.collect()}
+    files = {f.rsplit("/", 1)[1]: f for f in glob(str(tmp_path / "w/part-*"))}
+    assert len(files) > 10 and all(len(open(f, "rb").read()) < 8_000 for f in files.values())
+    htmls, ids = {r["page_id"]: r["html"].encode() for r in pages.collect()}, set()
     for r in index:
-        record = raw[r["archive"]][r["offset"] : r["offset"] + r["length"]]
-        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        with open(files[r["archive"]], "rb") as f:  # a reader that knows the index seeks to the record
+            f.seek(r["offset"])
+            record = gzip.decompress(f.read(r["length"]))
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and b"\r\nContent-Type: application/http; msgtype=response\r\n" in record
+        ids.add(record.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0])
         if r["record_type"] == "response":
-            assert record.endswith(htmls[r["page_id"]] + b"\r\n\r\n")
+            assert record.endswith(b"\r\n\r\n" + htmls[r["page_id"]] + b"\r\n\r\n")
+    assert len(ids) == len(index)
+    for f in files.values():  # any reader of gzip files sees the records in turn, the archive's own first
+        assert gzip.open(f).read().startswith(b"WARC/1.1\r\nWARC-Record-ID: <urn:uuid:") and b"WARC-Type: warcinfo" in gzip.open(f).read(200)
+
+
+def test_index_over_many_ranges(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    warc.write_archives(table(spark, sf, "pages"), str(tmp_path / "w"), archive_bytes=5_000)
+    merged = warc.read_index(spark, str(tmp_path / "w"))
+    keys = [(r["url_key"], r["ts"], r["page_id"]) for r in merged.collect()]
+    assert merged.rdd.getNumPartitions() > 3 and keys == sorted(keys)
 
 
 def test_loser_tree():
@@ -176,13 +267,48 @@ def test_long_chain(spark):
     assert {int(r["call_id"]): r["step"] for r in chat.steps(calls).collect()} == {i: i for i in range(300)}
 
 
+def brute_steps(calls):
+    """Longest chains by settling one call after the other."""
+    ups = {(c, i): {(c, u) for u in after} for c, i, after in calls}
+    ups = {k: {u for u in v if u in ups} for k, v in ups.items()}
+    level = {}
+    while ready := [k for k, v in ups.items() if k not in level and all(u in level for u in v)]:
+        level.update({k: max((level[u] + 1 for u in ups[k]), default=0) for k in ready})
+    return {k: level.get(k, -1) for k in ups}
+
+
+def test_calls_with_several_predecessors(spark):
+    rng = random.Random(2)
+    calls = []
+    for conv in range(8):
+        for i in range(40):
+            after = [str(rng.randrange(0, i)) for _ in range(rng.randrange(0, 4))] if i else []
+            if conv == 3 and i % 9 == 0:
+                after.append(str(i + 1))  # some go in circles, others wait for them
+            calls.append((conv, str(i), [*after, *after[:1], "gone"][: rng.randrange(0, 6)]))
+    got = {(r["conv_id"], r["call_id"]): r["step"] for r in chat.steps(spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")).collect()}
+    want = brute_steps(calls)
+    assert got == want and -1 in want.values() and max(want.values()) > 5
+
+
 def test_conversations_odd_cases(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", None, 1), (1, 2, "assistant", "x", 1), (1, 3, "user", "", 1), (1, 3, "user", "", 1), (2, 1, "assistant", "y", 1), (None, 0, "user", "q", 1)], "conv_id long, turn long, role string, text string, step int")
-    got = {(r["conv_id"], r["pos"]): (r["step"], r["linked"], r["valid"]) for r in chat.format_conversations(turns).collect()}
+    turns = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", None, 1), (1, 2, "assistant", "x", 1), (1, 3, "user", "", 1), (1, 3, "user", "", 1), (2, 1, "assistant", "y", 1), (None, 0, "user", "q", 1), (2, None, "assistant", "z", 1), (2, 7, None, None, 1), (1, 0, "system", "s", 1)], "conv_id long, turn long, role string, text string, step int")
+    found = chat.format_conversations(turns).collect()
+    got = {(r["conv_id"], r["pos"]): (r["step"], r["linked"], r["valid"]) for r in found if r["call_id"]}
     assert got == {(1, 1): (0, True, False), (1, 3): (1, False, False)}
+    messages = sorted([(r["conv_id"], r["pos"], r["valid"], r["json"]) for r in found if not r["call_id"]], key=str)
+    said = lambda role, text: chat.canonical({"content": text, "role": role})
+    assert messages == sorted([(1, 0, True, said("system", "s"))] * 2 + [(2, 1, True, said("assistant", "y")), (None, 0, True, said("user", "q")), (2, None, True, said("assistant", "z")), (2, 7, False, said(None, None))], key=str)
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_every_turn_is_in_the_result(spark, sf):
+    turns = table(spark, sf, "conversations").collect()
+    found = chat.format_conversations(table(spark, sf, "conversations")).collect()
+    assert len(found) + sum(r["linked"] for r in found) == len(turns)
+    assert {"system"} <= {json.loads(r["json"]).get("role") for r in found}
+
+
 # vectors
 
 
@@ -235,9 +361,30 @@ def test_links_are_those_of_brute_force(spark, monkeypatch, cell, block):
     assert max(n.values()) > 3
 
 
+@pytest.mark.parametrize("block", [32 << 20, 12 * 8 * 30])
+def test_vectors_without_structure_are_joined_as_a_triangle(spark, monkeypatch, block):
+    monkeypatch.setattr(embdedup, "CELL_ROWS", 20)
+    monkeypatch.setattr(embdedup, "BLOCK_BYTES", block)
+    asked, real = [], embdedup._triangles
+    monkeypatch.setattr(embdedup, "_triangles", lambda *a: asked.append(real(*a)) or asked[-1])
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=12).tolist(), i % 2) for i in range(200)]
+    rows += [(200 + i, (np.array(rows[i % 50][1]) * 2 + rng.normal(size=12) * 0.2).tolist(), (i % 50) % 2) for i in range(150)] + [(350 + i, rows[3][1], 1) for i in range(5)]
+    n = {i: 0 for i, *_ in rows}
+    for a, b in brute_links(rows):
+        n[a] += 1
+        n[b] += 1
+    got = embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert asked[0] and {r["vec_id"]: r["n_links"] for r in got} == n and max(n.values()) > 5
+    small = {r["vec_id"]: r["component_id"] for r in got}
+    assert all(small[a] == small[b] for a, b in brute_links(rows))
+
+
 def test_vectors_odd_cases(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embdedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    zeros = embdedup.near_duplicates(spark.createDataFrame([(1, [1.0, -0.0], 0), (2, [1.0, 0.0], 0)], kind).selectExpr("*", "1 as h1", "2 as rep", "3 as n")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in zeros} == {(1, 1, 1), (2, 1, 1)}
     twice = embdedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0)], kind)).collect()
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in twice} == {(1, 2, 1), (2, 2, 1)}
 
@@ -259,26 +406,83 @@ def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
 
 
+CLASHING = ["row", "score", "lang_pred", "fit", "toxic", "p_toxic", "_p_toxic", "_row"]
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, sf):
-    docs = table(spark, sf, "documents").select("*", F.lit(1).alias("row"))
-    dirty = docs.limit(1).select(F.lit(10_001).cast("long").alias("doc_id"), F.lit("### 123").alias("text"), "lang", "source", "n_chars", "row")
+    """Whatever further columns are called, they are kept as they are, and no clean row goes for its language."""
+    docs = table(spark, sf, "documents")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHING])
+    dirty = docs.limit(1).select(F.lit(10_001).cast("long").alias("doc_id"), F.lit("### 123").alias("text"), *docs.columns[2:])
+    given = {tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs.unionByName(dirty), sf)
         assert kept.columns == docs.columns, name
+        rows = [tuple(r) for r in kept.collect()]
+        assert len(rows) > 100 and {r for r in rows if r[0] != 10_001} <= given, name
         if name == "language":
             assert kept.count() == docs.count()
 
 
+def test_language_stage_drops_what_no_language_fits(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents")
+    odd = ["qzx xkcd zzz wvw qqx", "これは日本語の文章です。今日は天気がいいですね。", "x" * 400, "Привет мир, как твои дела сегодня?"]
+    more = spark.createDataFrame([(20_000 + i, t, None, "s", 1) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs.unionByName(more), sf).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+
+
+def test_stages_on_rows_without_an_id_and_repeated_rows(spark, sf):
+    words = [f"word{k}" for k in range(300)]
+    rng = random.Random(4)
+    text = [" ".join(rng.choices(words, k=80)) for _ in range(4)]
+    item = table(spark, sf, "benchmark").filter("length(text) > 200").first()["text"]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (None, text[1]), (None, text[2]), (None, text[2]), (None, item), (5, item), (6, None), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], table(spark, sf, "documents").schema)
+    shown = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert shown(corpus_pipeline.drop_near_duplicates(spark, docs, sf)) == sorted([(1, text[0]), (1, text[1]), (None, text[2]), (5, item), (6, None)], key=str)
+    assert shown(corpus_pipeline.drop_contaminated(spark, docs, sf)) == sorted([x for x in rows if x[1] != item], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        assert stage(spark, docs, sf).count() >= 0, name
+
+
+def brute_text_fingerprints(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if x]
+    if not w:
+        return 0, 0
+
+    def majority(weights, bits):
+        return sum(1 << b for b in range(bits) if 2 * sum(n for h, n in weights.items() if h >> b & 1) > sum(weights.values()))
+
+    digest = lambda x: xxhash.xxh3_128_intdigest(x.encode())
+    grams = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {" ".join(w)}
+    return majority({digest(x) >> 64: len(f"{w.count(x):b}") for x in set(w)}, 64), majority({digest(x): 1 for x in grams}, 128)
+
+
+def brute_first(rows):
+    """Of each group of similar texts the smallest id, by all pairs."""
+    from tests.llm.test_text_operators import brute_components
+
+    prints = {d: brute_text_fingerprints(t) for d, t in rows.items()}
+    ids = sorted(prints)
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a][0] ^ prints[b][0]).bit_count() <= 7 and (prints[a][1] ^ prints[b][1]).bit_count() <= 26]
+    comp = brute_components(ids, linked)
+    return {d for d in ids if comp[d] == d}
+
+
 def test_pipeline_is_its_stages_by_brute_force(spark, sf):
-    from tests.llm.test_text_operators import brute_components, brute_contamination, brute_fingerprint
-
-    rows = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
-    toxic = {r["doc_id"] for r in toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).filter("toxic").collect()}
-    left = {d: t for d, t in rows.items() if d not in toxic and any(c.isalpha() for c in t or "")}
-    fp = {d: brute_fingerprint(t) for d, t in left.items()}
-    ids = sorted(fp)
-    comp = brute_components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS])
-    left = {d: t for d, t in left.items() if comp[d] == d}
+    from tests.llm.test_text_operators import brute_contamination, brute_language
+
+    docs = table(spark, sf, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"] for r in toxicity.toxicity(docs, table(spark, sf, "labels")).filter("toxic").collect()}
+    model = langid.train(docs.filter(langid.learned_from()))
+    left = {d: t for d, t in rows.items() if d not in toxic and any(c.isalpha() for c in t or "") and brute_language(t, model)[2] >= -2}
+    first = brute_first(left)
+    assert len(first) < len(left)
+    left = {d: t for d, t in left.items() if d in first}
     items = [(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()]
     clean = {d for d, *_, bad in brute_contamination(left.items(), items) if not bad}
     got = corpus_pipeline.run(spark, sf).collect()

@@ -76,7 +76,9 @@ def test_contamination_odd_cases(spark):
     assert not any(x[5] for x in reported(decontam.contamination_report(odd_docs(spark), bench.limit(0))))
 
 
-def test_contamination_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most_terms", [500_000, 3])
+def test_contamination_in_blocks(spark, monkeypatch, most_terms):
+    monkeypatch.setattr(decontam, "MOST_TERMS", most_terms)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(30)]
     docs = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 400)))) for i in range(60)]
@@ -88,6 +90,14 @@ def test_contamination_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_contamination_of_rows_without_ids(spark):
+    """String keys are carried as they are; an item without an id marks words and is not among the items."""
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "four"), (None, "one two three"), ("a", "five")], "name string, text string")
+    items = spark.createDataFrame([(None, "one two"), (3, "five")], "item_id long, text string")
+    got = sorted([(r["doc_id"], r["items"], [(s["first"], s["last"]) for s in r["spans"]]) for r in decontam.find_contamination(docs, items, key="name").collect()], key=str)
+    assert got == sorted([("a", [], [(0, 1)]), ("b", [], []), (None, [], [(0, 1)]), ("a", [3], [(0, 0)])], key=str)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha x x x beta x gamma"), (4, "alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
@@ -164,6 +174,48 @@ def test_close_pairs(spark):
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.random()}"
+    return words
+
+
+@pytest.mark.parametrize(("node_rows", "levels"), [(16_384, 2), (16, 2), (16, 1)])
+def test_similar_rows_are_those_of_all_pairs(spark, monkeypatch, node_rows, levels):
+    from tests.llm.test_other_operators import brute_first
+
+    monkeypatch.setattr(simhash, "WIDE_ROWS", node_rows)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    bases = [rng.choices(vocabulary, k=150) for _ in range(12)]
+    texts = [" ".join(edited(rng, rng.choice(bases), rng.randrange(0, 6))) for _ in range(160)] + [" ".join(rng.choices(vocabulary, k=100)) for _ in range(60)] + ["", "short one", None, "short one"]
+    docs = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "doc_id long, text string, name string")
+    want = brute_first(dict(enumerate(texts)))
+    assert {int(r["row"]) for r in simhash.first_rows(docs, "name").collect()} == want and len(want) < 120
+    named = {int(r["row"]): int(r["first"]) for r in simhash.similar_rows(docs, "name").collect()}
+    assert set(named) == set(range(len(texts))) and set(named.values()) == want and all(named[i] == i for i in want)
+
+
+def test_recall_of_similar_texts():
+    """Of pairs with a Jaccard similarity of their five-word shingles of 0.8 or more, nine in ten link; of those below a half, none."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    bits = lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    close, far = [], []
+    for _ in range(400):
+        base = [vocabulary[min(int(rng.paretovariate(0.7)), 1999)] for _ in range(rng.randrange(60, 600))]
+        other = edited(rng, base, rng.randrange(1, 2 + len(base) // 20))
+        a, b = grams(base), grams(other)
+        p, q = (simhash.text_fingerprints(" ".join(w).encode(), 5) for w in (base, other))
+        linked = bits(p[0], q[0]) <= simhash.WORD_RADIUS and bits(p[1], q[1]) <= 26
+        j = len(a & b) / len(a | b)
+        (close if j >= 0.8 else far if j < 0.5 else []).append(linked)
+    assert len(close) > 50 and np.mean(close) >= 0.9 and np.mean(far or [0]) < 0.02
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (300, 299)]
     got = {r["vertex"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -272,6 +324,43 @@ def test_language_against_plain_counts(spark):
     assert np.allclose(matrix, want) and np.allclose(np.exp(prior).sum(), 1)
 
 
+def brute_language(text, model):
+    """(language, posterior, fit) letter by letter."""
+    names, prior, matrix = model
+    s = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    sums, n = [0.0] * len(names), 0
+    for size in (1, 2, 3):
+        for i in range(len(s) - size + 1):
+            h = size
+            for c, factor in zip(s[i : i + size], (2654435761, 2246822519, 3266489917)):
+                h = ((h ^ (ord(c) * factor % 2**32)) * 668265263) % 2**32
+            h = ((h ^ (h >> 15)) * 668265263 % 2**32) >> 16
+            n += 1
+            for k in range(len(names)):
+                sums[k] += matrix[h, k]
+    given = [a + b for a, b in zip(sums, prior)]
+    k = max(range(len(names)), key=lambda k: given[k])
+    share = np.exp(matrix[:, k]) - np.exp(matrix[:, k]).min()
+    share /= share.sum()
+    mean = float(share @ matrix[:, k])
+    spread = float(np.sqrt(share @ matrix[:, k] ** 2 - mean**2))
+    return names[k], 1 / sum(np.exp(g - given[k]) for g in given), sums[k] / n - mean + 5 * spread * (6 / n) ** 0.5
+
+
+def test_predictions_are_those_of_a_plain_scorer(spark, sf):
+    docs = table(spark, sf, "documents").limit(60).unionByName(odd_docs(spark).drop("row").filter("doc_id in (5, 6, 7)"))
+    model = langid.train(table(spark, sf, "documents").filter(langid.learned_from()))
+    for r in langid.predict(docs, model, ["doc_id", "text"]).collect():
+        lang, score, fit = brute_language(r["text"], model)
+        assert r["lang_pred"] == lang and np.isclose(r["score"], score) and np.isclose(r["fit"], fit)
+
+
+def test_language_names_clash_with_nothing(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr("*", "'s' as score", "'p' as lang_pred", "0 as held_out", "1 as fit")
+    plain = langid.identify(table(spark, sf, "documents")).collect()
+    assert sorted(map(tuple, langid.identify(docs).collect())) == sorted(map(tuple, plain))
+
+
 def test_language_odd_cases(spark):
     got = langid.identify(odd_docs(spark)).collect()
     assert {r["lang_pred"] for r in got if r["doc_id"] <= 4} == {"und"} and all(r["score"] == 0 for r in got if r["doc_id"] <= 4)
@@ -303,6 +392,76 @@ def test_chain_uses_earlier_categories(spark):
     assert np.mean([(got[i][0] > 0.5) == bool(a) for i, a, _ in labels]) > 0.98
 
 
+def labelled(spark, flip=frozenset(), n=400):
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        bad = rng.random() < 0.4
+        words = rng.choices([f"w{k}" for k in range(30)], k=10) + (["awful", "vile"] if bad and rng.random() < 0.8 else [])
+        rows.append((i, i % toxicity.FOLDS, float(bad != (i in flip)), words))
+    features = [np.unique([f for w in set(words) for f in toxicity.word_features(w.encode())], return_counts=True) for *_, words in rows]
+    data = [(i, fold, y, f.tolist(), t.tolist()) for (i, fold, y, _), (f, t) in zip(rows, features)]
+    return spark.createDataFrame(data, "id long, fold int, y_a double, features array<int>, times array<int>")
+
+
+def test_log_odds_come_from_models_that_have_not_seen_the_row(spark):
+    """With all labels of a fold turned round, the log-odds of its rows stay and those of other folds change."""
+    fold = 2
+    odds = []
+    for flip in (frozenset(), frozenset(range(fold, 400, toxicity.FOLDS))):
+        rows = labelled(spark, flip)
+        models = toxicity._fit_folds(rows, "y_a", [])
+        assert set(models) == set(range(toxicity.FOLDS + 1))
+        odds.append({r["id"]: (r["fold"], r["z_y_a"]) for r in toxicity._log_odds(rows, "y_a", [], models).collect()})
+    same = {i: np.isclose(odds[0][i][1], odds[1][i][1], atol=1e-12) for i in odds[0]}
+    assert all(same[i] for i, (f, _) in odds[0].items() if f == fold)
+    assert np.mean([same[i] for i, (f, _) in odds[0].items() if f != fold]) < 0.1
+
+
+def test_fit_is_the_optimum_of_a_dense_solver(monkeypatch):
+    """Newton's method on the dense matrix of the features that have a weight reaches no lower loss, and the same weights."""
+    rng = np.random.default_rng(0)
+    n, d = 500, 40
+    x = rng.poisson(0.4, size=(n, d))
+    extra = rng.normal(size=(n, 1))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, :5].sum(axis=1) - 1.5 + extra[:, 0])))).astype(float)
+    monkeypatch.setattr(toxicity, "LEAST_ERRORS", 1.0)
+    got = toxicity.fit_logistic([np.flatnonzero(r).astype(np.int32) for r in x], [r[r > 0] for r in x], extra, y, d)
+    live = np.flatnonzero(got[:d])
+    a = np.column_stack([x[:, live], extra, np.ones(n)])
+    ridge = np.diag([toxicity.PENALTY] * (a.shape[1] - 1) + [0.0])
+    w = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - y) + ridge @ w)
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + w @ ridge @ w / 2
+    mine = np.append(got[live], got[d:])
+    assert len(live) >= 5 and loss(mine) - loss(w) < 1e-4 * loss(w) and np.allclose(mine, w, atol=0.05)
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    chain = toxicity.train_chain(docs, labels, ["poor", "toxic"])
+    docs = docs.filter("doc_id < 200")
+    assert np.flatnonzero(chain[0]).size > 1 and len(chain[1]) == len(chain[0]) + 1
+    for r in toxicity.score_chain(docs, chain, ["poor", "toxic"], ["text", "doc_id"]).collect():
+        words, z = {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].translate(LOWER)) if w}, []
+        for w in chain:
+            total = w[-1] + sum(w[toxicity.BUCKETS + k] * before for k, before in enumerate(z))
+            for word in words:
+                forms = [word.encode()] + [f"{n}{word[:n]}".encode() for n in (5, 7) if len(word) > n]
+                total += sum(w[zlib.crc32(f) % (1 << 18)] for f in forms)
+            z.append(min(30, max(-30, total)))
+        assert np.allclose([r["p_poor"], r["p_toxic"]], [1 / (1 + np.exp(-x)) for x in z])
+
+
+def test_toxicity_names_clash_with_nothing(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr("*", "'orig' as toxic", "'p' as p_toxic")
+    got = toxicity.toxicity(docs, table(spark, sf, "labels"), keep=docs.columns, prefix="x_")
+    assert got.columns == [*docs.columns, "x_p_poor", "x_p_toxic", "x_toxic"] and {r["toxic"] for r in got.collect()} == {"orig"}
+
+
 def test_toxicity_odd_cases(spark):
     labels = spark.createDataFrame([(5, 1, 0), (6, 0, 1), (99, 1, 1), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd_docs(spark), labels).collect()

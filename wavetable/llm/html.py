@@ -1,34 +1,40 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are ordered by host, URL path, query, id and digest over ranges of that order, so that a host with very many
-pages is spread over many tasks. Each page is paired with the neighbour in its host whose path shares the longer
-beginning with its own (the earlier one of equals). Neighbours with the same lines are passed over for the next page
-that differs, as the same article under two addresses says nothing of what a site repeats. The text lines of both are
-aligned by a longest common subsequence; shared lines are what a site repeats.
+pages is spread over many tasks. Each page is compared with the pages next to it in that order, SIDE before it and SIDE
+after it, of its own host. Pages in a row with the same lines at the same places count as one, and a neighbour with the
+same words is left out, as the same article under two addresses says nothing of what a site repeats. The lines of both pages are aligned by a longest
+common subsequence; a line that half of the neighbours or more share is what the site repeats, and is deleted.
+
+Menus, adverts and footers vary in their words from page to page, so words alone don't align them. The markup gives
+each line its place: GONE (inside an element, role or class name for menus, headers, footers, asides, notices, adverts,
+forms, comments), MAIN (inside an article or main element) or OPEN. A line of a GONE place is aligned by that place, any
+other line by its text. Where differencing and place are at odds, the place breaks the tie: shared lines of an article
+stay, as articles repeat passages, and a GONE line that no neighbour has goes; on a page with an article so does what is
+outside it. n_shared, n_by_place and n_tied say how many lines each rule decided.
 
 The ranges do not show in the result. A first pass orders addresses and digests alone and tells of each range where it
-begins and which pages stand at its edges; from that the driver, which gets four rows of a range at most, finds the
-differing page on either side of each range. Those pages are sent to the range besides its own.
-
-Differencing alone gives wrong text where menus and adverts vary from page to page, and where articles repeat a line
-or a whole article is served under two addresses. So a page's own markup is asked first: inside elements or classes
-for menus, headers, footers, asides, notices, adverts, forms and comments a line goes; inside an article or main
-element it stays; all other lines stay if they are not shared, and only on pages without such an element.
-
-Defined cases: null or empty html gives an empty text; a null url pairs with nothing; repeated rows share their
-neighbours; markup that is never closed ends with the page; an empty table gives an empty result.
+begins and which pages stand at its edges; from that the driver, which gets 2 (SIDE + 1) rows of a range at most, finds
+the differing pages on either side of each range. Those pages are sent to the range besides its own.
+
+Defined cases: null or empty html gives an empty text; a null url pairs with nothing, and a page without neighbours is
+decided by its places alone; repeated rows share their neighbours; ties in the order of pages are equal rows; markup
+that is never closed ends with the page, and a tag that has no end is text; a very long page takes time in proportion
+to its bytes, and to the product of the line numbers over 64 where two long pages are aligned; columns besides the key,
+url and html are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 from html import unescape
 from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -37,6 +43,12 @@ from pyspark.sql import functions as F
 from wavetable.llm.util import ARROW_ROWS, materialize, small_batches
 
 GONE, OPEN, MAIN = 0, 1, 2
+#: Differing pages of the host that a page is compared with on either side of it.
+SIDE = 2
+#: Letters of a place's name that count; deeper elements have the place of their ancestors.
+MOST_PATH = 200
+#: Bits of the rows that an alignment holds at once.
+MOST_BITS = 1 << 28
 
 #: Fixed word lists of the markup language and of common class names.
 RAW = "script|style|noscript|template|textarea|select|iframe|svg|object|title|button"
@@ -51,7 +63,9 @@ GONE_NAMES = frozenset(
     "sidebar sidenav widget widgets related recommended menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond share sharing social login signup pagination pager toolbar skip hidden".split()
 )
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+#: The rest of a tag. It ends at the next < outside quotes, so that tags without an end are not read again from every <.
+REST = r"((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{REST}.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+){REST}|<[!?][^<>]*+>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 #: Words that say of a page part that another one is there or not.
@@ -71,22 +85,30 @@ def _attributes_say_gone(attributes: str, outside: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[int, str]]:
-    """(GONE, OPEN or MAIN; text) of each block with text, in page order."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    state, parts, at = OPEN, [], 0
+def lines_of(html: str) -> list[tuple[int, str, str]]:
+    """(GONE, OPEN or MAIN; text; names of the open elements from the outermost GONE one on) of each block with text, in page order."""
+    out: list[tuple[int, str, str]] = []
+    stack: list[tuple[str, int, str]] = []
+    where: dict[str, list[int]] = {}  # places of each open tag in the stack, and of all that are not loose
+    firm: list[int] = []
+    state, path, parts, at = OPEN, "", [], 0
 
     def close_block() -> None:
         if parts and (text := " ".join(unescape("".join(parts)).split())):
-            out.append((state, text))
+            out.append((state, text, path))
         parts.clear()
 
+    def pop() -> None:
+        tag = stack.pop()[0]
+        where[tag].pop()
+        if firm and firm[-1] == len(stack):
+            firm.pop()
+
     for token in TOKEN.finditer(html):
         if token.start() > at:
             parts.append(html[at : token.start()])
         at = token.end()
-        tag = (token[3] or "").lower()
+        tag = (token[4] or "").lower()
         if not tag:
             if token[1]:
                 close_block()
@@ -95,79 +117,132 @@ def lines_of(html: str) -> list[tuple[int, str]]:
             continue
         if tag not in TRACKED_INLINE:
             close_block()
-        if token[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in LOOSE and stack[i][0] not in LOOSE:
-                    break
-        elif tag not in VOID and not token[4].endswith("/"):
+        if token[3]:
+            own = where.get(tag)
+            if own and not (tag in LOOSE and firm and firm[-1] > own[-1]):
+                for _ in range(len(stack) - own[-1]):
+                    pop()
+        elif tag not in VOID and not token[5].endswith("/"):
             if tag not in TRACKED_INLINE:
                 # an open paragraph ends where the next block begins; so does an item where the next one does
                 while stack and (stack[-1][0] in ("p", *TRACKED_INLINE) or tag in LOOSE and stack[-1][0] == tag):
-                    stack.pop()
-            state = stack[-1][1] if stack else OPEN
+                    pop()
+            state, path = stack[-1][1:] if stack else (OPEN, "")
             mine = state
-            if tag in GONE_TAGS or tag == "header" and state != MAIN or tag not in ("html", "body") and token[4] and _attributes_say_gone(token[4], state != MAIN):
+            if tag in GONE_TAGS or tag == "header" and state != MAIN or tag not in ("html", "body") and token[5] and _attributes_say_gone(token[5], state != MAIN):
                 mine = GONE
             elif tag in ("article", "main") and state != GONE:
                 mine = MAIN
             if tag in TRACKED_INLINE and mine != state:
                 close_block()
-            stack.append((tag, mine))
-        new = stack[-1][1] if stack else OPEN
-        if new != state:
+            where.setdefault(tag, []).append(len(stack))
+            if tag not in LOOSE:
+                firm.append(len(stack))
+            stack.append((tag, mine, f"{path}/{tag}"[:MOST_PATH] if mine == GONE else ""))
+        now = stack[-1][1:] if stack else (OPEN, "")
+        if now[0] != state:
             close_block()
-            state = new
+        if not parts:
+            state, path = now
     parts.append(html[at:])
     close_block()
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, from the matching places alone."""
+def keys_of(lines: list[tuple[int, str, str]]) -> list[str]:
+    """What lines are aligned by: the place of a GONE one, the text of any other."""
+    return [f"\0{path}" if state == GONE else text for state, text, path in lines]
+
+
+def _advance(rows: list[str], bits: dict[str, int], n: int) -> Iterator[int]:
+    """After each row a number whose zero bits are the columns at which the longest common subsequence so far grows."""
+    full = now = (1 << n) - 1
+    for row in rows:
+        if both := now & bits.get(row, 0):
+            now = ((now + both) | (now - both)) & full
+        yield now
+
+
+def _bits(columns: list[str]) -> dict[str, int]:
+    found: dict[str, bytearray] = {}
+    for j, c in enumerate(columns):
+        found.setdefault(c, bytearray(len(columns) + 7 >> 3))[j >> 3] |= 1 << (j & 7)
+    return {c: int.from_bytes(b, "little") for c, b in found.items()}
+
+
+def _lengths(rows: list[str], columns: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of rows and of each beginning of columns."""
+    *_, last = 0, *_advance(rows, _bits(columns), len(columns))
+    grown = np.unpackbits(np.frombuffer(last.to_bytes(len(columns) + 7 >> 3, "little"), np.uint8), bitorder="little")[: len(columns)]
+    return np.concatenate([[0], np.cumsum(1 - grown)]) if rows else np.zeros(len(columns) + 1, np.int64)
+
+
+def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence of a and b, by bit-parallel rows; long pages are halved so that the rows fit."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    found = set(range(head)) | set(range(len(a) - tail, len(a)))
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):  # from the last, so that a line of a is used once
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        found.add(link[0])
-        link = link[1]
+    ends = [(i, i) for i in range(head)] + [(len(a) - k, len(b) - k) for k in range(1, tail + 1)]
+    known = set(b[head : len(b) - tail])
+    mine = [i for i in range(head, len(a) - tail) if a[i] in known]
+    known = {a[i] for i in mine}
+    theirs = [j for j in range(head, len(b) - tail) if b[j] in known]
+    work, found = [(mine, theirs)], ends
+    while work:
+        rows, columns = work.pop()
+        if not rows or not columns:
+            continue
+        x, y = [a[i] for i in rows], [b[j] for j in columns]
+        if len(x) > 1 and len(x) * len(y) > MOST_BITS:
+            half = len(x) // 2
+            cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            work += [(rows[:half], columns[:cut]), (rows[half:], columns[cut:])]
+            continue
+        table = list(_advance(x, _bits(y), len(y)))
+        i, j = len(x), len(y)
+        while i and j:
+            if table[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or table[i - 1] >> (j - 1) & 1:
+                j -= 1
+                found.append((rows[i], columns[j]))
     return found
 
 
-def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    if any(state == MAIN for state, _ in lines):
-        return " ".join(text for state, text in lines if state == MAIN)
-    return " ".join(text for i, (state, text) in enumerate(lines) if state == OPEN and i not in shared)
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of a longest common subsequence of a and b."""
+    return {i for i, _ in align(a, b)}
+
+
+KEPT, SHARED, BY_PLACE, TIED = range(4)
+
 
+def decide(lines: list[tuple[int, str, str]], shared: set[int]) -> list[int]:
+    """For each line the rule that decides it: SHARED and BY_PLACE delete it, KEPT and TIED keep it. shared: lines that neighbours repeat."""
+    article = any(state == MAIN for state, *_ in lines)
+    rules = []
+    for i, (state, *_) in enumerate(lines):
+        if state == MAIN:
+            rules.append(TIED if i in shared else KEPT)
+        elif i in shared:
+            rules.append(SHARED)
+        else:
+            rules.append(BY_PLACE if article or state == GONE else KEPT)
+    return rules
 
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+
+def repeated(found: list[set[int]]) -> set[int]:
+    """Lines that half of the neighbours or more share; found: those shared with each."""
+    return {i for i, n in Counter(i for one in found for i in one).items() if 2 * n >= len(found)}
+
+
+def main_text(lines: list[tuple[int, str, str]], shared: set[int]) -> str:
+    return " ".join(text for (_, text, _), rule in zip(lines, decide(lines, shared)) if rule in (KEPT, TIED))
 
 
 ORDER = ("host", "path", "query", "page_id", "digest")
@@ -182,94 +257,101 @@ def _address() -> list[Column]:
 
 
 def _edges(rows: DataFrame) -> tuple[list[tuple], list[tuple]]:
-    """Of ranges of ORDER: where each begins; and (range, place) of the page before and the page after it that differ from its own at that edge.
+    """Of ranges of ORDER: where each begins; and (range, place) of the pages before and after it that it is compared with.
 
-    A range's edge is the run of pages of one host with equal lines at its end. rows: ORDER and html.
+    Pages of one host in a row with equal lines are a run; one page stands for it. rows: ORDER and html.
     """
     places = ", ".join(f"{c} {t}" for c, t in zip(ORDER, TYPES))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blake2b("\n".join(t for _, t in lines_of(x or "")).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in batch.column("html").to_pylist()]
+            found = [digest_of(lines_of(x or "")) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*ORDER, "lines"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the range: its first page (0) and last page (3); the first page of the first one's host that differs from it (1); the last of the last one's host that differs (2)."""
-        first = second = back = last = None
-        ended = False
+        """The first (0) and last (1) SIDE + 1 runs of the range, as far as they are of its first or last page's host; whole: those are all of it."""
+        first, last, whole = [], [], True
         for batch in batches:
             for page in zip(*(c.to_pylist() for c in batch.columns)):
-                first = first or page
-                if second is None and not ended:
-                    ended = page[0] != first[0]
-                    second = page if not ended and page[-1] != first[-1] else None
-                if last and page[0] != last[0]:
-                    back = None
-                elif last and page[-1] != last[-1]:
-                    back = last
-                last = page
-        told = [(i, *p) for i, p in enumerate((first, second, back, last)) if p]
+                if last and page[0] == last[-1][0] and page[-1] == last[-1][-1]:
+                    continue
+                if last and page[0] != last[-1][0]:
+                    last, whole = [], False
+                if whole and len(first) <= SIDE:
+                    first.append(page)
+                last.append(page)
+                if len(last) > SIDE + 1:
+                    last.pop(0)
+                    whole = whole and None  # one host still, but with runs that are not told
+        told = [(side, whole is True, i, *p) for side, found in enumerate((first, last)) for i, p in enumerate(found)]
         if told:
-            columns = [pa.array(c, t) for c, t in zip(zip(*told), (pa.int32(), *[pa.string()] * 3, pa.int64(), pa.int64(), pa.binary()))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*told), (pa.int32(), pa.bool_(), pa.int32(), *[pa.string()] * 3, pa.int64(), pa.int64(), pa.binary()))]
             part = pa.array([TaskContext.get().partitionId()] * len(told), pa.int32())
-            yield pa.RecordBatch.from_arrays([part, *columns], ["part", "which", *ORDER, "lines"])
+            yield pa.RecordBatch.from_arrays([part, *columns], ["part", "side", "whole", "place", *ORDER, "lines"])
 
     spark = rows.sparkSession
     keys = materialize(rows.select(*ORDER, "html").mapInArrow(digests, f"{places}, lines binary"), "page-digests")
     dealt = keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *ORDER).sortWithinPartitions(*ORDER)
-    told: dict[int, dict[int, tuple]] = {}
-    for part, which, *page in dealt.mapInArrow(ends, f"part int, which int, {places}, lines binary").collect():
-        told.setdefault(part, {})[which] = (*page[:-1], bytes(page[-1]))
+    told: dict[int, tuple[bool, list, list]] = {}
+    for part, side, whole, place, *page in sorted(dealt.mapInArrow(ends, f"part int, side int, whole boolean, place int, {places}, lines binary").collect(), key=lambda r: r[:4]):
+        told.setdefault(part, (whole, [], []))[1 + side].append((*page[:-1], bytes(page[-1])))
     ranges = [told[p] for p in sorted(told)]
     beside = []
-    for i, mine in enumerate(ranges):
-        for edge, others, far, near in ((mine[0], ranges[:i][::-1], 3, 2), (mine[3], ranges[i + 1 :], 0, 1)):
+    for i, (_, first, last) in enumerate(ranges):
+        for edge, others, far in ((first[0], ranges[:i][::-1], 2), (last[-1], ranges[i + 1 :], 1)):
+            lines, lent = edge[-1], 0
             for other in others:
-                if not edge[0] or other[far][0] != edge[0]:
+                for page in other[far] if far == 1 else other[far][::-1]:
+                    if edge[0] and page[0] == edge[0] and lent < SIDE and page[-1] != lines:
+                        beside.append((i, *page[:-1]))
+                        lines, lent = page[-1], lent + 1
+                if not edge[0] or lent == SIDE or not other[0] or other[far][0][0] != edge[0]:
                     break
-                found = other[far] if other[far][-1] != edge[-1] else other.get(near)
-                if found:
-                    beside.append((i, *found[:-1]))
-                    break
-                if other[3 - far][0] != edge[0]:  # its host ends in that range
-                    break
-    return [x[0][:-1] for x in ranges], beside
+    return [first[0][:-1] for _, first, _ in ranges], beside
+
+
+def digest_of(lines: list[tuple[int, str, str]]) -> bytes:
+    return blake2b("\n".join(f"{state}{path} {text}" for state, text, path in lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Per row: page_id, url, text, n_chars, n_lines, n_shared (lines that its neighbour has, too)."""
+    """Per row: page_id, url, text, n_chars, n_lines, n_shared (lines that differencing deletes), n_by_place (that their place deletes), n_tied (shared, but kept by their place), n_neighbours."""
     small_batches(pages.sparkSession)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
+    counts = ("n_lines", "n_shared", "n_by_place", "n_tied", "n_neighbours")
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), *((c, pa.int64()) for c in counts)])
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        # pages of a range and host in a row with equal lines: ((part, host), text of the lines, [(own, path, page_id, url, lines)])
-        before = now = None
-
-        def decide(after) -> Iterator[tuple]:
-            host, texts, same = now
-            sides = [(p[2][at][1], shared_lines(texts, p[1])) for p, at in ((before, -1), (after, 0)) if p and p[0] == host]
-            for own, path, key_, url, lines in same:
-                if not own:
-                    continue
-                shared = max(sides, key=lambda x: _common(x[0], path), default=("", set()))[1]
-                yield key_, url, main_text(lines, shared), len(lines), len(shared)
+        # the last runs of a range and host: [(part, host), digest, lines, keys, [(own, page_id, url)], lines shared with each neighbour]
+        near: deque = deque()
+
+        def answer(run: list) -> Iterator[tuple]:
+            _, _, lines, _, pages, shared = run
+            rules, text = decide(lines, repeated(shared)), main_text(lines, repeated(shared))
+            counted = [len(lines), *(rules.count(x) for x in (SHARED, BY_PLACE, TIED)), len(shared)]
+            yield from ((key_, url, text, *counted) for own, key_, url in pages if own)
 
         for batch in batches:
-            for part, own, host, path, key_, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, own, host, key_, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = lines_of(html or "")
-                texts = [t for _, t in lines]
+                place, digest = (part, host), digest_of(lines)
+                if host and near and near[-1][:2] == [place, digest]:
+                    near[-1][4].append((own, key_, url))
+                    continue
+                if near and (near[-1][0] != place or len(near) > SIDE):
+                    for _ in range(len(near) if near[-1][0] != place else 1):
+                        yield from answer(near.popleft())
+                run = [place, digest, lines, keys_of(lines), [(own, key_, url)], []]
                 if not host:
-                    yield key_, url, main_text(lines, set()), len(lines), 0
-                elif now and now[0] == (part, host) and now[1] == texts:
-                    known = now[2][-1][4]
-                    now[2].append((own, path, key_, url, known if known == lines else lines))  # equal lines are held once
-                else:
-                    page = ((part, host), texts, [(own, path, key_, url, lines)])
-                    if now:
-                        yield from decide(page)
-                    before, now = now, page
-        if now:
-            yield from decide(None)
+                    yield from answer(run)
+                    continue
+                for other in near:
+                    if [t for _, t, _ in other[2]] != [t for _, t, _ in lines]:
+                        pairs = align(other[3], run[3])
+                        other[5].append({i for i, _ in pairs})
+                        run[5].append({j for _, j in pairs})
+                near.append(run)
+        while near:
+            yield from answer(near.popleft())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batched(decided(batches), ARROW_ROWS):
@@ -283,12 +365,12 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
         starts = F.array(*[F.struct(*[F.lit(x).cast(t).alias(c) for c, t, x in zip(ORDER, TYPES, start)]) for start in begins])
         known = spark.createDataFrame(beside, ", ".join(["part int", *[f"{c} {t}" for c, t in zip(ORDER, TYPES)]]))
         same = reduce(lambda p, q: p & q, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ORDER])
-        # two rows for each range at most; of repeated rows one is enough
+        # 2 SIDE rows for each range at most; of repeated rows one is enough
         lent = rows.alias("r").join(F.broadcast(known.alias("k")), same).select("k.part", "r.*").dropDuplicates(["part", *ORDER])
         own = rows.withColumn("part", F.size(F.filter(starts, lambda x: x <= place)) - 1)
         rows = own.withColumn("own", F.lit(True)).unionByName(lent.withColumn("own", F.lit(False)))
     else:
         rows = rows.select("*", F.lit(0).alias("part"), F.lit(True).alias("own"))
-    rows = rows.repartitionByRange("part").sortWithinPartitions("part", *ORDER).select("part", "own", "host", "path", "page_id", "url", "html")
-    found = rows.mapInArrow(run, "page_id bigint, url string, text string, n_lines bigint, n_shared bigint")
-    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
+    rows = rows.repartitionByRange("part").sortWithinPartitions("part", *ORDER).select("part", "own", "host", "page_id", "url", "html")
+    found = rows.mapInArrow(run, "page_id bigint, url string, text string, " + ", ".join(f"{c} bigint" for c in counts))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), *counts)

@@ -88,12 +88,12 @@ FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id
 """
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT payload_bytes, sha1(coalesce(html, '')) hex FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT payload_bytes, sha1(coalesce(html, '')) hex FROM pages),
 g AS (SELECT page_id, payload_bytes, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT) five FROM p),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[(i // 4 + 1)::BIGINT] >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') payload_digest FROM g),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END record_type,
-       CASE WHEN first <> page_id THEN first END refers_to FROM f
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN first <> page_id OR page_id IS NULL THEN first END refers_to FROM f
 """
 
 OP9_SQL = """
@@ -105,6 +105,11 @@ s AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, pos % 2, k - n ORDER B
 SELECT conv_id, step, pos, call_id, linked, q IS NOT NULL AND length(q) > 0 valid,
        sha256('{"arguments":{' || coalesce('"text":' || to_json(q), '') || '},"id":"' || call_id || '","name":"reply","result":' || coalesce(to_json(r)::VARCHAR, 'null') || ',"step":' || step || '}') json_sha256
 FROM s
+UNION ALL
+SELECT t.conv_id, NULL, t.turn, NULL, false, t.role IS NOT NULL AND length(t.text) > 0 AND t.text IS NOT NULL,
+       sha256('{"content":' || coalesce(to_json(t.text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(t.role)::VARCHAR, 'null') || '}')
+FROM conversations t LEFT JOIN (SELECT DISTINCT conv_id, turn FROM u) b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1
+WHERE NOT coalesce(t.role IN ('user', 'assistant') AND t.conv_id IS NOT NULL AND t.turn IS NOT NULL, false) OR (t.role = 'assistant' AND b.turn IS NULL)
 """
 
 ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_chat": OP9_SQL, "op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}

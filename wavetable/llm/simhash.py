@@ -1,23 +1,31 @@
 """SimHash near-duplicates through a Gray-ordered hierarchical index.
 
 Fingerprints are made row by row. Distinct fingerprints are then dealt out by shared bit patterns: a node of the
-index is a mask with the bits that its members have there. The nodes right under the root have a third of the
-bits as mask; two fingerprints that differ in two bits at most agree on one of the three thirds, so each lies in
-three nodes. A node with more members than NODE_ROWS is split likewise by thirds of its remaining bits, again and
-again; a node whose remaining bits are few has few distinct members, so every node ends small and hot groups are
-split. Inside a node the members are sorted by Gray rank and grouped in eights, eights of eights and so on; each
-group keeps the bits that all of its members share. Two groups are compared by their shared bits; as soon as the
-differences pass the radius all pairs of their members are out. What is left is compared in full.
+index is a mask with the bits that its members have there. The nodes right under the root have one of radius + 1
+equal parts of the bits as mask; two fingerprints that differ in radius bits at most agree on one of the parts, so each
+lies in radius + 1 nodes. A node with more members than NODE_ROWS is split likewise by parts of its remaining bits. At
+radius 2 that goes on until few bits are left, which few distinct members can have; at wider radii, after LEVELS levels,
+what is still large is dealt out in pairs of blocks. Inside a node the members are sorted by Gray rank and grouped in
+eights, eights of eights and so on; each group keeps the bits that all of its members share. Two groups are compared by
+their shared bits; as soon as the differences pass the radius all pairs of their members are out. What is left is
+compared in full.
 
 A node gives no pairs but a spanning forest of its links, so that very large groups of close fingerprints give one
 row for each member; connected components of these rows are the components of all links.
 
+`near_duplicates` links by one fingerprint of shingles. `similar_rows` is for whole corpora: the index holds a fingerprint
+of the words, weighed by the logarithm of their number, which few edits move little (WORD_RADIUS), and a pair that it finds is a link if the 128-bit
+fingerprints of the distinct shingles put their cosine at the similarity asked for, or above.
+
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words
-than a shingle make one shingle; repeated rows give repeated results; an empty table gives an empty result.
+than a shingle make one shingle; very long texts are hashed whole; repeated rows give repeated results; columns besides
+the key and text are not looked at, whatever their names (similar_rows tells rows apart by all of them); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,10 @@ RADIUS = 2
 SEED = 42
 #: Members of a node that one task compares; larger nodes are split by more masked bits.
 NODE_ROWS = 2048
+#: The same where pairs are confirmed by a second fingerprint, and the levels of masks there.
+WIDE_ROWS, LEVELS = 16_384, 2
+#: Bits by which the fingerprints of the words of similar texts may differ.
+WORD_RADIUS = 7
 #: Members of the lowest groups in a node, and groups of each upper group.
 FANOUT = 8
 #: Pairs of groups that are compared at once.
@@ -55,11 +67,28 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         last = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(first, last)]
-    h = np.array(hashes, np.uint64)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[a : a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return int.from_bytes(_majority(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)), "big")
+
+
+def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> bytes:
+    """The bits that are set in over half of the rows of bytes, or of the weight of all rows."""
+    ones = np.zeros(8 * hashes.shape[1], np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[a : a + (1 << 14)], axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[a : a + (1 << 14)] @ bits
+    return np.packbits(2 * ones > (len(hashes) if weights is None else weights.sum())).tobytes()
+
+
+def text_fingerprints(text: bytes, shingle: int) -> tuple[bytes, bytes]:
+    """Of the words, 8 bytes, where a word that occurs n times weighs as much as n has binary digits; of the distinct shingles, 16 bytes. No words: zeros."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return bytes(8), bytes(16)
+    digest, times = xxhash.xxh3_128_digest, Counter(words)
+    of_words = np.frombuffer(b"".join(map(digest, times)), np.uint8).reshape(-1, 16)[:, :8]
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    of_grams = np.frombuffer(b"".join(map(digest, grams)), np.uint8).reshape(-1, 16)
+    return _majority(of_words, np.array([n.bit_length() for n in times.values()])), _majority(of_grams)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -103,21 +132,32 @@ def _levels(codes: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.
     return levels[::-1]
 
 
-def close_pairs(codes: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places i < j of codes in the same run (bounds: ends of runs, from 0 on) that differ in radius bits at most; each run is in Gray order."""
+def pair_parts(codes: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of codes in the same run (bounds: ends of runs, from 0 on) that differ in radius bits at most, in parts; each run is in Gray order."""
     levels = _levels(codes, bounds)
     roots = np.arange(len(levels[0][0]))
-    work, out = [(0, roots, roots)], []
+    if len(levels) == 1:
+        return
+    # the members of each lowest group side by side, the last one again where a group is not full
+    _, _, first, number = levels[-2]
+    member = first[:, None] + np.minimum(np.arange(FANOUT), number[:, None] - 1)
+    block = codes[member]
+    work = [(0, roots, roots)]
     while work:
         depth, a, b = work.pop()
-        every, some, first, number = levels[depth]
-        if depth == len(levels) - 1:
-            out.append((a[a < b], b[a < b]))
-            continue
-        if (total := int((number[a] * number[b]).sum())) > CHUNK and len(a) > 1:
+        _, _, first, number = levels[depth]
+        lowest = depth == len(levels) - 2
+        if (total := FANOUT * FANOUT * len(a) if lowest else int((number[a] * number[b]).sum())) > CHUNK and len(a) > 1:
             half = len(a) // 2
             work += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
             continue
+        if lowest:
+            pair, x, y = np.nonzero(np.bitwise_count(block[a][:, :, None] ^ block[b][:, None, :]) <= radius)
+            real = (x < number[a[pair]]) & (y < number[b[pair]])
+            x, y = member[a[pair[real]], x[real]], member[b[pair[real]], y[real]]
+            if (x < y).any():
+                yield x[x < y], y[x < y]
+            continue
         pair, place = _expand(number[a] * number[b])
         x = first[a[pair]] + place // number[b[pair]]
         y = first[b[pair]] + place % number[b[pair]]
@@ -128,19 +168,20 @@ def close_pairs(codes: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) ->
         near = np.bitwise_count(sure) <= radius
         if near.any():
             work.append((depth + 1, x[near], y[near]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n things the smallest one that pairs (a, b) lead to."""
-    label = np.arange(n)
+def close_pairs(codes: np.ndarray, bounds: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All of pair_parts at once."""
+    a, b = zip((np.empty(0, np.int64), np.empty(0, np.int64)), *pair_parts(codes, bounds, radius))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """For each of n things the smallest one that pairs (a, b), and those that label comes from, lead to."""
+    label = np.arange(n) if label is None else label
     while len(a):
         least = np.minimum(label[a], label[b])
         before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
         np.minimum.at(label, before[a], least)
         np.minimum.at(label, before[b], least)
         while not np.array_equal(label, jumped := label[label]):
@@ -150,9 +191,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def thirds(bits: list[int]) -> list[list[int]]:
-    n = len(bits)
-    return [bits[n * i // (RADIUS + 1) : n * (i + 1) // (RADIUS + 1)] for i in range(RADIUS + 1)]
+def parts_of(bits: list[int], n: int) -> list[list[int]]:
+    return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
 
 def _mask(bits: list[int]) -> int:
@@ -160,84 +200,145 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _node_links(nodes: DataFrame) -> DataFrame:
-    """(u, v) for a spanning forest of the links inside each node; nodes: (mask, bits, fp, rep)."""
+NODE = ["mask", "bits", "i", "j"]
+
+
+def _node_links(nodes: DataFrame, radius: int, confirmed: int | None) -> DataFrame:
+    """(u, v) for a spanning forest of the links inside each node; nodes: NODE, fp, rep, and c1, c2 where confirmed says in how many of their bits linked members may differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
+        def changes(rows: np.ndarray) -> np.ndarray:
+            return np.flatnonzero((rows[: len(NODE), 1:] != rows[: len(NODE), :-1]).any(axis=0)) + 1
+
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            codes = rows[2].view(np.uint64)
-            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            bounds = np.concatenate([[0], new, [len(codes)]])
+            bounds = np.concatenate([[0], changes(rows), [rows.shape[1]]])
+            codes = rows[len(NODE)].view(np.uint64)
             order = np.lexsort((gray_rank(codes), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
-            codes, reps = codes[order], rows[3][order]
-            a, b = close_pairs(codes, bounds)
-            root = forest(len(codes), a, b)
+            codes, reps, *second = codes[order], *(rows[i][order] for i in range(len(NODE) + 1, len(rows)))
+            root = np.arange(len(codes))
+            for a, b in pair_parts(codes, bounds, radius):
+                if confirmed is not None:
+                    new = root[a] != root[b]
+                    a, b = a[new], b[new]
+                    same = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in second) <= confirmed
+                    a, b = a[same], b[same]
+                root = forest(len(codes), a, b, root)
             tied = np.flatnonzero(root != np.arange(len(codes)))
             return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[root[tied]])], ["u", "v"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            if sum(x.shape[1] for x in held) < 1 << 14:
+                continue
             rows = np.concatenate(held, axis=1)
-            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
-            if len(change) and rows.shape[1] >= 1 << 14:  # the last node may go on in the next batch
-                yield links(rows[:, : change[-1] + 1])
-                held = [rows[:, change[-1] + 1 :]]
-            else:
-                held = [rows]
-        if held and held[0].shape[1]:
+            held = [rows]
+            if len(change := changes(rows)):  # the last node may go on in the next batch
+                yield links(rows[:, : change[-1]])
+                held = [rows[:, change[-1] :]]
+        if held and sum(x.shape[1] for x in held):
             yield links(np.concatenate(held, axis=1))
 
-    dealt = nodes.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
+    dealt = nodes.repartition(*NODE).sortWithinPartitions(*NODE)
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def _children() -> dict[int, list[int]]:
-    """Each mask of the index, the root's included, with the masks right under it."""
-    found, work = {}, [[]]
+def _children(radius: int, node_rows: int, levels: int) -> dict[int, list[int]]:
+    """Each mask of the index that is split, the root's included, with the masks right under it."""
+    found, work = {}, [(0, [])]
     while work:
-        used = work.pop()
+        depth, used = work.pop()
         free = [b for b in range(64) if b not in used]
-        if 1 << len(free) > NODE_ROWS:
-            below = [used + third for third in thirds(free)]
+        if 1 << len(free) > node_rows and depth < levels:
+            below = [used + part for part in parts_of(free, radius + 1)]
             found[_mask(used)] = [_mask(m) for m in below]
-            work += below
+            work += [(depth + 1, m) for m in below]
     return found
 
 
-def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """codes: distinct (fp, rep). Rows (u, v) of representatives that connect whatever links of codes connect."""
-    below = _children()
+def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADIUS, levels: int = 64, confirmed: int | None = None) -> DataFrame:
+    """codes: distinct (fp, rep), and c1, c2 with confirmed. Rows (u, v) of representatives that connect whatever links of codes connect."""
+    below = _children(radius, node_rows, levels)
     inner = {m: own for m, own in below.items() if m}
+    own = ["fp", "rep", *(["c1", "c2"] if confirmed is not None else [])]
 
     def spread(rows: DataFrame, masks) -> DataFrame:
-        return rows.select(F.explode(masks).alias("mask"), "fp", "rep").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp", "rep")
+        return rows.select(F.explode(masks).alias("mask"), *own).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), *own)
+
+    def in_blocks(rows: DataFrame, sizes: DataFrame | None) -> DataFrame:
+        """Nodes above node_rows that have no masks under them are dealt out in pairs of blocks (i, j), i <= j, each member to all pairs of its block."""
+        if sizes is None:
+            return rows.select("mask", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), *own)
+        lot, n = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"), F.coalesce("n", F.lit(1))
+        dealt = rows.join(sizes, ["mask", "bits"], "left").select("mask", "bits", F.coalesce(lot, F.lit(0)).alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"), *own)
+        return dealt.select("mask", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *own)
 
     now = spread(codes, F.array(*[F.lit(m) for m in below[0]]))
-    deeper = F.create_map(*[x for m, own in inner.items() for x in (F.lit(m), F.array(*[F.lit(k) for k in own]))])
+    deeper = F.create_map(*[x for m, under in inner.items() for x in (F.lit(m), F.array(*[F.lit(k) for k in under]))]) if inner else None
     links = None
     while True:
-        hot = now.groupBy("mask", "bits").count().filter((F.col("count") > node_rows) & F.col("mask").isin(*inner)).select("mask", "bits")
-        hot = materialize(hot, "hot-nodes")
-        some_hot = bool(hot.take(1))
-        part = _node_links(now.join(hot, ["mask", "bits"], "left_anti") if some_hot else now)
+        large = materialize(now.groupBy("mask", "bits").count().filter(F.col("count") > node_rows), "large-nodes")
+        split = large.filter(F.col("mask").isin(*inner)).select("mask", "bits")
+        last = large.filter(~F.col("mask").isin(*inner)).select("mask", "bits", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
+        some_split = bool(split.take(1))
+        part = now.join(split, ["mask", "bits"], "left_anti") if some_split else now
+        part = _node_links(in_blocks(part, last if last.take(1) else None), radius, confirmed)
         links = part if links is None else links.unionByName(part)
-        if not some_hot:
+        if not some_split:
             return links
-        now = materialize(spread(now.join(hot, ["mask", "bits"], "left_semi"), deeper[F.col("mask")]), "nodes")
+        now = materialize(spread(now.join(split, ["mask", "bits"], "left_semi"), deeper[F.col("mask")]), "nodes")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id that links lead to).
 
     A row without an id keeps its fingerprint, links with nothing and has no component.
     """
     fp = materialize(fingerprints(docs, key, shingle), "fingerprints")
     codes = materialize(fp.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "codes")
-    tied = connected_components(link_forest(codes))
+    tied = connected_components(link_forest(codes, radius=radius))
     groups = codes.join(tied, F.col("rep") == F.col("vertex"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     groups = materialize(groups, "groups")
     return fp.join(groups, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
     )
+
+
+def _similar_groups(docs: DataFrame, row: str, key: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; and of each distinct one its component and first row, as (no id, id, row)."""
+    small_batches(docs.sparkSession)
+    confirmed = int(128 * np.arccos(similarity) / np.pi)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_fingerprints(t, shingle) for t in batch.column(2).to_pylist()]
+            fp = np.frombuffer(b"".join(x for x, _ in found), "<i8")
+            pair = np.frombuffer(b"".join(x for _, x in found), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, (fp, pair[:, 0], pair[:, 1]))], ["row", "id", "fp", "c1", "c2"])
+
+    rows = docs.select(F.col(row).cast("string").alias("row"), F.col(key).cast("bigint").alias("id"), text_bytes())
+    rows = materialize(rows.mapInArrow(run, "row string, id bigint, fp bigint, c1 bigint, c2 bigint"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    codes = materialize(rows.groupBy("fp", "c1", "c2").agg(first).withColumn("rep", F.monotonically_increasing_id()), "codes")
+    tied = connected_components(link_forest(codes.drop("first"), WIDE_ROWS, WORD_RADIUS, LEVELS, confirmed))
+    return rows, codes.join(tied, F.col("rep") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def first_rows(docs: DataFrame, row: str, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row) of each group of similar texts the row that comes first, by key (rows without one last), then by row.
+
+    row: a column that tells rows apart; repeated values are one row. Similarity is the cosine of the sets of shingles,
+    as their 128-bit fingerprints tell it: 26 differing bits at most for 0.8.
+    """
+    _, codes = _similar_groups(docs, row, key, shingle, similarity)
+    return codes.groupBy("component").agg(F.min("first").alias("f")).select(F.col("f.row").alias("row"))
+
+
+def similar_rows(docs: DataFrame, row: str, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, first): the distinct rows with the first one of their group; as in first_rows."""
+    rows, codes = _similar_groups(docs, row, key, shingle, similarity)
+    codes = materialize(codes.select("fp", "c1", "c2", "component", "first"), "named")
+    firsts = codes.groupBy("component").agg(F.min("first").alias("f")).select("component", F.col("f.row").alias("first"))
+    groups = codes.drop("first").join(firsts, "component").drop("component")
+    return rows.join(groups, ["fp", "c1", "c2"]).select("row", "first").distinct()

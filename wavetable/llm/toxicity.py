@@ -8,8 +8,11 @@ rows are scored in Spark tasks; only the weights, whose size is fixed, pass thro
 
 The models are fitted on SAMPLE labelled rows at most, taken in the order of a hash of their id. All rows are scored.
 
-Defined cases: a null or empty text has no words and gets the probability of a text without features; without
-labelled rows every probability is 0; labels of ids without a row are not used; of repeated labels one row each is.
+Defined cases: a null or empty text has no words and gets the probability of a text without features; very long texts
+are read whole; without labelled rows every probability is 0; labels of ids without a row are not used; of repeated
+labels one row each is; words are counted once, so that ties of counts do not matter; repeated rows get the same
+result; columns in keep are carried whatever their names, and the prefix keeps the results apart from them; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavetable.llm.decontam import words_of
-from wavetable.llm.util import materialize, small_batches, text_bytes
+from wavetable.llm.util import fresh, materialize, small_batches, text_bytes
 
 #: Labelled rows that models are fitted on, at most.
 SAMPLE = 12_000
@@ -146,8 +149,8 @@ def _features(rows: DataFrame, keep: list[str]) -> DataFrame:
             found = [np.unique([f for w in set(words_of(t)) for f in word_features(w)], return_counts=True) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]], [*keep, "features", "times"])
 
-    rows = rows.select(*keep, text_bytes().alias("__text"))
-    schema = rows.drop("__text").schema
+    schema = rows.select(*keep).schema
+    rows = rows.select(*keep, text_bytes().alias(fresh("text", keep)))
     for name in ("features", "times"):
         schema = schema.add(name, T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, schema)
@@ -203,8 +206,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], key:
     return chain
 
 
-def score_chain(docs: DataFrame, chain: list[np.ndarray], categories: list[str], keep: list[str]) -> DataFrame:
-    """The columns keep and p_<category> for each category."""
+def score_chain(docs: DataFrame, chain: list[np.ndarray], categories: list[str], keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns keep and p_<category> for each category; prefix goes before those names."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -219,12 +222,12 @@ def score_chain(docs: DataFrame, chain: list[np.ndarray], categories: list[str],
                 for v, before in zip(w[BUCKETS:-1], z):
                     own = own + v * before
                 z.append(np.clip(own, -30, 30))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(1 / (1 + np.exp(-x))) for x in z]], [*keep, *[f"p_{c}" for c in categories]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(1 / (1 + np.exp(-x))) for x in z]], [*keep, *[f"{prefix}p_{c}" for c in categories]])
 
-    rows = docs.select(*keep, text_bytes().alias("__text"))
-    schema = rows.drop("__text").schema
+    schema = docs.select(*keep).schema
+    rows = docs.select(*keep, text_bytes().alias(fresh("text", keep)))
     for c in categories:
-        schema = schema.add(f"p_{c}", "double")
+        schema = schema.add(f"{prefix}p_{c}", "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -232,8 +235,8 @@ def score_chain(docs: DataFrame, chain: list[np.ndarray], categories: list[str],
 CATEGORIES = ["poor", "toxic"]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """keep (default: the key), p_poor, p_toxic and toxic (p_toxic of a half or more)."""
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """keep (default: the key), p_poor, p_toxic and toxic (p_toxic of a half or more); prefix goes before these names."""
     own = labels.select(key, (1 - F.col("quality")).alias("poor"), "toxic")
     chain = train_chain(docs, own, CATEGORIES, key)
-    return score_chain(docs, chain, CATEGORIES, keep or [key]).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return score_chain(docs, chain, CATEGORIES, keep or [key], prefix).withColumn(f"{prefix}toxic", F.col(f"{prefix}p_toxic") >= 0.5)

@@ -15,11 +15,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and driver and tasks share a machine."""
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="spark-wavetable-")
     return _own_folder
@@ -50,3 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(name: str = "text"):
     """The UTF-8 bytes of a text column; null becomes empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("string").cast("binary")
+
+
+def row_key(docs: DataFrame) -> str:
+    """SQL for a digest of all columns: rows are told apart whatever their ids are, and repeated rows have one key."""
+    return f"md5(cast(to_json(struct({', '.join('`' + c.replace('`', '``') + '`' for c in docs.columns)}), map('ignoreNullFields', 'false')) as binary))"
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no taken column has it."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
