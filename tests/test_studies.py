@@ -198,3 +198,108 @@ def test_channel_table_mismatch(spark):
     a = spark.createDataFrame([("g", 0), ("g", 1)], "grp string, channel int")
     with pytest.raises(Exception, match="do not match"):
         store.channel_table(a.withColumn("depth_um", F.lit(1.0)), a.limit(1)).collect()
+
+
+def wide_rows(spark, d, n=240):
+    """Three classes that differ in a few of d features, in four groups."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        y = int(rng.integers(0, 3))
+        v = rng.normal(size=d)
+        v[y * 5 : y * 5 + 5] += 5
+        rows.append((i, f"g{i % 4}", "A" if i % 4 < 2 else "B", y, v.tolist()))
+    return spark.createDataFrame(rows, "chunk_id long, grp string, dataset string, label int, v array<double>")
+
+
+@pytest.mark.parametrize("d", [256, 768])
+def test_folds_of_wide_vectors(spark, d):
+    rows = wide_rows(spark, d).coalesce(2)
+    got = S.judged(S.fitted_folds(rows, C.cross_lab_folds(rows, "A", "B"), d, 3))
+    assert M.class_report(got, ["scheme"]).agg(F.min("accuracy")).first()[0] > 0.8
+
+
+def test_descent_reaches_the_newton_optimum(spark, monkeypatch):
+    rows = separable(spark).withColumn("configs", F.array(F.lit(0), F.lit(1))).withColumn("labels", F.array(F.col("label"), (F.col("label") + 1) % 3))
+    newton = E.grouped_logistic(rows, [0, 1], 3, 3)
+    monkeypatch.setattr(E, "MOST_WEIGHTS", 0)
+    descent = E.grouped_logistic(rows, [0, 1], 3, 3)
+    for n in (0, 1):
+        a, b = (x[n][0] - x[n][0].mean(axis=0) for x in (newton, descent))
+        assert np.allclose(a, b, atol=0.02) and all(np.allclose(p, q) for p, q in zip(newton[n][1:], descent[n][1:]))
+
+
+def test_sums_in_two_levels_are_the_same(spark):
+    from wavetable.operators.sums import summed
+
+    parts = spark.range(200, numPartitions=100).select((F.col("id") % 3).cast("int").alias("config"), "id")
+    arrays = parts.mapInPandas(lambda it: (f.assign(sums=[np.array([x, 1.0]).tobytes() for x in f["id"]])[["config", "sums"]] for f in it), "config int, sums binary")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "80"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({c: x.tolist() for c, x in summed(arrays).items()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == {c: [float(sum(range(c, 200, 3))), float(len(range(c, 200, 3)))] for c in range(3)}
+
+
+def test_folds_that_cannot_be_trained_are_left_out(spark):
+    rows = separable(spark)
+    rows = rows.withColumn("label", F.when(F.col("dataset") == "A", 0).otherwise(F.col("label")))
+    folds = spark.createDataFrame([("s", "bad", "train", "g0"), ("s", "bad", "test", "g4"), ("s", "empty", "train", "g4"), ("s", "empty", "test", "nowhere"), ("s", "good", "train", "g3"), ("s", "good", "test", "g4")], "scheme string, fold string, part string, grp string")
+    assert {r["fold"] for r in S.fitted_folds(rows, folds, 3, 3).select("fold").distinct().collect()} == {"good"}
+
+
+def test_sweep_over_models_and_views(spark):
+    rows = separable(spark)
+    folds = C.leave_one_out(rows, "A")
+    got = S.sweep({"v": (rows, 3), "one": (rows.withColumn("v", F.slice("v", 1, 1)), 1)}, folds, 3, models=("logistic", "constant", "perceptron"), views={"all": None, "two": [0, 1]}).collect()
+    assert {(r["model"], r["view"], r["features"]) for r in got} == {(m, v, f) for m in ("logistic", "constant", "perceptron") for v in ("all", "two") for f in ("v", "one")}
+    assert {(r["features"], r["draws"]) for r in got if r["control"]} == {("v", S.WIDE_DRAWS), ("one", S.NULL_DRAWS)} and all(r["n_train"] > 0 for r in got)
+    score = {(r["model"], r["fold"]): r["balanced_accuracy"] for r in got if r["view"] == "all" and r["features"] == "v" and not r["control"]}
+    assert all(score["constant", f] == pytest.approx(1 / 3) and score["logistic", f] > 0.9 and score["perceptron", f] > 0.8 for m, f in score if m == "constant")
+
+
+def test_extra_draws_train_on_few_rows(spark):
+    rows = separable(spark)
+    got = S.fitted_folds(rows, C.leave_one_out(rows, "A"), 3, 3, draws=3, extra_rows=30)
+    assert got.groupBy("draw").count().select("count").distinct().count() == 1 and {r["draw"] for r in got.select("draw").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_identity_auc_after_centring(spark):
+    rows = separable(spark, shift=1.0)
+    got = {r["run"]: r["identity_auc"] for r in S.adaptation(rows, C.cross_lab_folds(rows, "A", "B"), 3, 3).collect()}
+    assert got["uncentred"] > 0.95 > 0.75 > got["centred"]
+
+
+def test_depth_with_a_signal(spark):
+    rows = separable(spark)
+    place = rows.withColumn("v", F.array(F.col("label") * 100.0 + F.col("chunk_id") % 7, F.lit(1.0)))
+    got = {r["half_width_um"]: r for r in S.depth_uncertainty(place, C.leave_one_out(rows, "A"), 3, [0.0, 800.0], copies=2, draws=2, signal=(rows, 3)).groupBy("half_width_um").agg(F.avg("balanced_accuracy").alias("alone"), F.avg("fused").alias("fused"), F.avg("signal").alias("signal")).collect()}
+    assert got[0.0]["alone"] > 0.9 > got[800.0]["alone"] and got[800.0]["fused"] > got[800.0]["alone"] + 0.1 and got[0.0]["signal"] == pytest.approx(got[800.0]["signal"])
+
+
+def test_two_signals_are_fused_without_position(spark):
+    rows = separable(spark)
+    fused = S.fusion((rows.withColumn("v", F.slice("v", 1, 1)), 1), {"a": (rows, 3), "b": (rows.withColumn("v", F.slice("v", 2, 2)), 2)}, C.leave_one_out(rows, "A"), 3)
+    assert {r["source"] for r in fused.select("source").distinct().collect()} == {"position", "a", "b", "position+a", "position+b", "a+b"}
+
+
+def test_ids_that_would_meet_raise(spark):
+    far = chunks(spark, n=2, first=store.STORE_STRIDE)
+    with pytest.raises(ValueError, match="do not fit"):
+        store.corpus([far, chunks(spark)], ["a", "b"])
+    assert store.corpus([far], ["a"]).count() == 2
+
+
+def test_whole_recordings_are_cut_into_chunks(spark):
+    from wavetable.plans import build
+
+    rng = np.random.default_rng(0)
+    blocks = spark.createDataFrame([("g", 0, s, rng.normal(size=100).tolist()) for s in range(0, 1000, 100)], "grp string, channel int, block_start int, samples array<double>")
+    channels = spark.createDataFrame([("g", 0, "CA1", 20.0, True)], "grp string, channel int, acronym string, depth_um double, valid_data boolean")
+    whole, ledger = build.build_chunks(blocks, channels, 1.0, 3.0, 0.0, None)
+    assert whole.count() == 333 and ledger.count() == 0
+    cut, ledger = build.build_chunks(blocks, channels, 1.0, 3.0, 0.0, None, most_s=600.0)
+    assert cut.count() == 200 and [tuple(r) for r in ledger.collect()] == [("g", 0, "cut at 600 s")]

@@ -58,11 +58,11 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = BINS) -> DataF
     return _gap(_binned(df, keys, bin_of(F.col("conf"), bins)), keys)
 
 
-def adaptive_calibration_error(df: DataFrame, keys: list[str], bins: int = BINS, spread: bool = False) -> DataFrame:
+def adaptive_calibration_error(df: DataFrame, keys: list[str], bins: int = BINS, spread: bool = True) -> DataFrame:
     """The same over bins of equal mass: edges are the distinct linear quantiles; with one edge all rows are one bin.
 
-    The quantiles of a key are taken from its distinct values in one task; with spread, where a key has more values
-    than a task holds, from running counts over ranges, which costs more on small tables. The result is the same.
+    The quantiles of a key are taken from running counts over ranges, so that no task holds a key's values; without spread,
+    where every key is known to be small, from its distinct values in one task, which costs less. The result is the same.
     """
     shares = [i / bins for i in range(bins + 1)]
     if spread:

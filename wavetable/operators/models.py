@@ -1,13 +1,15 @@
 """Small classifiers, many at once.
 
 A configuration is one training set: a fold, a feature set, a permuted draw. Rows carry the list of configurations
-they train in, so that no row is copied; each pass over the rows gives, in every task, partial sums of the size of the
-models, which are added up by configuration. Folds that share a training set share a configuration.
+they train in, and their label in each, so that no vector is copied; each pass over the rows gives, in every task,
+partial sums of the size of the models, which are added up by configuration. Folds that share a training set share a
+configuration. Narrow models take Newton steps; wide ones, whose second derivatives would be large, limited-memory BFGS
+steps from sums of gradients alone. Both go on until the loss stands still.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions import arrays as A
+from wavetable.operators.sums import summed
 
-#: Weights of a configuration, classes times (features + 1), up to which Newton's method is used.
-MOST_WEIGHTS = 1000
-STEPS = 30
+#: Weights of a configuration, classes times (features + 1), up to which Newton's method is used; beyond, gradients alone.
+MOST_WEIGHTS = 400
+STEPS, PASSES = 30, 300
+#: Steps that limited-memory BFGS remembers.
+MEMORY = 10
 
 
 def constant(train: DataFrame, keys: list[str], k: int, label: str = "label") -> DataFrame:
@@ -56,20 +61,58 @@ def perceptron(d: int, k: int, seed: int = 0) -> Pipeline:
     ])
 
 
-def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, k: int, vector: str = "v", label: str = "label") -> DataFrame:
-    """test with p over the full label space; classes are numbered anew for the fit and spread out again."""
+def fit_predict(pipeline: Pipeline | Callable[[int], Pipeline], train: DataFrame, test: DataFrame, k: int, vector: str = "v", label: str = "label") -> DataFrame:
+    """test with p over the full label space; classes are numbered anew for the fit and spread out again. pipeline: or a function of the number of classes."""
     classes = sorted(x[label] for x in train.select(label).distinct().collect())  # k at most
     if len(classes) < 2:
         raise ValueError("fewer than two classes to train on")
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    model = pipeline.fit(train.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), number.cast("double").alias("label")))
+    model = (pipeline(len(classes)) if callable(pipeline) else pipeline).fit(train.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), number.cast("double").alias("label")))
     out = model.transform(test.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
     p = vector_to_array("probability")
     return out.select(*test.columns, A.expand(p, F.array(*[F.lit(c) for c in classes]), k).alias("p"))
 
 
-def _sums(rows: DataFrame, model: dict[int, np.ndarray], scale: dict[int, tuple[np.ndarray, np.ndarray]], d: int, k: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Loss, gradient and Hessian of each configuration, without the penalty."""
+def _by_config(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(configuration, places of its rows in the batch, their labels in it)."""
+    lists = batch.column("configs")
+    flat, labels = lists.flatten().to_numpy(), batch.column("labels").flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    order = np.argsort(flat, kind="stable")
+    found, first = np.unique(flat[order], return_index=True)
+    for c, at in zip(found.tolist(), np.split(order, first[1:])):
+        yield c, row[at], labels[at]
+
+
+def _part(c: int, *sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.concatenate([np.ravel(x) for x in sums]).tobytes()], pa.binary())], ["config", "sums"])
+
+
+def _scales(rows: DataFrame, configs: list[int], d: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of each feature over the rows of each configuration, in two passes."""
+
+    def sums(means: dict[int, np.ndarray] | None) -> dict[int, np.ndarray]:
+        sent = rows.sparkSession.sparkContext.broadcast(means)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, np.ndarray] = {}
+            for batch in batches:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                for c, at, _ in _by_config(batch):
+                    own = x[at] if sent.value is None else (x[at] - sent.value[c]) ** 2
+                    parts[c] = parts.get(c, 0.0) + np.append(own.sum(axis=0), len(at))
+            for c, own in parts.items():
+                yield _part(c, own)
+
+        return summed(rows.mapInArrow(run, "config int, sums binary"))
+
+    means = {c: x[:-1] / x[-1] for c, x in sums(None).items()}
+    found = {c: (means[c], np.sqrt(x[:-1] / x[-1])) for c, x in sums(means).items()}
+    return {c: (found[c][0], np.where(found[c][1] > 0, found[c][1], 1.0)) if c in found else (np.zeros(d), np.ones(d)) for c in configs}
+
+
+def _sums(rows: DataFrame, model: dict[int, np.ndarray], scale: dict[int, tuple[np.ndarray, np.ndarray]], d: int, k: int, second: bool = True) -> dict[int, tuple[float, np.ndarray, np.ndarray | None]]:
+    """Loss, gradient and (with second) Hessian of each configuration, without the penalty."""
     sent = rows.sparkSession.sparkContext.broadcast((model, scale))
     m = k * (d + 1)
 
@@ -78,13 +121,7 @@ def _sums(rows: DataFrame, model: dict[int, np.ndarray], scale: dict[int, tuple[
         parts: dict[int, list] = {}
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            y = batch.column("label").to_numpy()
-            lists = batch.column("configs")
-            flat = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            order = np.argsort(flat, kind="stable")
-            found, first = np.unique(flat[order], return_index=True)
-            for c, at in zip(found.tolist(), np.split(row[order], first[1:])):
+            for c, at, y in _by_config(batch):
                 if c not in models:
                     continue
                 mean, sd = scales[c]
@@ -93,46 +130,29 @@ def _sums(rows: DataFrame, model: dict[int, np.ndarray], scale: dict[int, tuple[
                 eta -= eta.max(axis=1, keepdims=True)
                 p = np.exp(eta)
                 p /= p.sum(axis=1, keepdims=True)
-                own = parts.setdefault(c, [0.0, np.zeros((k, d + 1)), np.zeros((k, d + 1, k, d + 1))])
-                own[0] -= np.log(np.maximum(p[np.arange(len(at)), y[at]], 1e-300)).sum()
+                own = parts.setdefault(c, [np.zeros(1), np.zeros((k, d + 1)), np.zeros((k, d + 1, k, d + 1) if second else 0)])
+                own[0] -= np.log(np.maximum(p[np.arange(len(at)), y], 1e-300)).sum()
                 r = p.copy()
-                r[np.arange(len(at)), y[at]] -= 1
+                r[np.arange(len(at)), y] -= 1
                 own[1] += r.T @ z
-                for a in range(k):
+                for a in range(k if second else 0):
                     for b in range(a, k):
                         h = (z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z
                         own[2][a, :, b] += h
                         if a != b:
                             own[2][b, :, a] += h.T
-        for c, (loss, g, h) in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.concatenate([[loss], g.ravel(), h.ravel()]).tobytes()], pa.binary())], ["config", "sums"])
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"config": frame["config"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in frame["sums"]).tobytes()]})
+        for c, own in parts.items():
+            yield _part(c, *own)
 
-    got = rows.mapInArrow(run, "config int, sums binary").groupBy("config").applyInPandas(add, "config int, sums binary").collect()  # one row for each model
-    out = {}
-    for x in got:
-        s = np.frombuffer(x["sums"])
-        out[x["config"]] = (s[0], s[1 : m + 1], s[m + 1 :].reshape(m, m))
-    return out
+    got = summed(rows.mapInArrow(run, "config int, sums binary"))
+    return {c: (s[0], s[1 : m + 1], s[m + 1 :].reshape(m, m) if second else None) for c, s in got.items()}
 
 
-def grouped_logistic(rows: DataFrame, configs: list[int], d: int, k: int, c: float = 1.0) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(weights, mean, sd) of each configuration by Newton steps for all of them at once. rows: v, label, configs (array<int>)."""
-    if k * (d + 1) > MOST_WEIGHTS:
-        raise ValueError(f"{k * (d + 1)} weights are too many for Newton's method; use logistic()")
-    rows = rows.select(F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"), F.col("configs").cast("array<int>").alias("configs"))
-    moments = rows.select(F.explode("configs").alias("config"), "v").select("config", F.posexplode("v").alias("i", "x")).groupBy("config", "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()  # models times features
-    scale = {n: (np.zeros(d), np.ones(d)) for n in configs}
-    for x in moments:
-        scale[x["config"]][0][x["i"]] = x["m"]
-        scale[x["config"]][1][x["i"]] = x["s"] or 1.0
-    w = {n: np.zeros((k, d + 1)) for n in configs}
+def _newton(rows: DataFrame, scale: dict, d: int, k: int, keep: np.ndarray) -> dict[int, np.ndarray]:
+    w = {n: np.zeros((k, d + 1)) for n in scale}
     step: dict[int, np.ndarray] = {}
     last: dict[int, float] = {}
-    live = list(configs)
-    keep = np.tile(np.append(np.ones(d), 0.0), k) / c  # the intercept is free
+    live = list(scale)
     for _ in range(STEPS):
         sums = _sums(rows, {n: w[n] for n in live}, scale, d, k)
         going = []
@@ -156,6 +176,66 @@ def grouped_logistic(rows: DataFrame, configs: list[int], d: int, k: int, c: flo
         live = going
         if not live:
             break
+    return w
+
+
+class _Descent:
+    """Limited-memory BFGS of one configuration, told the loss and gradient at its point at, which it then moves."""
+
+    def __init__(self, size: int, keep: np.ndarray) -> None:
+        self.keep, self.at, self.past = keep, np.zeros(size), []
+        self.w = self.g = self.way = None
+        self.f, self.step, self.still, self.done = np.inf, 1.0, 0, False
+
+    def tell(self, loss: float, g: np.ndarray) -> None:
+        f, g = loss + (self.keep * self.at * self.at).sum() / 2, g + self.keep * self.at
+        if self.w is not None and f > self.f + 1e-4 * self.step * (self.g @ self.way):
+            self.step /= 2
+            self.done = self.step < 1e-8
+        else:
+            if self.w is not None:
+                s, t = self.at - self.w, g - self.g
+                if s @ t > 1e-12:
+                    self.past = [*self.past[1 - MEMORY :], (s, t)]
+                self.still = self.still + 1 if self.f - f < 1e-6 * max(1.0, abs(f)) else 0
+                self.done = self.still > 1
+            self.w, self.f, self.g, self.step = self.at, f, g, 1.0
+            self.way = -self._scaled(g)
+        self.at = self.w + self.step * self.way if not self.done else self.w
+
+    def _scaled(self, g: np.ndarray) -> np.ndarray:
+        q, shares = g.copy(), []
+        for s, t in reversed(self.past):
+            shares.append(s @ q / (s @ t))
+            q -= shares[-1] * t
+        q *= self.past[-1][0] @ self.past[-1][1] / (self.past[-1][1] @ self.past[-1][1]) if self.past else 1 / max(1.0, np.linalg.norm(g))
+        for (s, t), share in zip(self.past, reversed(shares)):
+            q += (share - t @ q / (s @ t)) * s
+        return q
+
+
+def _descent(rows: DataFrame, scale: dict, d: int, k: int, keep: np.ndarray) -> dict[int, np.ndarray]:
+    runs = {n: _Descent(len(keep), keep) for n in scale}
+    for _ in range(PASSES):
+        live = {n: x.at.reshape(k, d + 1) for n, x in runs.items() if not x.done}
+        if not live:
+            break
+        sums = _sums(rows, live, scale, d, k, second=False)
+        for n in live:
+            if n in sums:
+                runs[n].tell(*sums[n][:2])
+            else:  # no row trains it
+                runs[n].done = True
+    return {n: (x.at if x.w is None else x.w).reshape(k, d + 1) for n, x in runs.items()}
+
+
+def grouped_logistic(rows: DataFrame, configs: list[int], d: int, k: int, c: float = 1.0) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(weights, mean, sd) of each configuration, all of them in the same passes. rows: v, configs (array<int>), and labels (an array beside configs) or one label."""
+    labels = F.col("labels") if "labels" in rows.columns else F.transform("configs", lambda _: F.col("label"))
+    rows = rows.select(F.col("v").cast("array<double>").alias("v"), F.col("configs").cast("array<int>").alias("configs"), labels.cast("array<int>").alias("labels"))
+    scale = _scales(rows, configs, d)
+    keep = np.tile(np.append(np.ones(d), 0.0), k) / c  # the intercept is free
+    w = (_newton if k * (d + 1) <= MOST_WEIGHTS else _descent)(rows, scale, d, k, keep)
     return {n: (w[n], *scale[n]) for n in configs}
 
 
@@ -165,14 +245,13 @@ def predict_grouped(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndar
 
     @F.pandas_udf("array<double>")
     def run(v: pd.Series, which: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        parts = []
         for n, own in v.groupby(which, sort=False):
             w, mean, sd = sent.value[int(n)]
             x = (np.stack(own.to_numpy()).astype(float) - mean) / sd
             eta = x @ w[:, :-1].T + w[:, -1]
             p = np.exp(eta - eta.max(axis=1, keepdims=True))
-            for i, row in zip(own.index, p / p.sum(axis=1, keepdims=True)):
-                out.at[i] = row
-        return out
+            parts.append(pd.Series(list(p / p.sum(axis=1, keepdims=True)), index=own.index, dtype=object))
+        return pd.concat(parts).reindex(v.index) if parts else pd.Series([], dtype=object)
 
     return rows.withColumn("p", run(F.col(vector).cast("array<double>"), F.col(config)))

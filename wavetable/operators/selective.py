@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wavetable.functions import arrays as A
 from wavetable.operators.metrics import roc_auc
 from wavetable.operators.ranks import running_totals
+from wavetable.operators.sums import summed
 
 POINTS = 100
 COVERAGES = {"risk_full": 1.0, "risk_half": 0.5, "risk_fifth": 0.2}
@@ -60,31 +61,30 @@ def separation_auc(inside: DataFrame, outside: DataFrame, keys: list[str], value
 
 
 def gram(df: DataFrame, vector: str, d: int) -> tuple[int, np.ndarray, np.ndarray, float]:
-    """Rows, mean, centred scatter matrix and sum of fourth powers of centred norms; each task sends one row of fixed size."""
+    """Rows, mean, centred scatter matrix and sum of fourth powers of centred norms; the tasks' sums are added up in tasks."""
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = 0, np.zeros(d)
-        for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
-            n, s = n + len(x), s + x.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()])], ["n", "s"])
+    def total(of: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = np.zeros(size)
+            for b in filter(len, batches):
+                s += of(np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["config", "sums"])
 
-    rows = df.select(F.col(vector).cast("array<double>").alias("v"))
-    parts = rows.mapInArrow(sums, "n bigint, s array<double>").collect()
-    n = sum(x["n"] for x in parts)
+        return summed(rows.mapInArrow(run, "config int, sums binary")).get(0, np.zeros(size))
+
+    sums = total(lambda x: np.append(x.sum(axis=0), len(x)), d + 1)
+    n = int(sums[-1])
     if n < d // 4:
         raise ValueError(f"{n} rows are too few for {d} dimensions")
-    mean = sum(np.array(x["s"]) for x in parts) / n
+    mean = sums[:-1] / max(n, 1)
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, q = np.zeros((d, d)), 0.0
-        for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float) - mean
-            s, q = s + x.T @ x, q + float(((x * x).sum(axis=1) ** 2).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()]), pa.array([q])], ["s", "q"])
+    def scatter(x: np.ndarray) -> np.ndarray:
+        x = x - mean
+        return np.append((x.T @ x).ravel(), ((x * x).sum(axis=1) ** 2).sum())
 
-    parts = rows.mapInArrow(scatter, "s array<double>, q double").collect()
-    return n, mean, sum(np.array(x["s"]) for x in parts).reshape(d, d), sum(x["q"] for x in parts)
+    found = total(scatter, d * d + 1)
+    return n, mean, found[:-1].reshape(d, d), float(found[-1])
 
 
 def shrunk_covariance(n: int, scatter: np.ndarray, fourth: float) -> np.ndarray:

@@ -36,18 +36,19 @@ def cut_windows(recordings: DataFrame, width: int, first: int = 0, most: int | N
 
 
 def build_chunks(
-    recordings: DataFrame, channels: DataFrame, fs: float, window_s: float = 3.0, start_s: float = 200.0, n_chunks: int | None = 100, target_fs: float | None = None, most_s: float = 600.0
+    recordings: DataFrame, channels: DataFrame, fs: float, window_s: float = 3.0, start_s: float = 200.0, n_chunks: int | None = 100, target_fs: float | None = None, most_s: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, ledger). Windows are put together from the blocks that they meet; only to filter and resample (target_fs) is
     each channel's signal put together in one row.
 
     recordings: grp, channel, block_start, samples (volts if target_fs is given, else microvolts); channels: grp, channel,
-    acronym, depth_um, valid_data or quality, and whatever else the index is to carry. Only blocks that begin within
-    most_s are read, which bounds a channel's signal where it is put together. The ledger has every channel that gave no chunk, with the reason.
+    acronym, depth_um, valid_data or quality, and whatever else the index is to carry. n_chunks None takes all windows. With
+    most_s only blocks that begin within so many seconds are read; without it, all. The ledger has every channel that gave
+    no chunk, with the reason, and every channel that most_s cut, which may have chunks.
     """
     labelled = channels.withColumn("region", region(F.col("acronym")))
     good = B.usable(labelled)
-    asked = recordings.filter(F.col("block_start") < most_s * fs).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi")
+    asked = (recordings if most_s is None else recordings.filter(F.col("block_start") < most_s * fs)).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi")
     rate = target_fs or fs
     width, first = round(window_s * rate), round(start_s * rate)
     # a flat signal is told before it is filtered
@@ -65,7 +66,11 @@ def build_chunks(
     why = F.when(F.col("region") == UNKNOWN, "no region").when(~F.col("good"), "bad channel").when(F.col("dead").isNull(), "no recording").when(F.col("dead"), "all zeros").otherwise("no complete live window")
     listed = labelled.join(good.select("grp", "channel", F.lit(True).alias("good")), ["grp", "channel"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
     lost = listed.join(chunks.select("grp", "channel").distinct(), ["grp", "channel"], "left_anti").join(signals.select("grp", "channel", "dead"), ["grp", "channel"], "left")
-    return chunks, lost.select("grp", "channel", why.alias("reason"))
+    ledger = lost.select("grp", "channel", why.alias("reason"))
+    if most_s is not None:
+        beyond = recordings.filter(F.col("block_start") >= most_s * fs).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi")
+        ledger = ledger.unionByName(beyond.select("grp", "channel", F.lit(f"cut at {most_s:g} s").alias("reason")).distinct())
+    return chunks, ledger
 
 
 def named_splits(index: DataFrame, seed: int = 0) -> DataFrame:

@@ -17,6 +17,7 @@ from wavetable.operators import shift as H
 from wavetable.operators import splits as C
 from wavetable.plans.registry import query, r
 from wavetable.sources import views as V
+from wavetable.sources.scratch import scratch_path
 
 CH = f"WITH {V.SQL_CHUNKS}"
 K, FS = V.K, 64.0
@@ -108,24 +109,41 @@ def _energy(df, after, name):
     return df.withColumn("after", after).select("chunk_id", before.alias("energy_before"), F.aggregate("after", F.lit(0.0), lambda a, x: a + x * x).alias(name))
 
 
-ENERGY = "list_sum(list_transform(wave, lambda x: x::DOUBLE * x::DOUBLE))"
 
+def _samples(df, after):
+    """(chunk_id, place, value) of every sample."""
+    return df.select("chunk_id", F.posexplode(after).alias("place", "value"))
 
-#: Whitening keeps the power of each chunk.
-@query(f"{CH} SELECT chunk_id, {r(ENERGY, 'energy_after')} FROM chunks")
+
+#: The Fourier transform of each chunk as it is, and back to samples from the bins (factor: what they are multiplied by).
+WHOLE = f"""{CH}, ix AS (SELECT chunk_id, grp, n, wave[n + 1]::DOUBLE x FROM chunks, range(0, 64) t(n)),
+ft AS (SELECT chunk_id, grp, k, sum(x * cos(2 * pi() * k * n / 64)) re, sum(x * sin(2 * pi() * k * n / 64)) im FROM ix, range(0, 33) u(k) GROUP BY ALL)"""
+
+
+def sql_samples(table: str, m: int, factor: str) -> str:
+    return f"SELECT chunk_id, n::int AS place, sum({factor} * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * n / {m}) + im * sin(2 * pi() * k * n / {m}))) / 64e0 v FROM {table}, range(0, {m}) t(n) GROUP BY ALL"
+
+
+#: One Hann-windowed segment, without its mean; the scale cancels out, but for the inner bins' double weight.
+HANN = """hx AS (SELECT chunk_id, grp, n, (x - avg(x) OVER (PARTITION BY chunk_id)) * (0.5e0 - 0.5e0 * cos(2 * pi() * n / 64)) x FROM ix),
+hf AS (SELECT chunk_id, grp, k, sum(x * cos(2 * pi() * k * n / 64)) re, sum(x * sin(2 * pi() * k * n / 64)) im FROM hx, range(0, 33) u(k) GROUP BY ALL),
+hp AS (SELECT chunk_id, grp, k::int AS bin, (re * re + im * im) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END p FROM hf)"""
+
+
+#: Divided by the root of the group's mean spectrum, at the power that the chunk had.
+@query(f"""{WHOLE}, {HANN}, rf AS (SELECT grp, bin k, avg(p) g, max(avg(p)) OVER (PARTITION BY grp) top FROM hp GROUP BY 1, 2),
+wf AS (SELECT chunk_id, k, re / sqrt(greatest(g, 1e-9 * top)) re, im / sqrt(greatest(g, 1e-9 * top)) im FROM ft JOIN rf USING (grp, k)), y AS ({sql_samples('wf', 64, '1')}),
+lv AS (SELECT chunk_id, sqrt(avg(v * v)) b FROM y GROUP BY 1), xl AS (SELECT chunk_id, sqrt(avg(x * x)) a FROM ix GROUP BY 1)
+SELECT chunk_id, place, {r('v * a / b', 'value')} FROM y JOIN lv USING (chunk_id) JOIN xl USING (chunk_id)""")
 def whiten(spark, sf):
     c = _chunks(spark, sf)
-    white = D.whitened(c, D.fit_references(c, FS, 400, 64), FS)
-    return white.select("chunk_id", F.aggregate("wave", F.lit(0.0), lambda a, x: a + x * x).alias("energy_after"))
+    return _samples(D.whitened(c, D.fit_references(c, FS, 400, 64), FS), F.col("wave"))
 
 
-#: By Parseval's theorem: twice the samples, the last bin of the shorter spectrum halved on both sides.
-@query(f"""{CH}, ix AS (SELECT chunk_id, n, wave[n + 1]::DOUBLE x FROM chunks, range(0, 64) t(n)),
-ft AS (SELECT chunk_id, k, sum(x * cos(2 * pi() * k * n / 64)) re, sum(x * sin(2 * pi() * k * n / 64)) im FROM ix, range(0, 33) u(k) GROUP BY ALL),
-en AS (SELECT chunk_id, sum((re * re + im * im) * CASE k WHEN 0 THEN 1 WHEN 32 THEN 0.5 ELSE 2 END) / 32e0 a FROM ft GROUP BY 1)
-SELECT chunk_id, {r(ENERGY, 'energy_before')}, {r('a', 'energy_after')} FROM chunks JOIN en USING (chunk_id)""")
+#: Twice the samples: the same bins over twice as many places, the last bin of the shorter spectrum on both sides.
+@query(f"{WHOLE}, y AS ({sql_samples('ft', 128, '1')}) SELECT chunk_id, place, {r('v', 'value')} FROM y")
 def resample(spark, sf):
-    return _energy(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.resample(x, 128))(F.col("wave")), "energy_after")
+    return _samples(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.resample(x, 128))(F.col("wave")))
 
 
 @query()
@@ -143,9 +161,15 @@ def bandstop(spark, sf):
     return _energy(_chunks(spark, sf), J.band_stop(F.col("wave"), FS, "alpha", 2), "energy_after")
 
 
-@query(f"{CH} SELECT chunk_id, {r(ENERGY, 'energy_before')}, {r(ENERGY, 'energy_after')} FROM chunks")
+#: Every bin keeps its magnitude, and the wave is another one.
+@query(f"{WHOLE} SELECT chunk_id, k::int AS bin, {r('sqrt(re * re + im * im)', 'magnitude')}, true AS changed FROM ft")
 def phase_randomise(spark, sf):
-    return _energy(_chunks(spark, sf), J.random_phase(F.col("wave"), F.col("chunk_id")), "energy_after")
+    c = _chunks(spark, sf).withColumn("wave", F.col("wave").cast("array<double>"))
+    c = c.withColumn("after", J.random_phase(F.col("wave"), F.col("chunk_id")))
+    apart = F.aggregate(F.zip_with("wave", "after", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    level = F.aggregate("wave", F.lit(0.0), lambda a, x: a + F.abs(x))
+    bins = dsp.vector_function(lambda x: np.abs(np.fft.rfft(x)))(F.col("after"))
+    return c.select("chunk_id", F.posexplode(bins).alias("bin", "magnitude"), (apart > 0.1 * level).alias("changed"))
 
 
 @query()
@@ -185,6 +209,16 @@ def ablation_deltas(spark, sf):
     return J.deltas(scores, ["grp"]).select("grp", "ablation", "balanced_accuracy", "delta", "gate")
 
 
+@query()
+def ablation_all(spark, sf):
+    """All transforms, at a rate at which every band lies below half of it; the rule that stands for the model is that of ablation_deltas."""
+    rows = J.ablated(_chunks(spark, sf), list(J.ABLATIONS), 1250.0)
+    rows = rows.withColumn("pred", A.argmax(F.slice("wave", 1, 5)))
+    controls = [n for n, x in J.ABLATIONS.items() if x[1]]
+    scores = M.class_report(rows, ["grp", "ablation"]).select("grp", "ablation", "balanced_accuracy", F.col("ablation").isin(controls).alias("is_control"))
+    return J.deltas(scores, ["grp"]).select("grp", "ablation", "balanced_accuracy", "delta", "gate")
+
+
 @query(f"{CH}, x AS (SELECT chunk_id, grp, i, wave[i + 1]::DOUBLE x FROM chunks, range(0, 64) t(i)) SELECT chunk_id, {r('sum(d * d)', 'energy')}, {r('any_value(f)', 'first')} FROM (SELECT chunk_id, x - avg(x) OVER (PARTITION BY grp, i) d, first_value(x - m) OVER (PARTITION BY chunk_id ORDER BY i) f FROM (SELECT *, avg(x) OVER (PARTITION BY grp, i) m FROM x)) GROUP BY 1")
 def center_per_group(spark, sf):
     c = H.centred_by_group(_chunks(spark, sf).select("chunk_id", "grp", F.col("wave").cast("array<double>").alias("v")))
@@ -284,8 +318,30 @@ def predict_batch(spark, sf):
     return e.select("chunk_id", F.col("logits")[0].cast("double").alias("l0"), F.col("logits")[4].cast("double").alias("l4"), *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(4)])
 
 
-@query()
+#: Widths follow from the bands and bins at 64 Hz; a band without a bin is -12.
+def sql_share_sums(bands: dict[str, tuple[float, float]]) -> str:
+    sums = ", ".join(f"coalesce(sum(p) FILTER (bin >= {a} AND bin < {b}), 0) {n}" for n, (a, b) in bands.items())
+    total = " + ".join(bands)
+    return f"SELECT avg({' + '.join(f'log10({n} / ({total}) + 1e-12)' for n in bands)}) FROM (SELECT chunk_id, {sums} FROM hp GROUP BY 1)"
+
+
+@query(f"""{WHOLE}, {HANN}, {SCALED}, n AS (SELECT count(*) n FROM chunks),
+ls AS (SELECT chunk_id, sum(log10(p / s + 1e-12)::FLOAT::DOUBLE) v FROM (SELECT chunk_id, p, sum(p) OVER (PARTITION BY chunk_id) s FROM hp WHERE bin >= 1) GROUP BY 1)
+SELECT x.* EXCLUDE (mean_sum), n, {r('mean_sum', 'mean_sum')} FROM n, (
+SELECT 'amplitude' feature_set, 2 narrowest, 2 widest, (SELECT avg(log10(greatest(sd, 1e-12)) + mean) FROM sc) mean_sum UNION ALL SELECT 'position', 2, 2, (SELECT avg(depth_um + coalesce(lateral_um, 0)) FROM chunks)
+UNION ALL SELECT 'bandpower', {len(D.BANDS)}, {len(D.BANDS)}, ({sql_share_sums(D.BANDS)}) UNION ALL SELECT 'bandpower_clean', {len(D.BANDS) - 1}, {len(D.BANDS) - 1}, ({sql_share_sums(D.without('ripple'))})
+UNION ALL SELECT 'log_spectrum', 32, 32, (SELECT avg(v) FROM ls)) x""")
 def feature_table(spark, sf):
     """Every feature set of the store, long, with the norm of its vectors."""
     rows = D.build_features(_index(spark, sf), ["amplitude", "position", "bandpower", "bandpower_clean", "log_spectrum"], FS)
     return rows.groupBy("feature_set").agg(F.count("*").alias("n"), F.min(F.size("v")).alias("narrowest"), F.max(F.size("v")).alias("widest"), F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("mean_sum"))
+
+
+@query(f"{CH}, {SCALED} SELECT chunk_id, {r('log10(greatest(sd, 1e-12))', 'f0')}, {r('mean', 'f1')}, true AS kept FROM sc")
+def feature_cache(spark, sf):
+    """A feature set from the cache after it was built; kept: the second call did not build it."""
+    index, path, built = _index(spark, sf), scratch_path(spark, "features"), []
+    cache = D.FeatureCache(spark, path)
+    for _ in range(2):
+        found = cache.get_or_build("amplitude", 1, index.count(), lambda: built.append(1) or D.amplitude(index))
+    return found.select("chunk_id", F.col("v")[0].alias("f0"), F.col("v")[1].alias("f1"), F.lit(len(built) == 1).alias("kept"))

@@ -10,6 +10,7 @@ from wavetable.plans import build
 from wavetable.plans.registry import query, r
 from wavetable.sources import store
 from wavetable.sources import views as V
+from wavetable.sources.scratch import scratch_path
 
 S = f"WITH {V.SQL_SAMPLES}"
 C = f"WITH {V.SQL_CHUNKS}"
@@ -181,7 +182,7 @@ def _recordings(spark, sf):
     blocks = s.groupBy("grp", "channel", (F.floor(F.col("sample_ix") / 7) * 7).alias("block_start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_ix", "value"))), lambda x: x["value"]).alias("samples"))
     acronym = F.get(F.array(*[F.lit(a) for a in ACRONYMS]), (F.col("channel") % 60).cast("int"))
     channels = s.select("grp", "channel").distinct().withColumn("acronym", acronym).withColumn("valid_data", F.col("channel") % 5 != 0)
-    return build.build_chunks(blocks, channels, 1.0, WIDTH, 0.0, 5, most_s=1e9)
+    return build.build_chunks(blocks, channels, 1.0, WIDTH, 0.0, 5)
 
 
 @query(f"{BUILT} SELECT concat('g', channel % 4) grp, region, count(*) n_channels, sum(n)::bigint n_chunks FROM ch JOIN ok USING (channel) WHERE region <> 'UNK' AND channel % 5 <> 0 GROUP BY 1, 2")
@@ -197,3 +198,45 @@ def store_ledger(spark, sf):
 @query(f"{C} SELECT scheme, count(*) n FROM (SELECT 'cross_session_all' scheme, grp FROM chunks GROUP BY ALL UNION ALL SELECT concat('cross_session_', dataset), grp FROM chunks GROUP BY ALL UNION ALL SELECT unnest(['cross_lab_labA_to_labB', 'cross_lab_labB_to_labA']), grp FROM (SELECT DISTINCT grp FROM chunks)) GROUP BY 1")
 def named_splits(spark, sf):
     return build.named_splits(V.chunks(spark, sf)).groupBy("scheme").agg(F.count("*").alias("n"))
+
+
+def _stored(spark, sf):
+    """Chunks with all columns of a store."""
+    c = V.chunks(spark, sf)
+    return c.select(
+        "chunk_id", "dataset", F.lit("s").alias("session"), F.col("grp").alias("probe"), "channel", "depth_um", F.lit("CA1").alias("acronym"), F.concat(F.lit("r"), "region_ix").alias("region"),
+        (F.col("chunk_id") * 3.0).alias("t0_s"), "grp", F.lit(1250.0).alias("fs"), "wave",
+    )
+
+
+@query(f"{C}, sc AS (SELECT *, list_avg(wave::DOUBLE[]) m FROM chunks), sd AS (SELECT *, sqrt(list_avg(list_transform(wave::DOUBLE[], lambda x: pow(x - m, 2)))) s FROM sc) SELECT chunk_id, grp, dataset, concat('r', region_ix) AS region, {r('m', 'scale_mean_uv')}, {r('s', 'scale_std_uv')}, 64 AS samples FROM sd WHERE s > 0")
+def store_round_trip(spark, sf):
+    """A store written, normalised, and opened again."""
+    path = scratch_path(spark, "store")
+    store.write_store(_stored(spark, sf), path, 64)
+    return store.open_store(spark, path).select("chunk_id", "grp", "dataset", "region", "scale_mean_uv", "scale_std_uv", F.size("wave").alias("samples"))
+
+
+@query(f"{C} SELECT chunk_id, label, 'run7' AS run, kind, {', '.join(r(f'l{i}', f'l{i}') for i in range(5))} FROM chunks, (VALUES ('logit'), ('p')) t(kind)")
+def prediction_scan(spark, sf):
+    """Predictions written with a column for each class, logits or probabilities, and scanned as arrays."""
+    c, names, out = V.chunks(spark, sf).select("chunk_id", "label", "logits"), list("abcde"), None
+    for kind in ("logit", "p"):
+        path = f"{scratch_path(spark, 'predictions')}/run7.parquet"
+        store.write_table(store.wide(c, "logits", names, kind), path)
+        got = store.predictions(spark, path, names).withColumnRenamed("logits", "p").withColumn("kind", F.lit(kind))
+        got = got.select("chunk_id", "label", "run", "kind", *[F.col("p")[i].alias(f"l{i}") for i in range(5)])
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"{C} SELECT kind, grp, label::bigint AS label, count(*) n FROM chunks, (VALUES ('csv'), ('json'), ('parquet')) t(kind) GROUP BY ALL")
+def sink_tables(spark, sf):
+    """A report written as each kind of table and read back."""
+    report, out = V.chunks(spark, sf).groupBy("grp", F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n")), None
+    for kind in ("csv", "json", "parquet"):
+        path = scratch_path(spark, f"report-{kind}")
+        store.write_table(report, path, kind)
+        got = spark.read.schema(report.schema).option("header", True).format(kind).load(path).withColumn("kind", F.lit(kind))
+        out = got if out is None else out.unionByName(got)
+    return out

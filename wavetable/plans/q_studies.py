@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavetable.operators import features as D
 from wavetable.operators import metrics as M
 from wavetable.operators import models as E
 from wavetable.operators import splits as C
@@ -16,9 +17,13 @@ from wavetable.sources import views as V
 K = V.K
 
 
+#: Samples of a wave, all of which are features.
+WIDE = 64
+
+
 def _rows(spark, sf):
-    """Chunks with their first eight samples as features."""
-    return V.chunks(spark, sf).select("chunk_id", "grp", "dataset", "label", "region_ix", "depth_um", "lateral_um", F.transform(F.slice("wave", 1, 8), lambda x: x.cast("double")).alias("v"))
+    """Chunks with their whole wave as features."""
+    return V.chunks(spark, sf).select("chunk_id", "grp", "dataset", "label", "region_ix", "depth_um", "lateral_um", F.col("wave").cast("array<double>").alias("v"))
 
 
 def _placed(spark, sf):
@@ -27,9 +32,9 @@ def _placed(spark, sf):
 
 @query()
 def logreg_folds(spark, sf):
+    """Every scheme on whole waves."""
     rows = _rows(spark, sf)
-    folds = C.leave_one_out(rows, "labA")
-    return M.full_report(S.judged(S.fitted_folds(rows, folds, 8, K)), ["scheme", "fold"], K).drop("per_class_recall")
+    return M.full_report(S.judged(S.fitted_folds(rows, C.schemes(rows), WIDE, K)), ["scheme", "fold"], K).drop("per_class_recall")
 
 
 @query()
@@ -44,62 +49,73 @@ def logreg_single(spark, sf):
 @query()
 def mlp_fold(spark, sf):
     rows = _rows(spark, sf)
-    out = E.fit_predict(E.perceptron(8, K), rows.filter("dataset = 'labA'"), rows.filter("dataset = 'labB'"), K)
+    out = E.fit_predict(E.perceptron(WIDE, K), rows.filter("dataset = 'labA'"), rows.filter("dataset = 'labB'"), K)
     return M.full_report(S.judged(out), ["grp"], K).drop("per_class_recall")
 
 
 @query()
 def sweep(spark, sf):
-    sets = {"samples": (_rows(spark, sf), 8), "position": (_rows(spark, sf).withColumn("v", F.array("depth_um", "lateral_um")), 2)}
-    return S.sweep(sets, C.schemes(_rows(spark, sf)).filter("scheme in ('loso_labA', 'cross_lab_labA_to_labB')"), K, draws=1)
+    """Every scheme, two feature sets, two models, two views, with the null of each width."""
+    sets = {"samples": (_rows(spark, sf), WIDE), "position": (_rows(spark, sf).withColumn("v", F.array("depth_um", "lateral_um")), 2)}
+    return S.sweep(sets, C.schemes(_rows(spark, sf)), K, models=("logistic", "constant"), views={"all": None, "first_four": [0, 1, 2, 3]})
+
+
+@query()
+def sweep_models(spark, sf):
+    """Every model on one scheme."""
+    rows = _placed(spark, sf)
+    return S.sweep({"position": (rows, 2)}, C.leave_one_out(rows, "labB"), K, draws=1, models=("logistic", "constant", "perceptron"))
 
 
 @query()
 def permutation_null(spark, sf):
-    """Five draws of permuted labels over one scheme: mean and most extreme score of each fold."""
+    """The draws of permuted labels of every scheme: mean and most extreme score of each fold."""
     rows = _placed(spark, sf)
-    return S.sweep({"position": (rows, 2)}, C.leave_one_out(rows, "labB"), K, draws=5).filter("control").select("scheme", "fold", "draws", "balanced_accuracy", "max_balanced_accuracy", "chance")
+    return S.sweep({"position": (rows, 2)}, C.schemes(rows), K).filter("control").select("scheme", "fold", "draws", "n_train", "balanced_accuracy", "max_balanced_accuracy", "chance")
 
 
 @query()
 def identity_probe(spark, sf):
     rows = _rows(spark, sf)
-    return S.identity_probe(rows, C.paired_holdout(rows), 8, "labB")
+    return S.identity_probe(rows, C.paired_holdout(rows), WIDE, "labB")
 
 
 @query()
 def discriminator(spark, sf):
     rows = _rows(spark, sf)
-    sets = {"samples": (rows, 8), "position": (rows.withColumn("v", F.array("depth_um", "lateral_um")), 2)}
+    sets = {"samples": (rows, WIDE), "position": (rows.withColumn("v", F.array("depth_um", "lateral_um")), 2)}
     return S.discriminator(sets, C.rotated(rows), "labB")[1]
 
 
 @query()
 def adapt_study(spark, sf):
     rows = _rows(spark, sf)
-    return S.adaptation(rows, C.schemes(rows).filter("scheme in ('loso_labA', 'cross_lab_labA_to_labB')"), 8, K)
+    return S.adaptation(rows, C.schemes(rows), WIDE, K)
 
 
 @query()
 def fusion_study(spark, sf):
+    """Position, wave and spectrum alone and by twos, in every scheme."""
     rows = _rows(spark, sf).withColumn("label", F.col("region_ix"))
-    fused = S.fusion((_placed(spark, sf), 2), {"samples": (rows, 8)}, C.leave_one_out(rows, "labA"), K)
+    spectrum = rows.withColumn("v", D.log_spectrum(F.col("v"), 64.0, kind=float))
+    fused = S.fusion((_placed(spark, sf), 2), {"samples": (rows, WIDE), "spectrum": (spectrum, 32)}, C.schemes(rows), K)
     return M.class_report(S.judged(fused), ["scheme", "fold", "source"]).select("scheme", "fold", "source", "n", "balanced_accuracy", "accuracy", "majority", "chance")
 
 
 @query()
 def depth_study(spark, sf):
+    """Widths from none to 1600 um, 4 copies in training, 10 draws in the test, alone and with the wave."""
     rows = _placed(spark, sf)
-    return S.depth_uncertainty(rows, C.leave_one_out(rows, "labA"), K, [0.0, 40.0], copies=2, draws=2)
+    heard = _rows(spark, sf).withColumn("label", F.col("region_ix"))
+    return S.depth_uncertainty(rows, C.leave_one_out(rows, "labA"), K, [0.0, 100.0, 400.0, 1600.0], signal=(heard, WIDE))
 
 
 @query()
 def head_study(spark, sf):
-    """Heads trained on train and validation groups together, beside a permuted control."""
+    """Heads trained on train and validation groups together, beside a permuted control, in every scheme."""
     rows = _rows(spark, sf)
-    folds = C.leave_one_out(rows, "labB")
-    predicted = S.judged(S.fitted_folds(rows, folds, 8, K, draws=1, parts=("train", "val")))
-    return M.class_report(predicted, ["fold", "draw"]).select("fold", "draw", "balanced_accuracy", "chance")
+    predicted = S.judged(S.fitted_folds(rows, C.schemes(rows), WIDE, K, draws=1, parts=("train", "val")))
+    return M.class_report(predicted, ["scheme", "fold", "draw"]).select("scheme", "fold", "draw", "balanced_accuracy", "chance")
 
 
 #: Fold metrics from the large view: a feature set is the prediction shifted by so many classes, a fold is a group.
@@ -127,7 +143,12 @@ def paired_comparison(spark, sf):
     return K_.paired_comparison(_folds(spark, sf), ["scheme"]).drop("p_value")
 
 
-@query()
+#: The exact null: all sign patterns of the ranks are as likely (without ties or zeros, as here; statistics of other pairs are left out).
+SQL_SIGNS = f"""st AS (SELECT a, b, count(*) n, min(k) AS low, count(DISTINCT k) AS apart, least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END)) w FROM rk GROUP BY 1, 2),
+al AS (SELECT a, b, count(*) folds FROM pr2 GROUP BY 1, 2), sg AS (SELECT m, bits, list_sum(list_transform(range(0, m), lambda i: ((bits >> i) & 1) * (i + 1))) s FROM (SELECT DISTINCT n m FROM st), range(0, 131072) t(bits) WHERE bits < (1 << m))"""
+
+
+@query(f"{FOLDS}, {SQL_PAIRS}, {SQL_SIGNS} SELECT a, b, folds, {r('w', 'statistic')}, {r('least(1, 2e0 * (SELECT count(*) FROM sg WHERE m = n AND s <= w) / (1 << n))', 'p_value')} FROM st JOIN al USING (a, b)")
 def signed_rank_p(spark, sf):
     return K_.paired_comparison(_folds(spark, sf), ["scheme"]).select("a", "b", "folds", "statistic", "p_value")
 

@@ -13,54 +13,111 @@ from wavetable.operators import splits as C
 from wavetable.operators.shift import centred_by_group
 
 
-def fitted_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, draws: int = 0, seed: int = 0, parts: tuple[str, ...] = ("train",), train: DataFrame | None = None) -> DataFrame:
-    """Test rows of every fold with p, from one model for each distinct training set and draw.
+#: Draws of the permuted null for vectors of two features at most, and for wider ones; rows that draws after the first train on.
+NULL_DRAWS, WIDE_DRAWS, EXTRA_ROWS = 20, 1, 20_000
 
-    rows: chunk_id, grp, label, v. folds: scheme, fold, part, grp. Draw 0 has the true labels; draws 1 to `draws` are
-    trained on labels that are dealt anew, by the order of a hash, among the training rows. Adds scheme, fold, draw.
-    train: other rows to train on, such as a capped sample; the test is always all of rows.
-    """
+
+def training_sets(rows: DataFrame, folds: DataFrame, parts: tuple[str, ...] = ("train",)) -> tuple[dict[tuple[str, str], int], DataFrame]:
+    """The number of each fold's training set, where it has two classes at least, and (grp, sets). Folds with the same groups share a set."""
     small = folds.filter(F.col("part").isin(*parts)).groupBy("scheme", "fold").agg(F.array_sort(F.collect_list("grp")).alias("groups")).collect()  # folds
     sets: dict[tuple[str, ...], int] = {}
     number = {(x["scheme"], x["fold"]): sets.setdefault(tuple(x["groups"]), len(sets)) for x in small}
-    spark = rows.sparkSession
-    per = draws + 1
+    seen: dict[str, set] = {}
+    for x in rows.select("grp", "label").distinct().collect():  # groups times classes
+        seen.setdefault(x["grp"], set()).add(x["label"])
+    good = {n for groups, n in sets.items() if len(set().union(*(seen.get(g, set()) for g in groups))) > 1}
     member: dict[str, list[int]] = {}
     for groups, n in sets.items():
-        for g in groups:
+        for g in groups if n in good else ():
             member.setdefault(g, []).append(n)
-    table = spark.createDataFrame([(g, s) for g, own in member.items() for s in own], "grp string, set int")
-    joined = (rows if train is None else train).select("chunk_id", "grp", "label", "v").join(table, "grp")
-    trained = joined.withColumn("draw", F.lit(0))
+    table = rows.sparkSession.createDataFrame(list(member.items()), "grp string, sets array<int>")
+    return {f: n for f, n in number.items() if n in good}, table
+
+
+def asked_rows(rows: DataFrame, folds: DataFrame, number: dict[tuple[str, str], int]) -> DataFrame:
+    """The test rows of each fold that has a training set, with its number."""
+    table = rows.sparkSession.createDataFrame([(s, f, n) for (s, f), n in number.items()], "scheme string, fold string, set int")
+    return rows.join(folds.filter("part = 'test'").select("scheme", "fold", "grp").join(table, ["scheme", "fold"]), "grp")
+
+
+def fitted_folds(
+    rows: DataFrame, folds: DataFrame, d: int, k: int, draws: int = 0, seed: int = 0, parts: tuple[str, ...] = ("train",), train: DataFrame | None = None, extra_rows: int = EXTRA_ROWS
+) -> DataFrame:
+    """Test rows of every fold with p, from one model for each distinct training set and draw.
+
+    rows: chunk_id, grp, label, v. folds: scheme, fold, part, grp. Draw 0 has the true labels; draws 1 to `draws` are
+    trained on labels that are dealt anew, by the order of a hash, among the training rows; after the first, among
+    extra_rows of them at most. Adds scheme, fold, draw. A fold whose training rows have fewer than two classes, or that
+    has no test row, gives no rows. train: other rows to train on, such as a capped sample; the test is always all of rows.
+    Each row is in the training table once, with the numbers of the models that it trains and its labels in them.
+    """
+    source = (rows if train is None else train).select("chunk_id", "grp", "label", "v")
+    number, table = training_sets(source, folds, parts)
+    per, sets = draws + 1, sorted(set(number.values()))
+    joined = source.join(table, "grp")
+    tasks = F.transform("sets", lambda s: F.struct((s * per).alias("config"), F.col("label").cast("int").alias("label")))
     if draws:
-        copies = joined.select("set", "chunk_id", "label", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-        dealt = C.permuted_labels(copies.withColumn("id", F.concat_ws(":", "draw", "chunk_id")), ["set", "draw"], "id", seed=seed).select("set", "draw", "chunk_id", "label")
-        trained = trained.unionByName(joined.drop("label").join(dealt, ["set", "chunk_id"]).select(trained.columns))
-    trained = trained.select("v", "label", F.array(F.col("set") * per + F.col("draw")).alias("configs")).persist()
-    models = E.grouped_logistic(trained, [s * per + i for s in sets.values() for i in range(per)], d, k)
+        ids = joined.select(F.explode("sets").alias("set"), "chunk_id", "label")
+        copies = ids.withColumn("draw", F.lit(1))
+        if draws > 1:
+            copies = copies.unionByName(C.keyed_sample(ids, extra_rows, ["set"], ["chunk_id"], seed).withColumn("draw", F.explode(F.sequence(F.lit(2), F.lit(draws)))))
+        dealt = C.permuted_labels(copies.withColumn("id", F.concat_ws(":", "draw", "chunk_id")), ["set", "draw"], "id", seed=seed)
+        more = dealt.groupBy("chunk_id").agg(F.collect_list(F.struct((F.col("set") * per + F.col("draw")).alias("config"), F.col("label").cast("int").alias("label"))).alias("more"))
+        joined = joined.join(more, "chunk_id", "left")
+        tasks = F.concat(tasks, F.coalesce("more", F.slice(tasks, 1, 0)))
+    trained = joined.select("v", tasks.alias("tasks")).select("v", F.col("tasks.config").alias("configs"), F.col("tasks.label").alias("labels")).persist()
+    models = E.grouped_logistic(trained, [s * per + i for s in sets for i in range(per)], d, k)
     trained.unpersist()
-    fold_table = spark.createDataFrame([(s, f, n) for (s, f), n in number.items()], "scheme string, fold string, set int")
-    tests = folds.filter("part = 'test'").select("scheme", "fold", "grp").join(fold_table, ["scheme", "fold"])
-    asked = rows.join(tests, "grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    asked = asked_rows(rows, folds, number).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     return E.predict_grouped(asked.withColumn("config", F.col("set") * per + F.col("draw")), models, k).drop("config", "set")
 
 
+def constant_folds(rows: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """Test rows of every fold with p: the class frequencies of its training rows; as in fitted_folds."""
+    number, table = training_sets(rows, folds)
+    p = E.constant(rows.join(table, "grp").withColumn("set", F.explode("sets")), ["set"], k)
+    return asked_rows(rows, folds, number).join(p, "set").drop("set").withColumn("draw", F.lit(0))
+
+
+def perceptron_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, seed: int = 0) -> DataFrame:
+    """Test rows of every fold with p by a perceptron; one Spark ML fit for each distinct training set."""
+    number, table = training_sets(rows, folds)
+    joined, asked = rows.join(table, "grp").persist(), asked_rows(rows, folds, number)
+    out = None
+    for n in sorted(set(number.values())):
+        part = E.fit_predict(lambda classes: E.perceptron(d, classes, seed), joined.filter(F.array_contains("sets", n)), asked.filter(F.col("set") == n), k)
+        out = part if out is None else out.unionByName(part)
+    joined.unpersist()
+    return out.drop("set").withColumn("draw", F.lit(0))
+
+
 def judged(predicted: DataFrame) -> DataFrame:
     """Predicted rows with what metrics need."""
     pred = A.argmax(F.col("p"))
     return predicted.withColumns({"conf": F.array_max("p"), "pred": pred, "hit": (pred == F.col("label")).cast("double")})
 
 
-def sweep(features: dict[str, tuple[DataFrame, int]], folds: DataFrame, k: int, draws: int = 1, seed: int = 0) -> DataFrame:
-    """One row for each scheme, fold, feature set and control (false: true labels; true: mean over the permuted draws), with the most extreme draw."""
+def sweep(
+    features: dict[str, tuple[DataFrame, int]], folds: DataFrame, k: int, draws: int | None = None, seed: int = 0, models: tuple[str, ...] = ("logistic",), views: dict[str, list[int] | None] | None = None
+) -> DataFrame:
+    """One row for each scheme, fold, feature set, model, view and control (false: true labels; true: mean over the permuted draws), with the most extreme draw.
+
+    draws: of the null of the logistic model; by default NULL_DRAWS for two features at most, else WIDE_DRAWS.
+    models: logistic, constant, perceptron. views: by name the labels whose rows count, or None for all.
+    """
     out = None
-    for name, (rows, d) in features.items():
-        predicted = judged(fitted_folds(rows, folds, d, k, draws, seed))
-        by = M.full_report(predicted, ["scheme", "fold", "draw"], k).drop("per_class_recall")
-        numbers = [c for c in by.columns if c not in ("scheme", "fold", "draw")]
-        part = by.groupBy("scheme", "fold", (F.col("draw") > 0).alias("control")).agg(*[F.avg(c).alias(c) for c in numbers], F.max("balanced_accuracy").alias("max_balanced_accuracy"), F.count("*").alias("draws"))
-        part = part.withColumn("features", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    for view, labels in (views or {"all": None}).items():
+        for name, (rows, d) in features.items():
+            own = rows if labels is None else rows.filter(F.col("label").isin(labels))
+            n_train = folds.filter("part = 'train'").select("scheme", "fold", "grp").join(own.groupBy("grp").agg(F.count("*").alias("n")), "grp").groupBy("scheme", "fold").agg(F.sum("n").alias("n_train"))
+            for model in models:
+                n = (NULL_DRAWS if d <= 2 else WIDE_DRAWS) if draws is None else draws
+                fitted = {"logistic": lambda: fitted_folds(own, folds, d, k, n, seed), "constant": lambda: constant_folds(own, folds, k), "perceptron": lambda: perceptron_folds(own, folds, d, k, seed)}[model]
+                by = M.full_report(judged(fitted()), ["scheme", "fold", "draw"], k).drop("per_class_recall")
+                numbers = [c for c in by.columns if c not in ("scheme", "fold", "draw")]
+                part = by.groupBy("scheme", "fold", (F.col("draw") > 0).alias("control")).agg(*[F.avg(c).alias(c) for c in numbers], F.max("balanced_accuracy").alias("max_balanced_accuracy"), F.count("*").alias("draws"))
+                part = part.join(n_train, ["scheme", "fold"]).withColumns({"features": F.lit(name), "model": F.lit(model), "view": F.lit(view)})
+                out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -83,44 +140,57 @@ def discriminator(sets: dict[str, tuple[DataFrame, int]], folds: DataFrame, posi
 
 
 def adaptation(rows: DataFrame, folds: DataFrame, d: int, k: int) -> DataFrame:
-    """Report for each scheme of the head on vectors as they are and on vectors centred by group."""
-    out = None
+    """Report for each scheme of the head on vectors as they are and on vectors centred by group, with how well the dataset can be told from them (identity_auc; null with one dataset)."""
+    out, names = None, sorted(x["dataset"] for x in rows.select("dataset").distinct().collect())  # a row for each dataset
     for name, own in (("uncentred", rows), ("centred", centred_by_group(rows))):
         part = M.full_report(judged(fitted_folds(own, folds, d, k)), ["scheme"], k).drop("per_class_recall").withColumn("run", F.lit(name))
+        if len(names) == 2:
+            part = part.crossJoin(F.broadcast(identity_probe(own, C.paired_holdout(own), d, names[1]).agg(F.avg("auc").alias("identity_auc"))))  # one row
+        else:
+            part = part.withColumn("identity_auc", F.lit(None).cast("double"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def fusion(position: tuple[DataFrame, int], signals: dict[str, tuple[DataFrame, int]], folds: DataFrame, k: int, cap: int = 7500) -> DataFrame:
-    """Rows (scheme, fold, chunk_id, source, label, p): position and signals alone, and each signal multiplied with position."""
-    def fitted(rows: DataFrame, d: int) -> DataFrame:
-        return fitted_folds(rows, folds, d, k, train=C.balanced_sample(rows, cap, ["chunk_id"]))
-
-    base = fitted(*position).select("scheme", "fold", "chunk_id", "label", F.col("p").alias("p_position"))
+    """Rows (scheme, fold, chunk_id, source, label, p): position and signals alone, and every two of them multiplied. Folds without a model of all of them have no rows."""
+    names = ["position", *signals]
+    both = None
+    for i, (rows, d) in enumerate([position, *signals.values()]):
+        own = fitted_folds(rows, folds, d, k, train=C.balanced_sample(rows, cap, ["chunk_id"])).select("scheme", "fold", "chunk_id", *(["label"] if not i else []), F.col("p").alias(f"p{i}"))
+        both = own if both is None else both.join(own, ["scheme", "fold", "chunk_id"])
     training = folds.filter("part = 'train'").select("scheme", "fold", "grp").join(position[0].select("grp", "label"), "grp")
-    prior = E.constant(training, ["scheme", "fold"], k).withColumnRenamed("p", "prior")
-    out = base.select("scheme", "fold", "chunk_id", "label", F.lit("position").alias("source"), F.col("p_position").alias("p"))
-    for name, (rows, d) in signals.items():
-        own = fitted(rows, d).select("scheme", "fold", "chunk_id", F.col("p").alias("p_signal"))
-        both = base.join(own, ["scheme", "fold", "chunk_id"]).join(prior, ["scheme", "fold"])
-        out = out.unionByName(both.select("scheme", "fold", "chunk_id", "label", F.lit(name).alias("source"), F.col("p_signal").alias("p")))
-        fused = I.product_of_experts([F.col("p_position"), F.col("p_signal")], F.col("prior"))
-        out = out.unionByName(both.select("scheme", "fold", "chunk_id", "label", F.lit(f"position+{name}").alias("source"), fused.alias("p")))
-    return out
+    both = both.join(E.constant(training, ["scheme", "fold"], k).withColumnRenamed("p", "prior"), ["scheme", "fold"])
+    found = [F.struct(F.lit(n).alias("source"), F.col(f"p{i}").alias("p")) for i, n in enumerate(names)]
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            found.append(F.struct(F.lit(f"{a}+{names[j]}").alias("source"), I.product_of_experts([F.col(f"p{i}"), F.col(f"p{j}")], F.col("prior")).alias("p")))
+    return both.select("scheme", "fold", "chunk_id", "label", F.explode(F.array(*found)).alias("x")).select("scheme", "fold", "chunk_id", "label", "x.*")
 
 
-def depth_uncertainty(rows: DataFrame, folds: DataFrame, k: int, widths: list[float], copies: int = 4, draws: int = 10) -> DataFrame:
-    """(scheme, fold, half_width_um, balanced_accuracy): position models under one random shift of depth for each group and draw. rows: v = [depth, lateral]."""
-    out = None
+def depth_uncertainty(rows: DataFrame, folds: DataFrame, k: int, widths: list[float], copies: int = 4, draws: int = 10, signal: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """(scheme, fold, half_width_um, balanced_accuracy, chance): position models under one random shift of depth for each group and draw. rows: v = [depth, lateral].
+
+    With a signal (its rows and width) also signal, its own balanced accuracy, and fused, that of position and signal multiplied.
+    """
+    out, most = None, max(copies, draws)
     shifted = lambda df, w, seed: df.withColumn("v", F.array(I.jittered_depth(F.col("v")[0], F.col("grp"), w, seed), F.col("v")[1]))
+    score = lambda df, keys, name: M.class_report(judged(df), keys).select(*keys, F.col("balanced_accuracy").alias(name))
+    if signal:
+        training = folds.filter("part = 'train'").select("scheme", "fold", "grp").join(rows.select("grp", "label"), "grp")
+        heard = fitted_folds(signal[0], folds, signal[1], k).select("scheme", "fold", F.col("chunk_id").alias("_chunk"), "label", F.col("p").alias("_p"))
+        heard = heard.join(E.constant(training, ["scheme", "fold"], k).withColumnRenamed("p", "prior"), ["scheme", "fold"]).persist()
     for w in widths:
-        many = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(max(copies, draws) - 1))))
+        many = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("_chunk", F.col("chunk_id"))
         moved = shifted(many, w, F.concat(F.lit("c"), F.col("_c").cast("string")))
         # copies are rows of their own in training; draws are rows of their own in the test
-        tagged = moved.withColumn("chunk_id", F.col("chunk_id") * 1000 + F.col("_c"))
+        tagged = moved.withColumn("chunk_id", F.col("chunk_id") * most + F.col("_c"))
         predicted = judged(fitted_folds(tagged.filter(F.col("_c") < draws), folds, 2, k, train=tagged.filter(F.col("_c") < copies)))
-        by = M.class_report(predicted, ["scheme", "fold", "_c"]).groupBy("scheme", "fold").agg(F.avg("balanced_accuracy").alias("balanced_accuracy"))
-        part = by.withColumn("half_width_um", F.lit(float(w)))
+        keys = ["scheme", "fold"]
+        part = M.class_report(predicted, [*keys, "_c"]).groupBy(*keys).agg(F.avg("balanced_accuracy").alias("balanced_accuracy"), F.avg("chance").alias("chance"))
+        if signal:
+            both = predicted.drop("label").join(heard, [*keys, "_chunk"]).withColumn("p", I.product_of_experts([F.col("p"), F.col("_p")], F.col("prior")))
+            part = part.join(score(both, [*keys, "_c"], "fused").groupBy(*keys).agg(F.avg("fused").alias("fused")), keys).join(score(heard.withColumn("p", F.col("_p")), keys, "signal"), keys)
+        part = part.withColumn("half_width_um", F.lit(float(w)))
         out = part if out is None else out.unionByName(part)
     return out
-

@@ -35,14 +35,16 @@ def take(chunks: DataFrame, wanted: DataFrame, microvolts: bool = False) -> Data
 
 
 def corpus(stores: list[DataFrame], names: list[str], tolerance_hz: float = 0.1) -> DataFrame:
-    """One index over several stores, with the name of the store, unique ids and the mean rate. Stores that do not fit raise."""
+    """One index over several stores, with the name of the store, unique ids and the mean rate. Stores that do not fit, or whose ids would meet, raise."""
     if not stores:
         raise ValueError("a corpus needs a store")
     out = None
     for i, (store, name) in enumerate(zip(stores, names, strict=True)):
         part = store.withColumn("store", F.lit(name)).withColumn("row", F.col("chunk_id")).withColumn("chunk_id", F.col("chunk_id") + i * STORE_STRIDE)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    widths, low, high, mean = out.agg(F.count_distinct(F.size("wave")), F.min("fs"), F.max("fs"), F.avg("fs")).first()
+    widths, low, high, mean, least, most = out.agg(F.count_distinct(F.size("wave")), F.min("fs"), F.max("fs"), F.avg("fs"), F.min("row"), F.max("row")).first()
+    if len(stores) > 1 and least is not None and (least < 0 or most >= STORE_STRIDE):
+        raise ValueError(f"ids from {least} to {most} do not fit between 0 and {STORE_STRIDE - 1}")
     if widths > 1:
         raise ValueError(f"chunks of {widths} lengths")
     if high - low > tolerance_hz:
