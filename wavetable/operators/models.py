@@ -25,7 +25,7 @@ from wavetable.functions import arrays as A
 from wavetable.operators.sums import summed
 
 #: Weights of a configuration, classes times (features + 1), up to which Newton's method is used; beyond, gradients alone.
-MOST_WEIGHTS = 400
+MOST_WEIGHTS = 200
 STEPS, PASSES = 30, 300
 #: Steps that limited-memory BFGS remembers.
 MEMORY = 10
@@ -170,7 +170,7 @@ def _newton(rows: DataFrame, scale: dict, d: int, k: int, keep: np.ndarray) -> d
             done = n in last and last[n] - loss < 1e-9 * max(1.0, abs(loss))
             last[n] = loss
             if not done:
-                step[n] = -np.linalg.lstsq(h + np.diag(keep) + 1e-9 * np.eye(len(flat)), g + keep * flat, rcond=None)[0].reshape(k, d + 1)
+                step[n] = -np.linalg.solve(h + np.diag(keep) + 1e-7 * np.eye(len(flat)), g + keep * flat).reshape(k, d + 1)
                 w[n] = w[n] + step[n]
                 going.append(n)
         live = going
