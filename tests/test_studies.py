@@ -280,6 +280,21 @@ def test_depth_with_a_signal(spark):
     assert got[0.0]["alone"] > 0.9 > got[800.0]["alone"] and got[800.0]["fused"] > got[800.0]["alone"] + 0.1 and got[0.0]["signal"] == pytest.approx(got[800.0]["signal"])
 
 
+def test_abstention_with_distances(spark):
+    from wavetable.operators import selective
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(300):
+        new = i % 2
+        p = rng.dirichlet([6.0, 1.0, 1.0] if not new else [1.0, 1.0, 1.0])
+        rows.append((i, new, p.tolist(), int(rng.random() > p.max()), (rng.normal(size=4) + 3 * new).tolist()))
+    df = spark.createDataFrame(rows, "chunk_id long, new int, p array<double>, wrong int, v array<double>")
+    got = {r["score"]: r for r in selective.abstention_study(df.filter("new = 0"), df.filter("new = 1"), 3, "chunk_id", "v", d=4).collect()}
+    assert set(got) == {"max_softmax", "entropy", "mahalanobis"} and got["mahalanobis"]["in_vs_out_auc"] > 0.95 > got["entropy"]["in_vs_out_auc"] > 0.5
+    assert len({round(r["risk_full"], 9) for r in got.values()}) == 1 and got["max_softmax"]["risk_fifth"] <= got["max_softmax"]["risk_full"]
+
+
 def test_two_signals_are_fused_without_position(spark):
     rows = separable(spark)
     fused = S.fusion((rows.withColumn("v", F.slice("v", 1, 1)), 1), {"a": (rows, 3), "b": (rows.withColumn("v", F.slice("v", 2, 2)), 2)}, C.leave_one_out(rows, "A"), 3)

@@ -111,3 +111,22 @@ def mahalanobis(train: DataFrame, df: DataFrame, vector: str, d: int, keep: list
         return pd.Series(np.sqrt(np.maximum(0, ((x @ inverse) * x).sum(axis=1))))
 
     return df.select(*keep, distance(F.col(vector)).alias("distance"))
+
+
+def abstention_study(inside: DataFrame, outside: DataFrame, k: int, tie: str, vector: str | None = None, train: DataFrame | None = None, d: int = 0) -> DataFrame:
+    """One row for each score: aurc, the risks at full, half and a fifth of coverage (on outside), and how well it tells outside from inside.
+
+    inside, outside: predictions on the known and on the new data, with p and wrong. Scores are those of uncertainty, and with
+    vector (d wide) the distance from the mean of train, or of inside where train is not given.
+    """
+    keep = [tie, "wrong"]
+
+    def scored(df: DataFrame) -> DataFrame:
+        rows = long_scores(df, k, keep)
+        if vector is None:
+            return rows
+        far = mahalanobis(inside if train is None else train, df, vector, d, keep)
+        return rows.unionByName(far.select(*keep, F.lit("mahalanobis").alias("score"), F.col("distance").alias("value")))
+
+    known, new = scored(inside), scored(outside)
+    return risk_summary(new, ["score"], tie).join(separation_auc(known, new, ["score"]).select("score", F.col("auc").alias("in_vs_out_auc")), "score")

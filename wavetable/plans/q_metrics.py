@@ -192,6 +192,13 @@ def abstain(spark, sf):
     return S.risk_summary(rows, ["score"], "chunk_id").join(apart, "score")
 
 
+@query()
+def abstention_study(spark, sf):
+    """The scores of abstain and the distance of the wave from those of the known dataset, on the new one."""
+    rows = M.with_probabilities(V.chunks(spark, sf), K).withColumn("wrong", (~F.col("hit").cast("boolean")).cast("int"))
+    return S.abstention_study(rows.filter("dataset = 'labA'"), rows.filter("dataset = 'labB'"), K, "chunk_id", "wave", d=64)
+
+
 #: Mean logits are rounded before the largest is taken, for the same reason; in exact arithmetic ties go to the lower class.
 def sql_channels(view: str, group: str, depth: str) -> str:
     means = ", ".join(f"avg(l{i}) a{i}" for i in range(5))
