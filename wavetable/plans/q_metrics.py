@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from wavetable.functions import arrays as A
@@ -127,7 +129,20 @@ def temperature_grid(spark, sf):
     return G.best_on_grid(V.big(spark, sf), ["gid"], K)
 
 
-@query()
+def sql_fit(rounds: int = 3, points: int = 21) -> str:
+    """Rounds over finer grids of factors around the best temperature of each dataset."""
+    loss = "avg(least(ln(exp((l0-m)/{t})+exp((l1-m)/{t})+exp((l2-m)/{t})+exp((l3-m)/{t})+exp((l4-m)/{t})) - ((case label when 0 then l0 when 1 then l1 when 2 then l2 when 3 then l3 else l4 end)-m)/{t}, -ln(1e-12)))"
+    values = lambda grid: ", ".join(f"({t!r}::DOUBLE)" for t in grid)
+    parts = [f"g0 AS (SELECT dataset k, x t, {loss.format(t='x')} nll FROM pr, (VALUES {values(G.temperature_grid(points))}) v(x) GROUP BY 1, 2), b0 AS (SELECT k, arg_min(t, nll) t FROM g0 GROUP BY 1)"]
+    step = (math.log(G.HIGH) - math.log(G.LOW)) / (points - 1)
+    for i in range(1, rounds + 1):
+        factors = values(G.temperature_grid(points, math.exp(-step), math.exp(step)))
+        parts.append(f"g{i} AS (SELECT k, t * x t, {loss.format(t='(t * x)')} nll FROM pr JOIN b{i - 1} ON k = dataset, (VALUES {factors}) v(x) GROUP BY 1, 2), b{i} AS (SELECT k, least(greatest(arg_min(t, nll), {G.LOW}), {G.HIGH}) t FROM g{i} GROUP BY 1)")
+        step = 2 * step / (points - 1)
+    return ", ".join(parts) + f" SELECT k AS dataset, {r('t', 't')} FROM b{rounds}"
+
+
+@query(f"{CHUNKS}, {sql_fit()}")
 def temperature_fit(spark, sf):
     return G.fit_temperature(V.chunks(spark, sf), ["dataset"], K)
 
@@ -145,6 +160,12 @@ def calibration_before_after(spark, sf):
     return G.before_after(V.big(spark, sf), ["gid"], K, 2.0)
 
 
+#: The source's temperature in both datasets, and the target's own: scores of the logits as they are and divided by it.
+SQL_CALIBRATION = f"""{CHUNKS}, {SQL_GRID.format(key='dataset')}, sp AS (SELECT split, d, t FROM (VALUES ('in_lab', 'labA', 'labA'), ('cross_lab', 'labB', 'labA'), ('cross_lab_oracle', 'labB', 'labB')) v(split, d, fitted) JOIN best ON k = fitted),
+{', '.join(f"{n}_in AS (SELECT split gid, label, {', '.join(f'l{i} / {t} l{i}' for i in range(5))} FROM chunks JOIN sp ON d = dataset)" for n, t in (('a', '1e0'), ('b', 't')))}, {V.sql_probabilities('a_in', 1.0, 'a')}, {V.sql_probabilities('b_in', 1.0, 'b')}, {_sql_scores('a')}, {_sql_scores('b')}
+SELECT split, {r('t', 'temperature')}, a_s.n, {r('a_s.acc', 'accuracy')}, {', '.join(r(f'{x}_s.{c}', f'{name}_{when}') for x, when in (('a', 'before'), ('b', 'after')) for c, name in (('ece', 'ece'), ('nll', 'nll'), ('brier', 'brier'), ('mc', 'mean_conf')))} FROM a_s JOIN b_s USING (gid) JOIN sp ON split = gid"""
+
+
 @query(f"{CHUNKS}, {SQL_GRID.format(key='dataset')} SELECT {r('a.t', 'source_t')}, {r('b.t', 'target_t')}, {r('b.t / a.t', 'ratio')} FROM best a, best b WHERE a.k = 'labA' AND b.k = 'labB'")
 def calibrate_transfer(spark, sf):
     return G.transfer(V.chunks(spark, sf), "labA", "labB", "dataset", K)

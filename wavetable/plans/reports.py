@@ -9,10 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavetable.operators.calibration import before_after, transfer
+from wavetable.operators.geometry import crossing
+
 SUMMARY_KEYS = ["scheme", "view", "features", "model", "control"]
 #: Pairs up to which the null distribution of the signed-rank sum is exact.
 EXACT = 50
 LEAST_FOLDS = 3
+#: The seed in the tag of a run.
+SEED = r"__seed([0-9]+)(?=__|$)"
 
 
 def merge_results(old: DataFrame, new: DataFrame, key: str = "features") -> DataFrame:
@@ -85,6 +90,17 @@ def baseline_report(summary: DataFrame, leaky: tuple[str, ...] = ("span_fraction
     return model.join(null, ["scheme", "features"], "left").select("scheme", rank.alias("rank"), "features", "balanced_accuracy", "balanced_accuracy_sd", "permuted", "chance", (F.col("permuted") - F.col("chance")).alias("null_bias"))
 
 
+def baseline_pairs(folds: DataFrame, keys: tuple[str, ...] = ("scheme", "view", "model"), leaky: tuple[str, ...] = ("span_fraction",)) -> DataFrame:
+    """paired_comparison of the baselines, without controls and leaky features."""
+    return paired_comparison(folds.filter(~F.col("control") & ~F.col("features").isin(*leaky)), list(keys))
+
+
+def leakage_check(folds: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, folds, permuted, chance, bias): what rows of permuted labels score beside chance."""
+    by = folds.filter("control").groupBy(*keys).agg(F.count("*").alias("folds"), F.avg("balanced_accuracy").alias("permuted"), F.avg("chance").alias("chance"))
+    return by.withColumn("bias", F.col("permuted") - F.col("chance"))
+
+
 def latest_run(runs: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """(tag, run_id, path) of the last run of each tag; a tag that is asked for and has none raises."""
     found = runs.groupBy("tag").agg(F.max("run_id").alias("run_id"), F.max_by("path", "run_id").alias("path"))
@@ -95,11 +111,41 @@ def latest_run(runs: DataFrame, tags: list[str] | None = None) -> DataFrame:
 
 
 def config_table(runs: DataFrame, scores: list[str]) -> DataFrame:
-    """Tags like <config>__seed<n> across their seeds: mean and sample deviation of each score."""
-    named = runs.withColumn("config", F.regexp_replace("tag", r"__seed[0-9]+$", "")).withColumn("seed", F.regexp_extract("tag", r"__seed([0-9]+)$", 1))
+    """Tags like <config>__seed<n> or <config>__seed<n>__<variant> across their seeds: mean and sample deviation of each score."""
+    named = runs.withColumn("config", F.regexp_replace("tag", SEED, "")).withColumn("seed", F.regexp_extract("tag", SEED, 1))
     return named.groupBy("config", "stage").agg(F.count_distinct("seed").alias("seeds"), *[x for s in scores for x in (F.avg(s).alias(f"{s}_mean"), F.stddev_samp(s).alias(f"{s}_sd"))])
 
 
+def fix_table(scores: DataFrame, ece: DataFrame, identity: DataFrame, controls: DataFrame) -> DataFrame:
+    """config_table of raw accuracy, margin over the majority, balanced accuracy and chance, beside the means over seeds of what is known of their runs.
+
+    scores: tag, stage, raw_accuracy, majority, balanced_accuracy, chance. ece: tag, ece. identity: tag, identity_auc.
+    controls: config and a column for each control. What a run or configuration lacks is null.
+    """
+    table = config_table(scores.withColumn("margin", F.col("raw_accuracy") - F.col("majority")), ["raw_accuracy", "margin", "balanced_accuracy", "chance"])
+    tags = scores.select("tag").distinct().join(ece, "tag", "left").join(identity, "tag", "left").withColumn("config", F.regexp_replace("tag", SEED, ""))
+    known = tags.groupBy("config").agg(F.avg("ece").alias("ece"), F.avg("identity_auc").alias("identity_auc"))
+    return table.join(known, "config", "left").join(controls, "config", "left")
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """(scheme, run, band, groups, and means): runs of true labels. runs: scheme, run, fold, control, balanced_accuracy, chance, ece, lowpass_hz, identity_auc."""
+    band = F.when(F.max("lowpass_hz") > 0, F.format_string("<=%d Hz", F.max("lowpass_hz").cast("int"))).otherwise("full")
+    return runs.filter(~F.col("control")).groupBy("scheme", "run").agg(
+        band.alias("band"), F.count("*").alias("groups"), F.avg("balanced_accuracy").alias("balanced_accuracy"), F.stddev_samp("balanced_accuracy").alias("balanced_accuracy_sd"),
+        F.avg("chance").alias("chance"), F.avg("ece").alias("ece"), F.avg("identity_auc").alias("identity_auc"),
+    )
+
+
+def paired_sessions(runs: DataFrame, baselines: DataFrame, least: int = 2) -> DataFrame:
+    """(scheme, run, features, sessions, baseline, tuned, difference, wins): runs of true labels against each baseline on the sessions that both have."""
+    a = runs.filter(~F.col("control")).select("scheme", "run", "fold", F.col("balanced_accuracy").alias("_a"))
+    b = baselines.filter(~F.col("control")).select("scheme", "features", "fold", F.col("balanced_accuracy").alias("_b"))
+    gain = F.col("_a") - F.col("_b")
+    by = a.join(b, ["scheme", "fold"]).filter(gain.isNotNull()).groupBy("scheme", "run", "features")
+    return by.agg(F.count("*").alias("sessions"), F.avg("_b").alias("baseline"), F.avg("_a").alias("tuned"), F.avg(gain).alias("difference"), F.count_if(gain > 0).alias("wins")).filter(F.col("sessions") >= least)
+
+
 def run_comparison(runs: DataFrame, baselines: DataFrame) -> DataFrame:
     """(run, features, folds, difference, wins, best): each run against each baseline on shared folds, and the best run by its mean."""
     joined = runs.join(baselines.select("fold", "features", F.col("balanced_accuracy").alias("_b")), "fold")
@@ -121,6 +167,53 @@ def fusion_gains(folds: DataFrame, base: str = "position", score: str = "balance
     return parts.groupBy("scheme", "features").agg(F.avg(gain).alias("gain"), F.count_if(gain > 0).alias("wins"), F.count("*").alias("folds"))
 
 
+def fusion_report(folds: DataFrame, base: str = "position", score: str = "balanced_accuracy") -> DataFrame:
+    """For each fused source base+x of a scheme: mean gain over either part, and the folds where it wins."""
+    fused = folds.filter(F.col("features").startswith(f"{base}+")).withColumn("signal", F.regexp_replace("features", r"^[^+]*\+", ""))
+    one = lambda name: folds.select("scheme", "fold", F.col("features").alias(name), F.col(score).alias(f"_{name}"))
+    parts = fused.join(one("signal"), ["scheme", "fold", "signal"]).join(one("base").filter(F.col("base") == base), ["scheme", "fold"])
+    over, beyond = F.col(score) - F.col("_base"), F.col(score) - F.col("_signal")
+    return parts.groupBy("scheme", "features").agg(
+        F.count("*").alias("folds"), F.avg(over).alias("over_base"), F.count_if(over > 0).alias("base_wins"), F.avg(beyond).alias("over_signal"), F.count_if(beyond > 0).alias("signal_wins")
+    )
+
+
+def depth_report(rows: DataFrame) -> DataFrame:
+    """(scheme, half_width_um, position, signal, fused, crossing_um, signal_first): means over folds; where the signal becomes the better source, and whether it is so at the least width."""
+    mean = rows.groupBy("scheme", "half_width_um").agg(*[F.avg(c).alias(c) for c in ("position", "signal", "fused")])
+    at = crossing(mean, ["scheme"], "half_width_um", "position", "signal").withColumnRenamed("crossing", "crossing_um")
+    first = mean.groupBy("scheme").agg(F.min_by(F.col("position") < F.col("signal"), "half_width_um").alias("signal_first"))
+    return mean.join(at, "scheme").join(first, "scheme")
+
+
+def position_tables(folds: DataFrame, fusion: DataFrame, depth: DataFrame, boundary: DataFrame, schemes: list[str]) -> dict[str, DataFrame]:
+    """The position report by part: sources by scheme, the fused ones too, gains of fusion, depth, boundaries (a boundary_table)."""
+    whole = folds.filter(~F.col("control"))
+    level = whole.select("scheme", F.lit("chance").alias("features"), F.col("chance").alias("balanced_accuracy"))
+    by_scheme = lambda rows: pivot_report(rows, ["features"], "scheme", schemes, "balanced_accuracy")
+    return {
+        "baselines": by_scheme(whole.select("scheme", "features", "balanced_accuracy").unionByName(level)),
+        "fusion": by_scheme(fusion), "gains": fusion_report(fusion), "depth": depth_report(depth), "boundary": boundary,
+    }
+
+
+def calibration_report(df: DataFrame, part: str, source: str, target: str, k: int) -> DataFrame:
+    """(split, temperature, accuracy and scores before and after): the source's temperature in the source and in the target, and the target's own (oracle)."""
+    found = transfer(df, source, target, part, k).first()  # one row
+    out = None
+    for split, own, t in (("in_lab", source, found["source_t"]), ("cross_lab", target, found["source_t"]), ("cross_lab_oracle", target, found["target_t"])):
+        rows = df.filter(F.col(part) == own).withColumn("split", F.lit(split))
+        made = before_after(rows, ["split"], k, t).withColumn("temperature", F.lit(t))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def ablation_report(table: DataFrame, models: list[str]) -> DataFrame:
+    """(scheme, ablation, each model): what a transform changes; in the row none, the accuracy without any."""
+    shown = table.withColumn("_x", F.when(F.col("ablation") == "none", F.col("balanced_accuracy")).otherwise(F.col("delta")))
+    return pivot_report(shown, ["scheme", "ablation"], "model", models, "_x")
+
+
 def gate(score: Column, control: Column, chance: Column, band: Column) -> Column:
     """The model is above chance by more than the band, and its control is not."""
     return (score > chance + band) & (control <= chance + band)
