@@ -318,3 +318,35 @@ def test_whole_recordings_are_cut_into_chunks(spark):
     assert whole.count() == 333 and ledger.count() == 0
     cut, ledger = build.build_chunks(blocks, channels, 1.0, 3.0, 0.0, None, most_s=600.0)
     assert cut.count() == 200 and [tuple(r) for r in ledger.collect()] == [("g", 0, "cut at 600 s")]
+
+
+def test_reports_leave_controls_out_and_count_sessions_of_both(spark):
+    runs = spark.createDataFrame(
+        [("loso", "r", "a", False, 0.5, 0.25, 0.1, 100.0, None), ("loso", "r", "b", False, 0.7, 0.25, 0.3, 100.0, 0.9), ("loso", "r", "c", False, 0.9, 0.25, 0.2, 100.0, None), ("loso", "r", "a", True, 0.3, 0.25, 0.1, 100.0, None)],
+        "scheme string, run string, fold string, control boolean, balanced_accuracy double, chance double, ece double, lowpass_hz double, identity_auc double",
+    )
+    one = K.run_summary(runs).first()
+    assert (one["band"], one["groups"], round(one["balanced_accuracy"], 9), one["identity_auc"]) == ("<=100 Hz", 3, 0.7, 0.9)
+    check = K.leakage_check(runs, ["scheme"]).first()
+    assert (check["folds"], check["permuted"], round(check["bias"], 9)) == (1, 0.3, 0.05)
+    base = spark.createDataFrame([("loso", "f", "a", False, 0.4), ("loso", "f", "b", False, 0.8), ("loso", "g", "a", False, 0.4), ("loso", "f", "c", True, 0.1)], "scheme string, features string, fold string, control boolean, balanced_accuracy double")
+    got = K.paired_sessions(runs, base).collect()  # g has one session alone
+    assert [(r["features"], r["sessions"], r["wins"]) for r in got] == [("f", 2, 1)] and abs(got[0]["difference"]) < 1e-9
+
+
+def test_seeds_of_a_configuration_are_one_row(spark):
+    scores = spark.createDataFrame([("x__seed0__lp", "raw", 0.5, 0.4, 0.5, 0.2), ("x__seed1__lp", "raw", 0.7, 0.4, 0.5, 0.2), ("y", "raw", 0.6, 0.5, 0.4, 0.2)], "tag string, stage string, raw_accuracy double, majority double, balanced_accuracy double, chance double")
+    ece = spark.createDataFrame([("x__seed0__lp", 0.1), ("x__seed1__lp", 0.3)], "tag string, ece double")
+    identity = spark.createDataFrame([("x__seed1__lp", 0.9)], "tag string, identity_auc double")
+    controls = spark.createDataFrame([("x__lp", 0.45)], "config string, uncentred double")
+    got = {r["config"]: r for r in K.fix_table(scores, ece, identity, controls).collect()}
+    x, y = got["x__lp"], got["y"]
+    assert round(x["margin_mean"], 9) == 0.2 and x["seeds"] == 2 and round(x["ece"], 9) == 0.2 and x["identity_auc"] == 0.9 and x["uncentred"] == 0.45
+    assert y["ece"] is None and y["uncentred"] is None and round(y["margin_mean"], 9) == 0.1
+
+
+def test_where_the_signal_becomes_the_better_source(spark):
+    depth = spark.createDataFrame([("a", "f", 0.0, 0.8, 0.6, 0.8), ("a", "f", 100.0, 0.4, 0.6, 0.7), ("b", "f", 0.0, 0.5, 0.6, 0.6)], "scheme string, fold string, half_width_um double, position double, signal double, fused double")
+    got = {(r["scheme"], r["half_width_um"]): r for r in K.depth_report(depth).collect()}
+    assert round(got["a", 0.0]["crossing_um"], 6) == 50.0 and not got["a", 0.0]["signal_first"]
+    assert got["b", 0.0]["crossing_um"] is None and got["b", 0.0]["signal_first"]
