@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.llm import chat, decontam, embdedup, html, langid, packing, simhash, tokencount, toxicity, warc
+from wavetable.llm import chat, decontam, embdedup, exactdedup, html, langid, merkle, packing, simhash, tokencount, toxicity, warc, whitening
 from wavetable.llm.util import table
 
 
@@ -58,7 +58,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_packing, op5_warc, op6_token_counts, op7_language, op8_toxicity, op9_chat, op10_embedding_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_simhash, op3_html, op4_packing, op5_warc, op6_token_counts, op7_language, op8_toxicity, op9_chat, op10_embedding_dedup, op11_whitening, op12_merkle, op13_exact_dedup,
+    )
+}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -112,4 +130,41 @@ FROM conversations t LEFT JOIN (SELECT DISTINCT conv_id, turn FROM u) b ON b.con
 WHERE NOT coalesce(t.role IN ('user', 'assistant') AND t.conv_id IS NOT NULL AND t.turn IS NOT NULL, false) OR (t.role = 'assistant' AND b.turn IS NULL)
 """
 
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op9_chat": OP9_SQL, "op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}
+#: The tree level by level, what stands beside each node, and the fold of the leaf that is given.
+OP12_SQL = r"""
+WITH RECURSIVE f AS (
+    SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') head FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) given FROM f),
+z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 pos, count(*) OVER (PARTITION BY source) n FROM l),
+t(source, lvl, pos, d, n) AS (
+    SELECT source, 0, pos, leaf, n FROM z
+    UNION ALL SELECT source, lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 2) // 3) FROM t WHERE n > 1 GROUP BY source, lvl, pos // 3),
+s AS (SELECT source, d subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 pos, count(*) OVER () n FROM t WHERE n = 1),
+u(lvl, pos, d, n) AS (
+    SELECT 0, pos, subroot, n FROM s
+    UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 2) // 3) FROM u WHERE n > 1 GROUP BY lvl, pos // 3),
+b AS (SELECT a.source, a.lvl, a.pos, coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (o.pos < a.pos), '') l, coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (o.pos > a.pos), '') r
+      FROM t a LEFT JOIN t o ON o.source IS NOT DISTINCT FROM a.source AND o.lvl = a.lvl AND o.pos // 3 = a.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+v AS (SELECT a.lvl, a.pos, coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (o.pos < a.pos), '') l, coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (o.pos > a.pos), '') r
+      FROM u a LEFT JOIN u o ON o.lvl = a.lvl AND o.pos // 3 = a.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+w AS (SELECT z.source, z.pos, b.lvl, l, r FROM z JOIN b ON b.source IS NOT DISTINCT FROM z.source AND b.pos = z.pos // pow(3, b.lvl)::BIGINT
+      UNION ALL SELECT z.source, z.pos, 1000 + v.lvl, l, r FROM z JOIN s ON s.source IS NOT DISTINCT FROM z.source JOIN v ON v.pos = s.pos // pow(3, v.lvl)::BIGINT),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, pos ORDER BY lvl) i FROM w),
+g(source, pos, i, d) AS (
+    SELECT source, pos, 0, CASE WHEN crc32_even THEN given ELSE leaf END FROM (SELECT *, coalesce(EVEN_CRC, false) crc32_even FROM z)
+    UNION ALL SELECT g.source, g.pos, g.i + 1, sha256(l || d || r) FROM g JOIN k ON k.source IS NOT DISTINCT FROM g.source AND k.pos = g.pos AND k.i = g.i + 1),
+q AS (SELECT source, pos, arg_max(d, i) folded FROM g GROUP BY ALL), p AS (SELECT source, pos, string_agg(l || r, '' ORDER BY lvl) proof FROM w GROUP BY ALL)
+SELECT z.doc_id, z.leaf, s.subroot, e.d root, sha256(coalesce(p.proof, '')) proof_sha256, q.folded folded_root, q.folded = e.d verified
+FROM (SELECT d FROM u WHERE n = 1) e, z JOIN s ON s.source IS NOT DISTINCT FROM z.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM z.source AND p.pos = z.pos JOIN q ON q.source IS NOT DISTINCT FROM z.source AND q.pos = z.pos
+"""
+
+#: The CRC-32 of the decimal doc_id is even: bytes and bits of the reflected polynomial, written out.
+CRC_STEP = "lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+OP12_SQL = OP12_SQL.replace("EVEN_CRC", f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda h: ascii(h)::BIGINT)), {CRC_STEP}) & 1 = 1")
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
+SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w kept, sha256(t) text_sha256 FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+ORACLE_SQL = {"op12_merkle": OP12_SQL, "op13_exact_dedup": OP13_SQL, "op5_warc": OP5_SQL, "op9_chat": OP9_SQL, "op1_decontamination": OP1_SQL, "op10_embedding_dedup": OP10_SQL}
