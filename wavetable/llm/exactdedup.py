@@ -50,8 +50,8 @@ def winners(texts: DataFrame, salts: int = SALTS) -> DataFrame:
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each of docs; of equal texts the largest doc_id stays."""
     texts = docs.select(F.col("doc_id").alias("id"), normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    groups = materialize(winners(texts, salts).drop("text"), "groups")
-    by = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    by = winners(texts, salts).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    by = materialize(by, "groups")  # read back, the join below has nothing but exchanges under it, and a hot digest is split
     marks = texts.select("id", "digest", *([] if digest is sha256 else [sha256(F.col("text")).alias("sha")]))
     found = marks.join(by.filter("n = 1").drop("n"), "digest")
     clashing = by.filter("n > 1").select("digest")
