@@ -48,7 +48,7 @@ def butterworth(order: int, cut: float | tuple[float, float], fs: float, kind: s
     return out
 
 
-def _settled(sos: np.ndarray) -> np.ndarray:
+def settled(sos: np.ndarray) -> np.ndarray:
     """State of each section after a long constant input of 1."""
     states, gain = np.zeros((len(sos), 2)), 1.0
     for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
@@ -58,29 +58,46 @@ def _settled(sos: np.ndarray) -> np.ndarray:
     return states
 
 
-def _run(sos: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    for (b0, b1, b2, _, a1, a2), (z0, z1) in zip(sos, _settled(sos)):
-        s0, s1 = z0 * first, z1 * first
+def run_from(sos: np.ndarray, x: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output of the sections, and their states after it, in extended precision: with poles near 1 a double's rounding adds up. states: rows, sections, 2."""
+    x, states = x.astype(np.longdouble), states.astype(np.longdouble)
+    after = np.empty_like(states)
+    for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        s0, s1 = states[:, i, 0], states[:, i, 1]
         out = np.empty_like(x)
         for t in range(x.shape[1]):
             u = x[:, t]
             y = b0 * u + s0
             s0, s1 = b1 * u - a1 * y + s1, b2 * u - a2 * y
             out[:, t] = y
-        x = out
-    return x
+        after[:, i, 0], after[:, i, 1], x = s0, s1, out
+    return x, after
+
+
+def _run(sos: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return run_from(sos, x, settled(sos) * first[:, None, None])[0]
+
+
+def step_matrix(sos: np.ndarray) -> np.ndarray:
+    """What one sample of silence makes of the states, flat."""
+    m = 2 * len(sos)
+    return run_from(sos, np.zeros((m, 1)), np.eye(m).reshape(m, len(sos), 2))[1].reshape(m, m).T
+
+
+def edge_of(sos: np.ndarray) -> int:
+    """Samples by which a signal is extended at both ends."""
+    return 3 * int(2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
 
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward over an odd extension at both ends."""
-    taps = 2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
-    edge = 3 * int(taps)
+    edge = edge_of(sos)
     if x.shape[1] <= edge:
         raise ValueError(f"{x.shape[1]} samples are too few to filter; more than {edge} are needed")
     wide = np.concatenate([2 * x[:, :1] - x[:, edge:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -edge - 2 : -1]], axis=1)
     wide = _run(sos, wide, wide[:, 0])
     back = wide[:, ::-1]
-    return _run(sos, back, back[:, 0])[:, ::-1][:, edge:-edge]
+    return _run(sos, back, back[:, 0])[:, ::-1][:, edge:-edge].astype(float)
 
 
 def lowpass(x: np.ndarray, fs: float, cut: float, order: int = 4) -> np.ndarray:
@@ -163,13 +180,13 @@ def randomise_phase(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def by_length(values: pd.Series, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.Series:
     """f over the rows of each length, stacked; f also gets their places. Null rows stay null."""
-    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    out: list = [None] * len(values)
     lengths = values.map(lambda v: -1 if v is None else len(v)).to_numpy()
     for n in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == n)
         for i, row in zip(at, f(np.stack(values.iloc[at]).astype(float), at)):
-            out.iat[i] = row
-    return out
+            out[i] = row.tolist()
+    return pd.Series(out, index=values.index, dtype=object)
 
 
 def vector_function(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:

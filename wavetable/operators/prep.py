@@ -71,7 +71,8 @@ def scaled(chunks: DataFrame, drop_flat: bool = True, eps: float = 0.0, wave: st
     out = ok.withColumn("scale_mean_uv", mean_of(v)).withColumn("scale_std_uv", std_of(v, F.col("scale_mean_uv")))
     if drop_flat:
         out = out.filter("scale_std_uv > 0")
-    return out.withColumn(wave, F.transform(v, lambda x: (x - F.col("scale_mean_uv")) / (F.col("scale_std_uv") + eps)))
+    divisor = F.nullif(F.col("scale_std_uv") + eps, F.lit(0.0))  # what stands above may look at a flat chunk before the filter does
+    return out.withColumn(wave, F.transform(v, lambda x: (x - F.col("scale_mean_uv")) / divisor))
 
 
 def zscore(v: Column, eps: float = EPS) -> Column:

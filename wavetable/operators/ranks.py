@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavetable.sources.scratch import materialize
+
 
 def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """df with, for each name in totals, the sum of that expression over the rows up to and with this one.
@@ -16,7 +18,8 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], keys
     own, and the sums of the ranges, a row for each range and key, give the offsets. No key is tied to one task.
     """
     keys = keys or []
-    parts = df.withColumns({name: F.expr(e) for name, e in totals.items()}).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).persist()
+    parts = df.withColumns({name: F.expr(e) for name, e in totals.items()}).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    parts = materialize(parts, "ranges")  # a written table, so that a range is the same whoever reads it
     sums = parts.groupBy(*keys, "_part").agg(*[F.sum(n).alias(f"_{n}") for n in totals])
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals])

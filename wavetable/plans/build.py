@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.functions import dsp
 from wavetable.functions.labels import region
+from wavetable.operators import filtering
 from wavetable.operators import prep as B
 from wavetable.operators import splits as C
 from wavetable.operators.ranks import running_totals
 from wavetable.schema import UNKNOWN
 
 
-def joined_blocks(recordings: DataFrame) -> DataFrame:
-    """(grp, channel, signal) from blocks (grp, channel, block_start, samples): a channel's blocks in order, end to end."""
-    blocks = recordings.groupBy("grp", "channel").agg(F.array_sort(F.collect_list(F.struct("block_start", "samples"))).alias("_b"))
-    return blocks.select("grp", "channel", F.flatten(F.transform("_b", lambda b: b["samples"].cast("array<double>"))).alias("signal"))
-
-
 def cut_windows(recordings: DataFrame, width: int, first: int = 0, most: int | None = None) -> DataFrame:
     """(grp, channel, k, wave): complete windows of a channel's blocks end to end, most at most, without a row or task that holds a channel."""
     blocks = recordings.select("grp", "channel", "block_start", F.col("samples").cast("array<double>").alias("samples"), F.coalesce(F.size("samples"), F.lit(0)).alias("_size"))
@@ -38,8 +32,8 @@ def cut_windows(recordings: DataFrame, width: int, first: int = 0, most: int | N
 def build_chunks(
     recordings: DataFrame, channels: DataFrame, fs: float, window_s: float = 3.0, start_s: float = 200.0, n_chunks: int | None = 100, target_fs: float | None = None, most_s: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(chunks, ledger). Windows are put together from the blocks that they meet; only to filter and resample (target_fs) is
-    each channel's signal put together in one row.
+    """(chunks, ledger). Windows are put together from the blocks that they meet; to filter and resample (target_fs) blocks
+    pass on the states of the filters, so that no row or task holds a channel here either.
 
     recordings: grp, channel, block_start, samples (volts if target_fs is given, else microvolts); channels: grp, channel,
     acronym, depth_um, valid_data or quality, and whatever else the index is to carry. n_chunks None takes all windows. With
@@ -51,17 +45,15 @@ def build_chunks(
     asked = (recordings if most_s is None else recordings.filter(F.col("block_start") < most_s * fs)).join(good.select("grp", "channel"), ["grp", "channel"], "left_semi")
     rate = target_fs or fs
     width, first = round(window_s * rate), round(start_s * rate)
-    # a flat signal is told before it is filtered
+    zeros = asked.filter("size(samples) > 0").select("grp", "channel", F.forall("samples", lambda x: x == 0).alias("_z"))
+    signals = zeros.groupBy("grp", "channel").agg(F.when(F.count_if(~F.col("_z")) > 0, False).when(F.count_if(F.col("_z").isNull()) == 0, True).alias("dead"))
+    alive = signals.filter(~F.col("dead")).select("grp", "channel")  # a flat signal is told before it is filtered
+    keys, cut = ["grp", "channel"], asked.join(alive, ["grp", "channel"], "left_semi")
     if target_fs:
-        signals = joined_blocks(asked).withColumn("dead", F.forall("signal", lambda x: x == 0))
-        alive = signals.filter(~F.col("dead")).withColumn("signal", dsp.vector_function(lambda x: dsp.preprocess(x, fs, target_fs))(F.col("signal")))
-        whole = F.greatest(F.lit(0), F.floor((F.size("signal") - first) / width)).cast("int")
-        number = F.least(whole, F.lit(n_chunks)) if n_chunks is not None else whole
-        cut = alive.withColumn("k", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1)))).select("grp", "channel", "k", F.slice("signal", F.col("k") * width + first + 1, width).alias("wave"))
-    else:
-        zeros = asked.select("grp", "channel", F.forall("samples", lambda x: x == 0).alias("_z"))
-        signals = zeros.groupBy("grp", "channel").agg(F.when(F.count_if(~F.col("_z")) > 0, False).when(F.count_if(F.col("_z").isNull()) == 0, True).alias("dead"))
-        cut = cut_windows(asked, width, first, n_chunks).join(signals.filter(~F.col("dead")).select("grp", "channel"), ["grp", "channel"], "left_semi")
+        placed = filtering.placed_blocks(cut, keys)
+        placed = placed.join(filtering.long_enough(placed, keys, *filtering.chain(fs, target_fs)), keys, "left_semi")
+        cut = filtering.preprocess_blocks(placed, keys, fs, target_fs).withColumnRenamed("pos", "block_start")
+    cut = cut_windows(cut, width, first, n_chunks)
     chunks = B.scaled(cut).withColumn("t0_s", (F.col("k") * width + first) / rate).withColumn("fs", F.lit(float(rate))).join(good, ["grp", "channel"])
     why = F.when(F.col("region") == UNKNOWN, "no region").when(~F.col("good"), "bad channel").when(F.col("dead").isNull(), "no recording").when(F.col("dead"), "all zeros").otherwise("no complete live window")
     listed = labelled.join(good.select("grp", "channel", F.lit(True).alias("good")), ["grp", "channel"], "left").withColumn("good", F.coalesce("good", F.lit(False)))

@@ -10,6 +10,7 @@ from wavetable.functions import dsp
 from wavetable.functions.hashing import uniform
 from wavetable.operators import ablate as J
 from wavetable.operators import features as D
+from wavetable.operators import filtering as G
 from wavetable.operators import geometry as I
 from wavetable.operators import metrics as M
 from wavetable.operators import models as E
@@ -104,12 +105,6 @@ def spectrum_ratio(spark, sf):
     return D.spectrum_ratio(D.mean_spectrum(_psd(spark, sf), ["dataset"]), "dataset", "labA", "labB", [2.5, 20.25], FS / 64)
 
 
-def _energy(df, after, name):
-    before = F.aggregate(F.col("wave").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    return df.withColumn("after", after).select("chunk_id", before.alias("energy_before"), F.aggregate("after", F.lit(0.0), lambda a, x: a + x * x).alias(name))
-
-
-
 def _samples(df, after):
     """(chunk_id, place, value) of every sample."""
     return df.select("chunk_id", F.posexplode(after).alias("place", "value"))
@@ -146,19 +141,62 @@ def resample(spark, sf):
     return _samples(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.resample(x, 128))(F.col("wave")))
 
 
-@query()
+def sql_zero_phase(sos: np.ndarray, source: str, name: str) -> str:
+    """CTEs (recursive) that filter the lists xs of source (id, xs) forward and backward, sample by sample, as name (id, xs)."""
+    edge, z = dsp.edge_of(sos), dsp.settled(sos).tolist()
+    m = range(len(sos))
+    fold = lambda i, j: f"2 * xs[{i}] - xs[{j}]"
+    states = ", ".join(f"p{i}, q{i}" for i in m)
+    begin = ", ".join(f"{z[i][0]!r}::DOUBLE * w[1] p{i}, {z[i][1]!r}::DOUBLE * w[1] q{i}" for i in m)
+    y = "w[t]"
+    outs, nexts = [], []
+    for i, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        outs.append(f"{b0!r}::DOUBLE * {y} + p{i} y{i}")
+        nexts.append(f"{b1!r}::DOUBLE * {y} - ({a1!r}::DOUBLE) * y{i} + q{i}, {b2!r}::DOUBLE * {y} - ({a2!r}::DOUBLE) * y{i}")
+        y = f"y{i}"
+    step = f"SELECT id, w, t + 1, list_append(ys, {y}), {', '.join(nexts)} FROM (SELECT *, {', '.join(outs)} FROM {{0}} WHERE t <= len(w))"
+    way = lambda n, source: f"{n}_w AS ({source}), {n}_r(id, w, t, ys, {states}) AS (SELECT id, w, 1::BIGINT, []::DOUBLE[], {begin} FROM {n}_w UNION ALL {step.format(n + '_r')}), {n} AS (SELECT id, ys FROM {n}_r WHERE t > len(w))"
+    wide = f"SELECT id, list_concat(list_concat(list_transform(range({edge}, 0, -1), lambda i: {fold(1, 'i + 1')}), xs), list_transform(range(1, {edge + 1}), lambda i: {fold('len(xs)', 'len(xs) - i')})) w FROM {source}"
+    return f"{way(name + '_f', wide)}, {way(name + '_b', f'SELECT id, list_reverse(ys) w FROM {name}_f')}, {name} AS (SELECT id, list_reverse(ys)[{edge + 1}:-{edge + 1}] xs FROM {name}_b)"
+
+
+def sql_places(name: str, key: str) -> str:
+    return f"SELECT id AS {key}, (n - 1)::int AS place, {r('v', 'value')} FROM (SELECT id, unnest(xs) v, generate_subscripts(xs, 1) n FROM {name})"
+
+
+WAVES = f"WITH RECURSIVE {V.SQL_CHUNKS}, wv AS (SELECT chunk_id id, wave::DOUBLE[] xs FROM chunks)"
+
+
+@query(f"{WAVES}, {sql_zero_phase(dsp.butterworth(4, 12.0, FS, 'low'), 'wv', 'lp')} {sql_places('lp', 'chunk_id')}")
 def lowpass(spark, sf):
-    return _energy(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.lowpass(x, FS, 12.0))(F.col("wave")), "energy_after")
+    return _samples(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.lowpass(x, FS, 12.0))(F.col("wave")))
 
 
-@query()
+#: Low-pass at the new Nyquist rate, every second sample, high-pass; volts, as microvolts would need more digits than the rounding leaves.
+def sql_preprocess(source: str) -> str:
+    low, high = dsp.butterworth(4, 16.0, FS, "low"), dsp.butterworth(2, 0.1, 32.0, "high")
+    return f"{sql_zero_phase(low, source, 'lp')}, dc AS (SELECT id, list_filter(xs, lambda x, i: i % 2 = 1) xs FROM lp), {sql_zero_phase(high, 'dc', 'hp')}"
+
+
+@query(f"{WAVES}, {sql_preprocess('wv')} {sql_places('hp', 'chunk_id')}")
 def preprocess(spark, sf):
-    return _energy(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.preprocess(x, FS, 32.0))(F.col("wave")), "energy_after")
+    return _samples(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.preprocess(x, FS, 32.0) / 1e6)(F.col("wave")))
 
 
-@query()
+@query(f"{WAVES}, {sql_zero_phase(dsp.butterworth(2, J.BANDS['alpha'], FS, 'stop'), 'wv', 'bs')} {sql_places('bs', 'chunk_id')}")
 def bandstop(spark, sf):
-    return _energy(_chunks(spark, sf), J.band_stop(F.col("wave"), FS, "alpha", 2), "energy_after")
+    return _samples(_chunks(spark, sf), J.band_stop(F.col("wave"), FS, "alpha", 2))
+
+
+#: Every user's whole signal in blocks of 16 samples, those of users that both filters can take.
+@query(f"WITH RECURSIVE {V.SQL_SAMPLES}, sg AS (SELECT channel id, list(value ORDER BY sample_ix) xs FROM samples GROUP BY 1 HAVING count(*) > 18), {sql_preprocess('sg')} {sql_places('hp', 'channel')}")
+def filter_chain(spark, sf):
+    s = V.samples(spark, sf)
+    blocks = s.groupBy("channel", (F.floor(F.col("sample_ix") / 16) * 16).alias("block_start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_ix", "value"))), lambda x: x["value"]).alias("samples"))
+    placed = G.placed_blocks(blocks, ["channel"])
+    placed = placed.join(G.long_enough(placed, ["channel"], *G.chain(FS, 32.0)), "channel", "left_semi")
+    out = G.preprocess_blocks(placed, ["channel"], FS, 32.0)
+    return out.select("channel", "pos", F.posexplode("samples").alias("i", "v")).select("channel", (F.col("pos") + F.col("i")).cast("int").alias("place"), (F.col("v") / 1e6).alias("value"))
 
 
 #: Every bin keeps its magnitude, and the wave is another one.
@@ -172,9 +210,11 @@ def phase_randomise(spark, sf):
     return c.select("chunk_id", F.posexplode(bins).alias("bin", "magnitude"), (apart > 0.1 * level).alias("changed"))
 
 
-@query()
+#: Twice the samples, as z-scores in single precision.
+@query(f"""{WHOLE}, y AS ({sql_samples('ft', 128, '1')}), m AS (SELECT chunk_id, avg(v) mean FROM y GROUP BY 1), d AS (SELECT chunk_id, sqrt(avg(pow(v - mean, 2))) sd FROM y JOIN m USING (chunk_id) GROUP BY 1)
+SELECT chunk_id, place, {r('((v - mean) / (sd + 1e-10))::FLOAT', 'value')} FROM y JOIN m USING (chunk_id) JOIN d USING (chunk_id)""")
 def prepare_waveform(spark, sf):
-    return _energy(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.model_input(x, FS, 128.0))(F.col("wave")), "energy_after")
+    return _samples(_chunks(spark, sf), dsp.vector_function(lambda x: dsp.model_input(x, FS, 128.0))(F.col("wave")))
 
 
 @query(f"{CH} SELECT chunk_id, {r('list_sum(list_transform(wave::DOUBLE[], lambda x: x * 0.5))', 'total')} FROM chunks")

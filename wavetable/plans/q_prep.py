@@ -41,11 +41,11 @@ def geometry_check(spark, sf):
     return B.geometry_violations(V.channels(spark, sf), ["grp"])
 
 
-WINDOWS = f"{S}, w AS (SELECT channel, sample_ix // {WIDTH} k, list(value ORDER BY sample_ix) v FROM samples WHERE sample_ix < {5 * WIDTH} GROUP BY 1, 2 HAVING count(*) = {WIDTH}), z AS (SELECT *, list_avg(v) mean, sqrt(list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 2)))) sd FROM w)"
+WINDOWS = f"{S}, w AS (SELECT channel, sample_ix // {WIDTH} k, list(value ORDER BY sample_ix) v FROM samples GROUP BY 1, 2 HAVING count(*) = {WIDTH}), z AS (SELECT *, list_avg(v) mean, sqrt(list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 2)))) sd FROM w)"
 
 
 def _windows(spark, sf):
-    return B.windows(V.samples(spark, sf), ["channel"], WIDTH, most=5)
+    return B.windows(V.samples(spark, sf), ["channel"], WIDTH)
 
 
 @query(f"{WINDOWS} SELECT channel, k, k * {WIDTH} AS start, {r('v[1]', 'first')}, {r('v[8]', 'last')} FROM w")
@@ -172,7 +172,7 @@ def source_listing(spark, sf):
 
 
 BUILT = f"""{S}, ac AS (SELECT *, ([{', '.join(repr(a) for a in ACRONYMS)}])[(channel % 60 + 1)::bigint] a FROM (SELECT DISTINCT channel FROM samples)), ch AS (SELECT channel, {SQL_REGION} AS region FROM ac),
-w AS (SELECT channel, sample_ix // {WIDTH} k, list(value ORDER BY sample_ix) v FROM samples WHERE sample_ix < {5 * WIDTH} GROUP BY 1, 2 HAVING count(*) = {WIDTH}),
+w AS (SELECT channel, sample_ix // {WIDTH} k, list(value ORDER BY sample_ix) v FROM samples GROUP BY 1, 2 HAVING count(*) = {WIDTH}),
 ok AS (SELECT channel, count(*) n FROM w WHERE list_max(v) > list_min(v) GROUP BY 1)"""
 
 
@@ -182,12 +182,15 @@ def _recordings(spark, sf):
     blocks = s.groupBy("grp", "channel", (F.floor(F.col("sample_ix") / 7) * 7).alias("block_start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_ix", "value"))), lambda x: x["value"]).alias("samples"))
     acronym = F.get(F.array(*[F.lit(a) for a in ACRONYMS]), (F.col("channel") % 60).cast("int"))
     channels = s.select("grp", "channel").distinct().withColumn("acronym", acronym).withColumn("valid_data", F.col("channel") % 5 != 0)
-    return build.build_chunks(blocks, channels, 1.0, WIDTH, 0.0, 5)
+    return build.build_chunks(blocks, channels, 1.0, WIDTH, 0.0, None)
 
 
-@query(f"{BUILT} SELECT concat('g', channel % 4) grp, region, count(*) n_channels, sum(n)::bigint n_chunks FROM ch JOIN ok USING (channel) WHERE region <> 'UNK' AND channel % 5 <> 0 GROUP BY 1, 2")
+@query(f"""{BUILT}, z AS (SELECT channel, k, v, list_avg(v) m, sqrt(list_avg(list_transform(v, lambda x: pow(x - list_avg(v), 2)))) sd FROM w WHERE list_max(v) > list_min(v))
+SELECT concat('g', channel % 4) grp, channel, k::int AS k, region, (i - 1)::int AS place, {r('(x - m) / sd', 'value')}, {r('m', 'scale_mean_uv')}, {r('sd', 'scale_std_uv')}
+FROM (SELECT channel, k, m, sd, unnest(v) x, generate_subscripts(v, 1) i FROM z) JOIN ch USING (channel) WHERE region <> 'UNK' AND channel % 5 <> 0""")
 def store_build(spark, sf):
-    return _recordings(spark, sf)[0].groupBy("grp", "region").agg(F.count_distinct("channel").alias("n_channels"), F.count("*").alias("n_chunks"))
+    """Every sample of every chunk of the store."""
+    return _recordings(spark, sf)[0].select("grp", "channel", "k", "region", F.posexplode("wave").alias("place", "value"), "scale_mean_uv", "scale_std_uv")
 
 
 @query(f"{BUILT} SELECT concat('g', channel % 4) grp, channel, CASE WHEN region = 'UNK' THEN 'no region' WHEN channel % 5 = 0 THEN 'bad channel' ELSE 'no complete live window' END AS reason FROM ch LEFT JOIN ok USING (channel) WHERE region = 'UNK' OR channel % 5 = 0 OR n IS NULL")
@@ -209,12 +212,12 @@ def _stored(spark, sf):
     )
 
 
-@query(f"{C}, sc AS (SELECT *, list_avg(wave::DOUBLE[]) m FROM chunks), sd AS (SELECT *, sqrt(list_avg(list_transform(wave::DOUBLE[], lambda x: pow(x - m, 2)))) s FROM sc) SELECT chunk_id, grp, dataset, concat('r', region_ix) AS region, {r('m', 'scale_mean_uv')}, {r('s', 'scale_std_uv')}, 64 AS samples FROM sd WHERE s > 0")
+@query(f"{C}, sc AS (SELECT *, list_avg(wave::DOUBLE[]) m FROM chunks), sd AS (SELECT *, sqrt(list_avg(list_transform(wave::DOUBLE[], lambda x: pow(x - m, 2)))) s FROM sc) SELECT chunk_id, grp, dataset, concat('r', region_ix) AS region, {r('m', 'scale_mean_uv')}, {r('s', 'scale_std_uv')}, (i - 1)::int AS place, round(((x - m) / s)::FLOAT::DOUBLE, 4) + 0e0 AS value FROM (SELECT *, unnest(wave::DOUBLE[]) x, generate_subscripts(wave, 1) i FROM sd WHERE s > 0)")
 def store_round_trip(spark, sf):
     """A store written, normalised, and opened again."""
     path = scratch_path(spark, "store")
     store.write_store(_stored(spark, sf), path, 64)
-    return store.open_store(spark, path).select("chunk_id", "grp", "dataset", "region", "scale_mean_uv", "scale_std_uv", F.size("wave").alias("samples"))
+    return store.open_store(spark, path).select("chunk_id", "grp", "dataset", "region", "scale_mean_uv", "scale_std_uv", F.posexplode("wave").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query(f"{C} SELECT chunk_id, label, 'run7' AS run, kind, {', '.join(r(f'l{i}', f'l{i}') for i in range(5))} FROM chunks, (VALUES ('logit'), ('p')) t(kind)")
