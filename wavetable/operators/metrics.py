@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavetable.functions import arrays as A
 from wavetable.operators.ranks import quantiles, running_totals
+from wavetable.sources.scratch import materialize
 
 BINS = 15
 
@@ -61,9 +62,11 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = BINS) -> DataF
 def adaptive_calibration_error(df: DataFrame, keys: list[str], bins: int = BINS, spread: bool = True) -> DataFrame:
     """The same over bins of equal mass: edges are the distinct linear quantiles; with one edge all rows are one bin.
 
-    The quantiles of a key are taken from running counts over ranges, so that no task holds a key's values; without spread,
-    where every key is known to be small, from its distinct values in one task, which costs less. The result is the same.
+    The quantiles of a key are taken from histograms in rounds (ranks.quantiles), so that no task holds a key's values;
+    without spread, where every key is known to be small, from its distinct values in one task. The result is the same.
+    conf and hit are written once, as rounds read them again.
     """
+    df = materialize(df.select(*keys, "conf", "hit"), "confidences")
     shares = [i / bins for i in range(bins + 1)]
     if spread:
         edges = quantiles(df, keys, "conf", shares)
@@ -71,7 +74,7 @@ def adaptive_calibration_error(df: DataFrame, keys: list[str], bins: int = BINS,
         edges = df.groupBy(*keys).agg(F.percentile("conf", F.array(*[F.lit(s) for s in shares])).alias("quantiles"))
     edges = edges.withColumn("edges", F.array_distinct("quantiles"))
     joined = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))  # without keys one row
-    below = F.size(F.filter("edges", lambda e: e < F.col("conf")))
+    below = A.total([F.coalesce((F.get("edges", F.lit(i)) < F.col("conf")).cast("int"), F.lit(0)) for i in range(bins + 1)])
     return _gap(_binned(joined, keys, F.when(F.size("edges") < 2, 1).otherwise(F.greatest(F.lit(1), below))), keys)
 
 
@@ -89,8 +92,16 @@ def reliability(df: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys, "label", "pred").agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """(keys, label, pred, n); with k every one of the k * k cells of each key, 0 where there is no row, else those that have rows."""
+    found = df.groupBy(*keys, "label", "pred").agg(F.count("*").alias("n"))
+    if k is None:
+        return found
+    kinds = dict(found.dtypes)
+    classes = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast(kinds[c]).alias(c) for c in ("label", "pred")]
+    of_keys = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
+    cells = of_keys.select(*keys, classes[0]).select("*", classes[1])
+    return cells.join(found, [*keys, "label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def recalls(counts: DataFrame, keys: list[str]) -> DataFrame:

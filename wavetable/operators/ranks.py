@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,20 +31,81 @@ def ranked(df: DataFrame, order: list[str], keys: list[str] | None = None, name:
     return running_totals(df, order, {name: "1L"}, keys)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(keys, quantiles): linear quantiles, exact, from one row for each distinct value and running counts over them."""
-    by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    run = running_totals(by, ["_v"], {"_upto": "_n"}, keys)
-    total = by.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    h = [F.lit(s) * (F.col("_all") - 1) for s in shares]
-    places = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("h"), at.alias("at")) for i, x in enumerate(h) for at in (F.floor(x), F.ceil(x))])
-    wanted = total.select(*keys, "_all", places.alias("_places"))
-    joined = run.join(wanted, keys) if keys else run.crossJoin(F.broadcast(wanted))  # without keys one row
-    # the value at a place (from 0) is the one whose running count first passes it
-    inside = [(at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_n")) for x in h for at in (F.floor(x), F.ceil(x))]
-    joined = joined.filter(reduce(lambda p, q: p | q, inside))  # plain comparisons leave a few rows of each key
-    own = F.filter("_places", lambda p: (p["at"] < F.col("_upto")) & (p["at"] >= F.col("_upto") - F.col("_n")))
-    found = joined.select(*keys, "_v", F.inline(own))
-    low, high = F.min("_v"), F.max("_v")
-    each = found.groupBy(*keys, "i", "h").agg((low + (high - low) * (F.col("h") - F.floor("h"))).alias("q"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("quantiles"))
+#: Cells into which a range of values is cut in each round, and values that a cell may have before they are looked at one by one.
+CELLS, FEW = 1024, 4096
+
+
+def _scale(value: Column) -> Column:
+    """A rising function of value that spreads orders of magnitude evenly."""
+    return F.signum(value) * (F.log2(F.greatest(F.abs(value), F.lit(5e-324))) + 1075)
+
+
+def _cell_of(value: Column, low: Column, high: Column, level: int) -> Column:
+    """The number of value's cell between low and high, the extremes of the finite values about it; rising with value. Infinities and NaN have cells of their own.
+
+    Cells are even in value, or on every second level in its order of magnitude, so that a dozen levels tell any doubles apart.
+    """
+    v, a, b = (_scale(x) for x in (value, low, high)) if level % 2 else (value / 2, low / 2, high / 2)
+    place = F.floor((v - a) / F.nullif(b - a, F.lit(0.0)) * CELLS)
+    inside = F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.coalesce(place, F.lit(0)))).cast("int")
+    infinite = float("inf")
+    return F.when(F.isnan(value), CELLS + 1).when(value == infinite, CELLS).when(value == -infinite, -1).otherwise(inside)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], few: int = FEW) -> DataFrame:
+    """(keys, quantiles): linear quantiles, exact, by histograms: nothing is sorted and no task holds a key's values.
+
+    Each round counts the values of the cells in question in CELLS finer ones, combined in tasks before the shuffle, and
+    keeps those cells in which a wanted rank lies, each with its own least and largest value, two at most for each share.
+    Cells of one value are done; when the others have few values each, these are counted one by one. Null values don't
+    count; NaN is the largest value. df is read once more for each round (two, where values are not piled up).
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
+    spans = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.min(finite).alias("_flow"), F.max(finite).alias("_fhigh")]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("_n") - 1)).alias("h")) for i, s in enumerate(shares)])
+    total = rows.groupBy(*keys).agg(*spans)
+    wanted = total.select(*keys, places.alias("_places"))
+    ranks = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.array(F.floor(p["h"]), F.ceil(p["h"])))))
+    cells = materialize(total.select(*keys, F.lit(0).cast("long").alias("_before"), "_n", "_low", "_high", "_flow", "_fhigh").filter("_n > 0"), "cells")
+    met = lambda table: table.join(wanted, keys) if keys else table.crossJoin(F.broadcast(wanted))  # noqa: E731  without keys one row
+
+    several = ~F.col("_low").eqNullSafe(F.col("_high"))
+    levels: list[DataFrame] = []  # the cells with several values, of each round; their numbers in all rounds before tell them
+
+    def inside() -> tuple[DataFrame, list[str]]:
+        """The rows of the last round's cells with several values, and what tells these cells."""
+        own, names = rows, list(keys)
+        for i, level in enumerate(levels):
+            begin = level.select(*names, "_before", "_flow", "_fhigh")
+            own = own.drop("_before", "_flow", "_fhigh")
+            own = own.join(begin, names) if names else own.crossJoin(F.broadcast(begin))  # without keys one row
+            if i + 1 < len(levels):
+                own, names = own.withColumn(f"_c{i}", _cell_of(F.col("_v"), F.col("_flow"), F.col("_fhigh"), i)), [*names, f"_c{i}"]
+        return own, names
+
+    def counted(by: Column | None) -> DataFrame:
+        """Counts in each cell by a finer number, or by the values themselves, with the values before each; those with a wanted rank."""
+        own, names = inside()
+        name = "_value" if by is None else f"_c{len(levels) - 1}"
+        found = own.groupBy(*names, "_before", (F.col("_v") if by is None else by).alias(name)).agg(*spans)
+        upto = F.sum("_n").over(W.partitionBy(*names, "_before").orderBy(name))  # CELLS + 3 rows, or few
+        found = found.withColumn("_before", F.col("_before") + upto - F.col("_n"))
+        held = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+        return met(found).filter(held).drop("_places")
+
+    plain = [*keys, "_before", "_n", "_low", "_high", "_flow", "_fhigh"]
+    values = cells.filter(~several).select(plain)
+    while True:
+        levels.append(cells.filter(several))
+        if (levels[-1].agg(F.max("_n")).first()[0] or 0) <= few:
+            break
+        cells = materialize(counted(_cell_of(F.col("_v"), F.col("_flow"), F.col("_fhigh"), len(levels) - 1)), "cells")
+        values = values.unionByName(cells.filter(~several).select(plain))
+    values = values.unionByName(counted(None).select(plain))
+    placed = met(values).select(*keys, "_low", "_before", "_n", F.explode("_places").alias("_p"))
+    hit = lambda rank: F.max(F.when((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n")), F.col("_low")))
+    h = F.col("_p.h")
+    each = placed.groupBy(*keys, F.col("_p.i").alias("i"), h.alias("h")).agg(hit(F.floor(h)).alias("_a"), hit(F.ceil(h)).alias("_b"))
+    q = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("h") - F.floor("h")))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda x: x["q"]).alias("quantiles"))
