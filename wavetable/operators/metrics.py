@@ -98,7 +98,7 @@ def confusion(df: DataFrame, keys: list[str], k: int | None = None) -> DataFrame
     if k is None:
         return found
     kinds = dict(found.dtypes)
-    classes = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast(kinds[c]).alias(c) for c in ("label", "pred")]
+    classes = [F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast(f"array<{kinds[c]}>")).alias(c) for c in ("label", "pred")]
     of_keys = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
     cells = of_keys.select(*keys, classes[0]).select("*", classes[1])
     return cells.join(found, [*keys, "label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -64,7 +64,7 @@ def reliability(spark, sf):
     return M.reliability(_big(spark, sf), [])
 
 
-@query(f"{BIG} SELECT gid, label::int AS label, pred::int AS pred, coalesce(n, 0) n FROM (SELECT DISTINCT gid FROM pr), range(0, {K}) a(label), range(0, {K}) b(pred) LEFT JOIN (SELECT gid, label, pred, count(*) n FROM pr GROUP BY 1, 2, 3) USING (gid, label, pred)")
+@query(f"{BIG} SELECT gid, label::int AS label, pred::int AS pred, coalesce(n, 0) n FROM (SELECT gid, label, pred FROM (SELECT DISTINCT gid FROM pr), range(0, {K}) a(label), range(0, {K}) b(pred)) LEFT JOIN (SELECT gid, label, pred, count(*) n FROM pr GROUP BY 1, 2, 3) USING (gid, label, pred)")
 def confusion(spark, sf):
     return M.confusion(_big(spark, sf), ["gid"], K)
 

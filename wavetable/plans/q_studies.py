@@ -50,8 +50,9 @@ def logreg_single(spark, sf):
 @query()
 def mlp_fold(spark, sf):
     rows = _rows(spark, sf)
-    out = E.fit_predict(E.perceptron(WIDE, K), rows.filter("dataset = 'labA'"), rows.filter("dataset = 'labB'"), K)
-    return M.full_report(S.judged(out), ["grp"], K).drop("per_class_recall")
+    part = F.when(F.col("dataset") == "labA", "train").otherwise("test")
+    folds = rows.select(F.lit("cross_lab").alias("scheme"), F.lit("labA_to_labB").alias("fold"), part.alias("part"), "grp").distinct()
+    return M.full_report(S.judged(S.perceptron_folds(rows, folds, WIDE, K)), ["grp"], K).drop("per_class_recall")
 
 
 @query()

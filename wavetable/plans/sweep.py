@@ -11,6 +11,7 @@ from wavetable.operators import metrics as M
 from wavetable.operators import models as E
 from wavetable.operators import splits as C
 from wavetable.operators.shift import centred_by_group
+from wavetable.sources.scratch import materialize
 
 
 #: Draws of the permuted null for vectors of two features at most, and for wider ones; rows that draws after the first train on.
@@ -65,30 +66,35 @@ def fitted_folds(
         more = dealt.groupBy("chunk_id").agg(F.collect_list(F.struct((F.col("set") * per + F.col("draw")).alias("config"), F.col("label").cast("int").alias("label"))).alias("more"))
         joined = joined.join(more, "chunk_id", "left")
         tasks = F.concat(tasks, F.coalesce("more", F.slice(tasks, 1, 0)))
-    trained = joined.select("v", tasks.alias("tasks")).select("v", F.col("tasks.config").alias("configs"), F.col("tasks.label").alias("labels")).persist()
-    models = E.grouped_logistic(trained, [s * per + i for s in sets for i in range(per)], d, k)
-    trained.unpersist()
+    trained = materialize(joined.select("v", tasks.alias("tasks")).select("v", F.col("tasks.config").alias("configs"), F.col("tasks.label").alias("labels")), "training")
     asked = asked_rows(rows, folds, number).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    return E.predict_grouped(asked.withColumn("config", F.col("set") * per + F.col("draw")), models, k).drop("config", "set")
+    asked = asked.withColumn("config", F.col("set") * per + F.col("draw"))
+    return predicted(trained, asked, [s * per + i for s in sets for i in range(per)], k * (d + 1), d, k, lambda own, wave: E.grouped_logistic(own, wave, d, k))
+
+
+def predicted(trained: DataFrame, asked: DataFrame, configs: list[int], weights: int, d: int, k: int, fit) -> DataFrame:
+    """asked (with config and set) with p, and whether its model's fit came to an end; models beyond E.MODEL_BYTES are joined, not sent."""
+    if len(configs) <= E.wave_size(weights, d):
+        models = fit(trained, configs)
+        lost = F.col("config").isin(models.unconverged) if models.unconverged else F.lit(False)
+        return E.predict_grouped(asked, models, k).withColumn("converged", ~lost).drop("config", "set")
+    return E.predict_joined(asked, E.fitted_table(trained, configs, weights, d, fit), d, k).drop("config", "set")
 
 
 def constant_folds(rows: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     """Test rows of every fold with p: the class frequencies of its training rows; as in fitted_folds."""
     number, table = training_sets(rows, folds)
     p = E.constant(rows.join(table, "grp").withColumn("set", F.explode("sets")), ["set"], k)
-    return asked_rows(rows, folds, number).join(p, "set").drop("set").withColumn("draw", F.lit(0))
+    return asked_rows(rows, folds, number).join(p, "set").drop("set").withColumns({"draw": F.lit(0), "converged": F.lit(True)})
 
 
-def perceptron_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, seed: int = 0) -> DataFrame:
-    """Test rows of every fold with p by a perceptron; one Spark ML fit for each distinct training set."""
+def perceptron_folds(rows: DataFrame, folds: DataFrame, d: int, k: int, seed: int = 0, hidden: int = E.HIDDEN) -> DataFrame:
+    """Test rows of every fold with p by a perceptron; those of all training sets are fitted in the same passes."""
     number, table = training_sets(rows, folds)
-    joined, asked = rows.join(table, "grp").persist(), asked_rows(rows, folds, number)
-    out = None
-    for n in sorted(set(number.values())):
-        part = E.fit_predict(lambda classes: E.perceptron(d, classes, seed), joined.filter(F.array_contains("sets", n)), asked.filter(F.col("set") == n), k)
-        out = part if out is None else out.unionByName(part)
-    joined.unpersist()
-    return out.drop("set").withColumn("draw", F.lit(0))
+    sets = sorted(set(number.values()))
+    trained = materialize(rows.join(table, "grp").select("v", F.col("sets").alias("configs"), F.transform("sets", lambda _: F.col("label").cast("int")).alias("labels")), "training")
+    asked = asked_rows(rows, folds, number).withColumns({"config": F.col("set"), "draw": F.lit(0)})
+    return predicted(trained, asked, sets, hidden * (d + 1) + k * (hidden + 1), d, k, lambda own, wave: E.grouped_perceptron(own, wave, d, k, seed, hidden))
 
 
 def judged(predicted: DataFrame) -> DataFrame:
@@ -113,9 +119,11 @@ def sweep(
             for model in models:
                 n = (NULL_DRAWS if d <= 2 else WIDE_DRAWS) if draws is None else draws
                 fitted = {"logistic": lambda: fitted_folds(own, folds, d, k, n, seed), "constant": lambda: constant_folds(own, folds, k), "perceptron": lambda: perceptron_folds(own, folds, d, k, seed)}[model]
-                by = M.full_report(judged(fitted()), ["scheme", "fold", "draw"], k).drop("per_class_recall")
-                numbers = [c for c in by.columns if c not in ("scheme", "fold", "draw")]
-                part = by.groupBy("scheme", "fold", (F.col("draw") > 0).alias("control")).agg(*[F.avg(c).alias(c) for c in numbers], F.max("balanced_accuracy").alias("max_balanced_accuracy"), F.count("*").alias("draws"))
+                keys, found = ["scheme", "fold", "draw"], judged(fitted())
+                by = M.full_report(found, keys, k).drop("per_class_recall")
+                numbers = [c for c in by.columns if c not in keys]
+                by = by.join(found.groupBy(*keys).agg(F.bool_and("converged").alias("converged")), keys)
+                part = by.groupBy("scheme", "fold", (F.col("draw") > 0).alias("control")).agg(*[F.avg(c).alias(c) for c in numbers], F.max("balanced_accuracy").alias("max_balanced_accuracy"), F.count("*").alias("draws"), F.bool_and("converged").alias("converged"))
                 part = part.join(n_train, ["scheme", "fold"]).withColumns({"features": F.lit(name), "model": F.lit(model), "view": F.lit(view)})
                 out = part if out is None else out.unionByName(part)
     return out
@@ -179,7 +187,7 @@ def depth_uncertainty(rows: DataFrame, folds: DataFrame, k: int, widths: list[fl
     if signal:
         training = folds.filter("part = 'train'").select("scheme", "fold", "grp").join(rows.select("grp", "label"), "grp")
         heard = fitted_folds(signal[0], folds, signal[1], k).select("scheme", "fold", F.col("chunk_id").alias("_chunk"), "label", F.col("p").alias("_p"))
-        heard = heard.join(E.constant(training, ["scheme", "fold"], k).withColumnRenamed("p", "prior"), ["scheme", "fold"]).persist()
+        heard = materialize(heard.join(E.constant(training, ["scheme", "fold"], k).withColumnRenamed("p", "prior"), ["scheme", "fold"]), "heard")
     for w in widths:
         many = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("_chunk", F.col("chunk_id"))
         moved = shifted(many, w, F.concat(F.lit("c"), F.col("_c").cast("string")))
