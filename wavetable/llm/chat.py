@@ -10,7 +10,7 @@ schema for each tool, and call and result are serialised as canonical JSON: keys
 Defined cases: of calls with the same identifier the first counts (by pos, ties by name and arguments); of results
 likewise (by pos, ties by content); a call without a result is not linked, a result without a call gives no row; named
 calls that are missing count as none; calls on a cycle, and those that wait for one, get step -1; arguments that are
-null or no JSON are not valid; calls without an identifier give no row; very long texts are serialised whole; columns
+null or no JSON are not valid, nor are NaN, infinities and arguments nested too deep to be read, and are null in the text; calls without an identifier give no row; very long texts are serialised whole; columns
 that are not named here are not looked at; an empty table gives an empty result.
 
 Of plain conversations every turn is in the result: see format_conversations.
@@ -36,7 +36,8 @@ TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 def schema_error(value, schema: dict, at: str = "$") -> str | None:
     """The first violation of a schema (type, enum, properties, required, additionalProperties, items, minimum, maximum, minLength)."""
     kinds = schema.get("type")
-    if kinds and not any(isinstance(value, TYPES[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+    whole = isinstance(value, float) and value.is_integer()  # 1.0 is an integer to a schema
+    if kinds and not any((isinstance(value, TYPES[k]) or k == "integer" and whole) and not (k in ("integer", "number") and isinstance(value, bool)) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not {kinds}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at}: not one of the listed"
@@ -64,7 +65,12 @@ def schema_error(value, schema: dict, at: str = "$") -> str | None:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """JSON with sorted keys, without spaces; a number too large for a double has no form in JSON and raises."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
 def steps(calls: DataFrame) -> DataFrame:
@@ -111,13 +117,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         for batch in batches:
             errors, texts = [], []
             for step, call, name, given, content in zip(*(batch.column(c).to_pylist() for c in ("step", "call_id", "name", "arguments", "content"))):
+                shown_call = {"id": call, "name": name, "result": content, "step": step}
                 try:
-                    arguments = json.loads(given)
+                    arguments = json.loads(given, parse_constant=_no_number)
                     error = schema_error(arguments, schemas[name]) if name in schemas else "no such tool"
-                except (TypeError, ValueError):
-                    arguments, error = None, "arguments are no JSON"
+                    text = canonical({"arguments": arguments, **shown_call})
+                except (TypeError, ValueError, RecursionError) as e:
+                    error = "arguments are too deep" if isinstance(e, RecursionError) else "arguments are no JSON"
+                    text = canonical({"arguments": None, **shown_call})
                 errors.append(error)
-                texts.append(canonical({"arguments": arguments, "id": call, "name": name, "result": content, "step": step}))
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([e is None for e in errors]), pa.array(errors, pa.string()), pa.array(texts, pa.string())], [f.split(" ")[0] for f in shown.split(", ")])
 
     typed = rows.select(F.col("conv_id").cast("bigint"), "step", F.col("pos").cast("bigint"), "call_id", "name", "linked", "arguments", "content")

@@ -6,12 +6,17 @@ after it, of its own host. Pages in a row with the same lines at the same places
 same words is left out, as the same article under two addresses says nothing of what a site repeats. The lines of both pages are aligned by a longest
 common subsequence; a line that half of the neighbours or more share is what the site repeats, and is deleted.
 
-Menus, adverts and footers vary in their words from page to page, so words alone don't align them. The markup gives
-each line its place: GONE (inside an element, role or class name for menus, headers, footers, asides, notices, adverts,
-forms, comments), MAIN (inside an article or main element) or OPEN. A line of a GONE place is aligned by that place, any
-other line by its text. Where differencing and place are at odds, the place breaks the tie: shared lines of an article
-stay, as articles repeat passages, and a GONE line that no neighbour has goes; on a page with an article so does what is
-outside it. n_shared, n_by_place and n_tied say how many lines each rule decided.
+Menus, adverts and footers vary in their words from page to page, so words alone don't align them. The markup gives each
+line its place: GONE (inside an element, role or class name for menus, headers, footers, asides, notices, adverts,
+forms, comments), MAIN (inside an article or main element) or OPEN. A GONE line is aligned by its place, any other by its
+text. Where a page has neighbours, their vote decides:
+
+- OPEN lines go if they are shared and stay if not, also beside an article;
+- a MAIN line stays, shared or not, as articles repeat passages of their own;
+- a GONE line that is not shared goes by its place.
+
+On a page without neighbours places decide alone: GONE lines go, and OPEN ones where there is an article. n_shared,
+n_by_place and n_tied say how many lines each rule decided.
 
 The ranges do not show in the result. A first pass orders addresses and digests alone and tells of each range where it
 begins and which pages stand at its edges; from that the driver, which gets 2 (SIDE + 1) rows of a range at most, finds
@@ -222,8 +227,8 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 KEPT, SHARED, BY_PLACE, TIED = range(4)
 
 
-def decide(lines: list[tuple[int, str, str]], shared: set[int]) -> list[int]:
-    """For each line the rule that decides it: SHARED and BY_PLACE delete it, KEPT and TIED keep it. shared: lines that neighbours repeat."""
+def decide(lines: list[tuple[int, str, str]], shared: set[int], voted: bool = False) -> list[int]:
+    """For each line the rule that decides it: SHARED and BY_PLACE delete it, KEPT and TIED keep it. shared: lines that neighbours repeat; voted: there are neighbours."""
     article = any(state == MAIN for state, *_ in lines)
     rules = []
     for i, (state, *_) in enumerate(lines):
@@ -232,7 +237,7 @@ def decide(lines: list[tuple[int, str, str]], shared: set[int]) -> list[int]:
         elif i in shared:
             rules.append(SHARED)
         else:
-            rules.append(BY_PLACE if article or state == GONE else KEPT)
+            rules.append(BY_PLACE if state == GONE or article and not voted else KEPT)
     return rules
 
 
@@ -241,8 +246,12 @@ def repeated(found: list[set[int]]) -> set[int]:
     return {i for i, n in Counter(i for one in found for i in one).items() if 2 * n >= len(found)}
 
 
+def kept_text(lines: list[tuple[int, str, str]], rules: list[int]) -> str:
+    return " ".join(text for (_, text, _), rule in zip(lines, rules) if rule in (KEPT, TIED))
+
+
 def main_text(lines: list[tuple[int, str, str]], shared: set[int]) -> str:
-    return " ".join(text for (_, text, _), rule in zip(lines, decide(lines, shared)) if rule in (KEPT, TIED))
+    return kept_text(lines, decide(lines, shared))
 
 
 ORDER = ("host", "path", "query", "page_id", "digest")
@@ -326,7 +335,8 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
         def answer(run: list) -> Iterator[tuple]:
             _, _, lines, _, pages, shared = run
-            rules, text = decide(lines, repeated(shared)), main_text(lines, repeated(shared))
+            rules = decide(lines, repeated(shared), bool(shared))
+            text = kept_text(lines, rules)
             counted = [len(lines), *(rules.count(x) for x in (SHARED, BY_PLACE, TIED)), len(shared)]
             yield from ((key_, url, text, *counted) for own, key_, url in pages if own)
 

@@ -9,8 +9,8 @@ rows are scored in Spark tasks; only the weights, whose size is fixed, pass thro
 The models are fitted on SAMPLE labelled rows at most, taken in the order of a hash of their id. All rows are scored.
 
 Defined cases: a null or empty text has no words and gets the probability of a text without features; very long texts
-are read whole; without labelled rows every probability is 0; labels of ids without a row are not used; of repeated
-labels one row each is; words are counted once, so that ties of counts do not matter; repeated rows get the same
+are read whole; without labelled rows every probability is 0; labels of ids without a row, and labels that lack a category,
+are not used; of repeated labels that clash 1 counts, and of rows that share an id the smallest text is fitted on; words are counted once, so that ties of counts do not matter; repeated rows get the same
 result; columns in keep are carried whatever their names, and the prefix keeps the results apart from them; an empty
 table gives an empty result.
 """
@@ -192,8 +192,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], key:
     """One weight vector for each category. labels: key and a 0/1 column for each category."""
     small_batches(docs.sparkSession)
     chosen = labels.filter(" and ".join(f"{c} is not null" for c in [key, *categories])).select(F.col(key).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(f"y_{c}") for c in categories])
-    chosen = chosen.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    marks = [f"y_{c}" for c in categories]
+    chosen = chosen.groupBy("id").agg(*[F.max(y).alias(y) for y in marks]).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(key).cast("bigint").alias("id"), "text").join(F.broadcast(chosen), "id")  # sample bounds it
+    rows = rows.groupBy("id", *marks).agg(F.min("text").alias("text"))  # and these, however many rows share an id
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     rows = materialize(_features(rows, ["id", "fold", *[f"y_{c}" for c in categories]]), "labelled")
     chain, earlier = [], []

@@ -12,7 +12,8 @@ a task's share stays the same size however many captures there are; each task ha
 and a loser tree merges these k sorted slices. The result, in the order of its partitions, is the globally ordered
 capture history of every URL.
 
-The capture time of a page is not in the input: it is EPOCH plus page_id seconds, or EPOCH without an id.
+The capture time of a page is not in the input: it is EPOCH plus page_id seconds, or EPOCH without an id; ids of SPAN or
+more, and negative ones, count modulo SPAN, so that every year has four digits and times sort as text.
 
 Defined cases: a null html is an empty payload; a null url has an empty key; payloads below min_bytes are always
 responses; equal payloads under one id (repeated rows) are responses each, as are equal payloads none of which has an
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from wavetable.llm.util import materialize, scratch_path, small_batches
 
 EPOCH = 1_600_000_000
+#: Seconds from EPOCH to the end of the year 9999.
+SPAN = 253_402_300_800 - EPOCH
 #: Bytes of an archive, compressed, which one task holds.
 ARCHIVE_BYTES = 16 << 20
 #: Captures of a range of the index, which one task holds (about 500 bytes each).
@@ -70,7 +73,7 @@ def captures(pages: DataFrame, min_bytes: int = 0, key: str = "page_id") -> Data
 def _record() -> Column:
     """The record without its id line: header lines, an empty line, the HTTP head and payload of a response, the record end."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    day = lambda at: F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(at, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = lambda at: F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(at, F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     flat = lambda url: F.translate(F.coalesce(F.col(url), F.lit("")), "\r\n", "  ")
     known = lambda name, c: F.coalesce(line(name, F.col(c).cast("string")), F.lit(""))
     first = F.col("record_type") == "response"
