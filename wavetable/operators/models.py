@@ -34,6 +34,8 @@ STILL = 1e-9
 MODEL_BYTES, LOT_BYTES = 32 << 20, 64 << 20
 #: Perceptrons: hidden units, penalty, passes, rows from which a tenth is held out, and passes without gain on it after which a fit ends.
 HIDDEN, PENALTY, MLP_PASSES, HOLD_OUT_FROM, PATIENCE = 64, 1e-4, 100, 2000, 10
+#: Mean loss of a perceptron that is low enough: classes that can be parted would go on lowering it for ever.
+ENOUGH = 1e-3
 #: Steps that limited-memory BFGS remembers.
 MEMORY = 10
 
@@ -347,7 +349,7 @@ def grouped_perceptron(rows: DataFrame, configs: list[int], d: int, k: int, seed
     """Perceptrons with hidden rectified units, all configurations in the same passes.
 
     A configuration of HOLD_OUT_FROM rows or more holds out a tenth, by a hash of the vector, and keeps the weights that
-    are right most often there, ending PATIENCE passes after the last gain; a smaller one goes on until its loss stands still.
+    are right most often there, ending PATIENCE passes after the last gain; a smaller one goes on until its loss stands still or is ENOUGH.
     """
     held = F.pmod(F.xxhash64(F.col("v").cast("array<double>"), F.lit(seed)), F.lit(10)) == 0
     rows = _trained(rows).withColumn("held", held)
@@ -390,7 +392,7 @@ def grouped_perceptron(rows: DataFrame, configs: list[int], d: int, k: int, seed
             if c in early and (c not in best or sums[1] > best[c][0]):
                 best[c] = (sums[1], i, runs[c].at)
             runs[c].tell(sums[0], sums[2:])
-            if c in early and i - best[c][1] >= PATIENCE:
+            if sums[0] <= ENOUGH * counts[c] or c in early and i - best[c][1] >= PATIENCE:
                 runs[c].done = True
     lost = [c for c, x in runs.items() if not x.done]
     w = {c: best[c][2] if c in best else x.w if x.w is not None else x.at for c, x in runs.items()}
