@@ -448,26 +448,29 @@ def test_stages_on_rows_without_an_id_and_repeated_rows(spark, sf):
         assert stage(spark, docs, sf).count() >= 0, name
 
 
-def brute_text_fingerprints(text):
+def brute_similar(text):
+    """Two fingerprints of the words, and the set of five-word shingles."""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if x]
     if not w:
-        return 0, 0
+        return 0, 0, frozenset()
+    weights = {xxhash.xxh3_128_intdigest(x.encode()): len(f"{w.count(x):b}") for x in set(w)}
+    both = sum(1 << b for b in range(128) if 2 * sum(n for h, n in weights.items() if h >> b & 1) > sum(weights.values()))
+    return both >> 64, both & (1 << 64) - 1, frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
-    def majority(weights, bits):
-        return sum(1 << b for b in range(bits) if 2 * sum(n for h, n in weights.items() if h >> b & 1) > sum(weights.values()))
 
-    digest = lambda x: xxhash.xxh3_128_intdigest(x.encode())
-    grams = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {" ".join(w)}
-    return majority({digest(x) >> 64: len(f"{w.count(x):b}") for x in set(w)}, 64), majority({digest(x): 1 for x in grams}, 128)
+def brute_linked(p, q):
+    """Word fingerprints within 7 bits, and a cosine of the shingles of 0.8 or more, in integers."""
+    near = (p[0] ^ q[0]).bit_count() <= 7 or (p[1] ^ q[1]).bit_count() <= 7
+    return p[2] == q[2] or (near and 25 * len(p[2] & q[2]) ** 2 >= 16 * len(p[2]) * len(q[2]) > 0)
 
 
 def brute_first(rows):
     """Of each group of similar texts the smallest id, by all pairs."""
     from tests.llm.test_text_operators import brute_components
 
-    prints = {d: brute_text_fingerprints(t) for d, t in rows.items()}
+    prints = {d: brute_similar(t) for d, t in rows.items()}
     ids = sorted(prints)
-    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a][0] ^ prints[b][0]).bit_count() <= 7 and (prints[a][1] ^ prints[b][1]).bit_count() <= 26]
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if brute_linked(prints[a], prints[b])]
     comp = brute_components(ids, linked)
     return {d for d in ids if comp[d] == d}
 

@@ -181,12 +181,13 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize(("node_rows", "levels"), [(16_384, 2), (16, 2), (16, 1)])
-def test_similar_rows_are_those_of_all_pairs(spark, monkeypatch, node_rows, levels):
+@pytest.mark.parametrize(("node_rows", "levels", "block"), [(16_384, 2, 2 << 20), (16, 2, 4096), (16, 1, 1024)])
+def test_similar_rows_are_those_of_all_pairs(spark, monkeypatch, node_rows, levels, block):
     from tests.llm.test_other_operators import brute_first
 
     monkeypatch.setattr(simhash, "WIDE_ROWS", node_rows)
     monkeypatch.setattr(simhash, "LEVELS", levels)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]
     bases = [rng.choices(vocabulary, k=150) for _ in range(12)]
@@ -204,16 +205,53 @@ def test_recall_of_similar_texts():
     vocabulary = [f"w{i}" for i in range(2000)]
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     bits = lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    sure, may, _ = simhash.doubtful_bits(0.8)
     close, far = [], []
     for _ in range(400):
         base = [vocabulary[min(int(rng.paretovariate(0.7)), 1999)] for _ in range(rng.randrange(60, 600))]
         other = edited(rng, base, rng.randrange(1, 2 + len(base) // 20))
         a, b = grams(base), grams(other)
-        p, q = (simhash.text_fingerprints(" ".join(w).encode(), 5) for w in (base, other))
-        linked = bits(p[0], q[0]) <= simhash.WORD_RADIUS and bits(p[1], q[1]) <= 26
+        texts = [" ".join(w).encode() for w in (base, other)]
+        sets = [simhash.shingle_set(t, 5) for t in texts]
+        assert [len(x) for x in sets] == [len(a), len(b)]
+        (p, c), (q, d) = map(simhash.text_fingerprints, texts, sets)
+        counted = len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5
+        assert simhash.alike(*sets, 0.8) == counted
+        assert counted or bits(c, d) > sure
+        linked = min(bits(p[:8], q[:8]), bits(p[8:], q[8:])) <= simhash.WORD_RADIUS and bits(c, d) <= may and counted
         j = len(a & b) / len(a | b)
         (close if j >= 0.8 else far if j < 0.5 else []).append(linked)
-    assert len(close) > 50 and np.mean(close) >= 0.9 and np.mean(far or [0]) < 0.02
+    assert len(close) > 50 and np.mean(close) >= 0.9 and not any(far)
+
+
+def pairs_by_count(texts, least):
+    """(ids of distinct sets of shingles, i, j) with all pairs of such sets whose cosine is least or more, by a list of the texts of each shingle."""
+    sets = {}
+    for d, t in sorted(texts.items()):
+        w = (t or "").translate(str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})).encode().split()
+        grams = frozenset(xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 5) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        sets.setdefault(grams, d)
+    ids, n = list(sets.values()), np.array([len(s) for s in sets])
+    gram = np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in sets])
+    who = np.repeat(np.arange(len(n)), n)[order := np.argsort(gram, kind="stable")]
+    cuts = np.flatnonzero(np.diff(gram[order])) + 1
+    together = [(x[:, None] * len(n) + x)[np.triu_indices(len(x), 1)] for x in np.split(who, cuts) if len(x) > 1]
+    pair, shared = np.unique(np.concatenate(together), return_counts=True)
+    i, j = pair // len(n), pair % len(n)
+    near = shared >= least * np.sqrt(n[i] * n[j].astype(float)) - 1e-9
+    return ids, i[near], j[near]
+
+
+def test_recall_and_precision_over_a_whole_table(spark):
+    """At scale 0.1: of the pairs of different texts with a cosine of 0.8 or more nine in ten are in one group, and no group holds texts that such pairs do not lead to."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    ids, i, j = pairs_by_count({r["doc_id"]: r["text"] for r in docs.collect()}, 0.8)
+    got = {int(r["row"]): int(r["first"]) for r in simhash.similar_rows(docs.withColumn("name", F.col("doc_id").cast("string")), "name").collect()}
+    group = np.array([got[d] for d in ids])
+    assert len(i) > 200 and (group[i] == group[j]).mean() >= 0.9
+    want = brute_components(range(len(ids)), list(zip(i.tolist(), j.tolist())))
+    place = {d: k for k, d in enumerate(ids)}
+    assert all(want[place[d]] == want[place[got[d]]] for d in ids)
 
 
 def test_components_of_chains_and_stars(spark):

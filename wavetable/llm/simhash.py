@@ -13,9 +13,12 @@ compared in full.
 A node gives no pairs but a spanning forest of its links, so that very large groups of close fingerprints give one
 row for each member; connected components of these rows are the components of all links.
 
-`near_duplicates` links by one fingerprint of shingles. `similar_rows` is for whole corpora: the index holds a fingerprint
-of the words, weighed by the logarithm of their number, which few edits move little (WORD_RADIUS), and a pair that it finds is a link if the 128-bit
-fingerprints of the distinct shingles put their cosine at the similarity asked for, or above.
+`near_duplicates` links by one fingerprint of shingles. `similar_rows` is for whole corpora, where texts are linked if the
+cosine of their sets of shingles is the similarity asked for, or above. Two indexes hold independent fingerprints of
+the words, weighed by the logarithm of their number, which few edits move little (WORD_RADIUS). Of the pairs that one of them finds,
+those whose 512-bit fingerprints of the shingles allow the similarity (DEVIATIONS) are counted out by the hashes of their
+shingles, so that no pair below the similarity is a link. A node passes on a spanning tree of its sure pairs and the doubtful pairs between such trees.
+What hangs together by these pairs is dealt out in blocks of BLOCK_BYTES of shingle hashes, each pair of blocks on its own.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle; very long texts are hashed whole; repeated rows give repeated results; columns besides
@@ -44,8 +47,12 @@ SEED = 42
 NODE_ROWS = 2048
 #: The same where pairs are confirmed by a second fingerprint, and the levels of masks there.
 WIDE_ROWS, LEVELS = 16_384, 2
-#: Bits by which the fingerprints of the words of similar texts may differ.
+#: Bits by which one of the two 64-bit fingerprints of the words of similar texts may differ.
 WORD_RADIUS = 7
+#: Standard deviations around the differing bits that a similarity gives on average; within them a pair is doubtful.
+DEVIATIONS = 3
+#: Bytes of shingle hashes in one block of a group that is counted out.
+BLOCK_BYTES = 2 << 20
 #: Members of the lowest groups in a node, and groups of each upper group.
 FANOUT = 8
 #: Pairs of groups that are compared at once.
@@ -73,22 +80,53 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> bytes:
     """The bits that are set in over half of the rows of bytes, or of the weight of all rows."""
     ones = np.zeros(8 * hashes.shape[1], np.int64)
-    for a in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[a : a + (1 << 14)], axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[a : a + (1 << 14)] @ bits
+    for a in range(0, len(hashes), 255):  # as many ones as a byte counts
+        bits = np.unpackbits(hashes[a : a + 255], axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint8) if weights is None else weights[a : a + 255] @ bits
     return np.packbits(2 * ones > (len(hashes) if weights is None else weights.sum())).tobytes()
 
 
-def text_fingerprints(text: bytes, shingle: int) -> tuple[bytes, bytes]:
-    """Of the words, 8 bytes, where a word that occurs n times weighs as much as n has binary digits; of the distinct shingles, 16 bytes. No words: zeros."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles in order, none without words."""
     words = text.translate(LOWER).split()
     if not words:
-        return bytes(8), bytes(16)
-    digest, times = xxhash.xxh3_128_digest, Counter(words)
-    of_words = np.frombuffer(b"".join(map(digest, times)), np.uint8).reshape(-1, 16)[:, :8]
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    of_grams = np.frombuffer(b"".join(map(digest, grams)), np.uint8).reshape(-1, 16)
-    return _majority(of_words, np.array([n.bit_length() for n in times.values()])), _majority(of_grams)
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    first = np.concatenate([[0], ends[: max(0, len(words) - shingle)]]).tolist()
+    last = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(first, last)], np.uint64))
+
+
+def _widened(hashes: np.ndarray) -> np.ndarray:
+    """Rows of 64 bytes: eight numbers that splitmix64 draws from each hash."""
+    x = hashes[:, None] + np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.uint8)
+
+
+def text_fingerprints(text: bytes, shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """Of the words, twice 8 bytes, where a word that occurs n times weighs as much as n has binary digits; of the distinct shingles, 64 bytes. No words: zeros."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return bytes(16), bytes(64)
+    times = Counter(words)
+    of_words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, times)), np.uint8).reshape(-1, 16)
+    return _majority(of_words, np.array([n.bit_length() for n in times.values()])), _majority(_widened(shingles))
+
+
+def doubtful_bits(similarity: float) -> tuple[int, int, int]:
+    """Differing bits of 512 up to which a pair surely has the similarity, and up to which it may; and the latter of the first 128, at twice the deviations."""
+    p = np.arccos(similarity) / np.pi
+    spread = DEVIATIONS * np.sqrt(512 * p * (1 - p))
+    return int(512 * p - spread), int(np.ceil(512 * p + spread)), int(np.ceil(128 * p + spread))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether sets as of shingle_set have the cosine."""
+    return len(np.intersect1d(a, b, assume_unique=True)) >= similarity * np.sqrt(float(len(a)) * len(b)) - 1e-9
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -191,6 +229,22 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
     return label
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b) that tie together, without circles, what label does not tie yet; and the label with them."""
+    chosen = [(a[:0], b[:0])]
+    while True:
+        new = label[a] != label[b]
+        a, b = a[new], b[new]
+        if not len(a):
+            return *map(np.concatenate, zip(*chosen)), label
+        first = np.full(n, len(a))
+        for end in (a, b):
+            np.minimum.at(first, label[end], np.arange(len(a)))
+        pick = np.unique(first[first < len(a)])
+        chosen.append((a[pick], b[pick]))
+        label = forest(n, a[pick], b[pick], label)
+
+
 def parts_of(bits: list[int], n: int) -> list[list[int]]:
     return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
@@ -203,8 +257,71 @@ def _mask(bits: list[int]) -> int:
 NODE = ["mask", "bits", "i", "j"]
 
 
-def _node_links(nodes: DataFrame, radius: int, confirmed: int | None) -> DataFrame:
-    """(u, v) for a spanning forest of the links inside each node; nodes: NODE, fp, rep, and c1, c2 where confirmed says in how many of their bits linked members may differ."""
+#: The 512 bits of a fingerprint of shingles.
+WIDE = [f"c{i}" for i in range(8)]
+
+
+def _earlier(below: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of the index, sorted, and for each the masks beside it, or beside those above it, that come first (0: none). A pair's first node is where it agrees on none of these."""
+    found, work = {}, [(0, [])]
+    while work:
+        mask, before = work.pop()
+        for i, m in enumerate(below.get(mask, ())):
+            found[m] = before + below[mask][:i]
+            work.append((m, found[m]))
+    masks = np.array(sorted(found), np.int64)
+    table = np.zeros((len(masks), max(map(len, found.values()))), np.int64)
+    for row, m in zip(table, masks.tolist()):
+        row[: len(found[m])] = found[m]
+    return masks, table.view(np.uint64)
+
+
+def _forest_links(codes: np.ndarray, bounds: np.ndarray, reps: np.ndarray, radius: int) -> Iterator[list[np.ndarray]]:
+    root = np.arange(len(codes))
+    for a, b in pair_parts(codes, bounds, radius):
+        root = forest(len(codes), a, b, root)
+    tied = np.flatnonzero(root != np.arange(len(codes)))
+    yield [reps[tied], reps[root[tied]]]
+
+
+def _doubtful_links(codes: np.ndarray, bounds: np.ndarray, reps: np.ndarray, wide: np.ndarray, masks: np.ndarray, radius: int, limits: tuple[int, int, int], earlier) -> Iterator[list[np.ndarray]]:
+    """(u, v, differing bits) of a spanning tree of the sure pairs, and of the doubtful pairs that these trees do not tie; with bits -1 a forest of all of them."""
+    n, (sure, may, few) = len(codes), limits
+    differ = lambda a, b, some=wide: sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in some)
+
+    def possible(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that the trees do not tie and that may be similar, with their bits; most others go by their first bits."""
+        for near in (lambda: tree[a] != tree[b], lambda: differ(a, b, wide[:2]) <= few):
+            keep = near()
+            a, b = a[keep], b[keep]
+        bits = differ(a, b)
+        return a[bits <= may], b[bits <= may], bits[bits <= may]
+
+    tree, loose = np.arange(n), np.arange(n)
+    doubtful = False
+    for a, b in pair_parts(codes, bounds, radius):
+        a, b, bits = possible(a, b)
+        loose = forest(n, a, b, loose)
+        x, y, tree = spanning(n, a[bits <= sure], b[bits <= sure], tree)
+        yield [reps[x], reps[y], differ(x, y)]
+        doubtful |= bool((bits > sure).any())
+    tied = np.flatnonzero(loose != np.arange(n))
+    yield [reps[tied], reps[loose[tied]], np.full(len(tied), -1)]
+    if not doubtful:
+        return
+    known, before = earlier
+    at = np.searchsorted(known, masks)
+    for a, b in pair_parts(codes, bounds, radius):
+        a, b, bits = possible(a, b)
+        others = before[at[a]]
+        first = (((codes[a] ^ codes[b])[:, None] & others != 0) | (others == 0)).all(axis=1)
+        yield [reps[a[first]], reps[b[first]], bits[first]]
+
+
+def _node_links(nodes: DataFrame, radius: int, limits: tuple[int, int, int] | None, below: dict[int, list[int]]) -> DataFrame:
+    """(u, v) for a spanning forest of the links inside each node; nodes: NODE, fp, rep. With limits, and WIDE in nodes: (u, v, bits) as of _doubtful_links."""
+    names = ["u", "v", *(["bits"] if limits else [])]
+    earlier = _earlier(below) if limits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -212,21 +329,15 @@ def _node_links(nodes: DataFrame, radius: int, confirmed: int | None) -> DataFra
         def changes(rows: np.ndarray) -> np.ndarray:
             return np.flatnonzero((rows[: len(NODE), 1:] != rows[: len(NODE), :-1]).any(axis=0)) + 1
 
-        def links(rows: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate([[0], changes(rows), [rows.shape[1]]])
             codes = rows[len(NODE)].view(np.uint64)
             order = np.lexsort((gray_rank(codes), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
-            codes, reps, *second = codes[order], *(rows[i][order] for i in range(len(NODE) + 1, len(rows)))
-            root = np.arange(len(codes))
-            for a, b in pair_parts(codes, bounds, radius):
-                if confirmed is not None:
-                    new = root[a] != root[b]
-                    a, b = a[new], b[new]
-                    same = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in second) <= confirmed
-                    a, b = a[same], b[same]
-                root = forest(len(codes), a, b, root)
-            tied = np.flatnonzero(root != np.arange(len(codes)))
-            return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[root[tied]])], ["u", "v"])
+            codes, reps, wide, masks = codes[order], rows[len(NODE) + 1][order], rows[len(NODE) + 2 :][:, order], rows[0][order]
+            found = _doubtful_links(codes, bounds, reps, wide, masks, radius, limits, earlier) if limits else _forest_links(codes, bounds, reps, radius)
+            for part in found:
+                if len(part[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names)
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
@@ -235,13 +346,13 @@ def _node_links(nodes: DataFrame, radius: int, confirmed: int | None) -> DataFra
             rows = np.concatenate(held, axis=1)
             held = [rows]
             if len(change := changes(rows)):  # the last node may go on in the next batch
-                yield links(rows[:, : change[-1]])
+                yield from links(rows[:, : change[-1]])
                 held = [rows[:, change[-1] :]]
         if held and sum(x.shape[1] for x in held):
-            yield links(np.concatenate(held, axis=1))
+            yield from links(np.concatenate(held, axis=1))
 
     dealt = nodes.repartition(*NODE).sortWithinPartitions(*NODE)
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def _children(radius: int, node_rows: int, levels: int) -> dict[int, list[int]]:
@@ -257,11 +368,14 @@ def _children(radius: int, node_rows: int, levels: int) -> dict[int, list[int]]:
     return found
 
 
-def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADIUS, levels: int = 64, confirmed: int | None = None) -> DataFrame:
-    """codes: distinct (fp, rep), and c1, c2 with confirmed. Rows (u, v) of representatives that connect whatever links of codes connect."""
+def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADIUS, levels: int = 64, limits: tuple[int, int, int] | None = None) -> DataFrame:
+    """codes: distinct (fp, rep). Rows (u, v) of representatives that connect whatever links of codes connect.
+
+    With limits, as of doubtful_bits, codes have WIDE too and rows (u, v, bits) are as of _doubtful_links.
+    """
     below = _children(radius, node_rows, levels)
     inner = {m: own for m, own in below.items() if m}
-    own = ["fp", "rep", *(["c1", "c2"] if confirmed is not None else [])]
+    own = ["fp", "rep", *(WIDE if limits else [])]
 
     def spread(rows: DataFrame, masks) -> DataFrame:
         return rows.select(F.explode(masks).alias("mask"), *own).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), *own)
@@ -283,7 +397,7 @@ def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADI
         last = large.filter(~F.col("mask").isin(*inner)).select("mask", "bits", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
         some_split = bool(split.take(1))
         part = now.join(split, ["mask", "bits"], "left_anti") if some_split else now
-        part = _node_links(in_blocks(part, last if last.take(1) else None), radius, confirmed)
+        part = _node_links(in_blocks(part, last if last.take(1) else None), radius, limits, below)
         links = part if links is None else links.unionByName(part)
         if not some_split:
             return links
@@ -305,31 +419,93 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     )
 
 
+def _sets(docs: DataFrame, row: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(component, n, rep, grams): the shingle_set of each wanted (row, rep, component, n), as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_set(t, shingle).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], ["component", "n", "rep", "grams"])
+
+    texts = docs.select(F.col(row).cast("string").alias("row"), text_bytes().alias("text")).join(wanted, "row").select("component", "n", "rep", "text")
+    # a row that repeats gives one set, in each task first
+    return texts.mapInArrow(run, "component bigint, n int, rep bigint, grams binary").groupBy("component", "n", "rep").agg(F.first("grams").alias("grams"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, row: str, codes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) of those pairs (u, v, bits) that have the similarity by count, as far as they tie together what others do not."""
+    around = connected_components(pairs.filter("bits < 0").select("u", "v"))
+    members = codes.join(around, F.col("rep") == F.col("vertex")).select("rep", "component", "grams", F.col("first.row").alias("row"))
+    # blocks that bound the bytes of the sets; a component of one block is one group
+    sizes = members.groupBy("component").agg(F.least(F.ceil(F.sum("grams") * 8 / BLOCK_BYTES), F.count("*")).cast("int").alias("n"))
+    members = materialize(members.join(sizes, "component").select("row", "rep", "component", F.greatest("n", F.lit(1)).alias("n")), "members")
+    lot = lambda c: F.pmod(F.xxhash64(c), F.col("n")).cast("int")
+    sets = _sets(docs, row, members, shingle).select("component", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), lot("rep").alias("own"), F.col("rep").alias("u"), "grams")
+    sets = sets.select("component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.lit(-1).cast("bigint").alias("bits"), "u", F.lit(None).cast("bigint").alias("v"), "grams")
+    ends = pairs.filter("bits >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "bits").distinct()
+    ends = ends.join(members.select(F.col("rep").alias("u"), "component", "n"), "u").withColumns({"a": lot("u"), "b": lot("v")})
+    ends = ends.select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "bits", "u", "v", F.lit(None).cast("binary").alias("grams"))
+    key = ["component", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, root = None, {}, {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        for batch in batches:
+            out = []
+            for *group, _, u, v, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != now:
+                    now, held, root = group, {}, {}
+                if v is None:
+                    held[u] = np.frombuffer(grams, np.uint64)
+                elif (a := top(u)) != (b := top(v)) and alike(held[u], held[v], similarity):
+                    root[a] = b
+                    out.append((u, v))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["u", "v"])
+
+    # the sets of a group come first, then its pairs, the closest first
+    dealt = sets.unionByName(ends).repartition(*key).sortWithinPartitions(*key, "bits")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
 def _similar_groups(docs: DataFrame, row: str, key: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; and of each distinct one its component and first row, as (no id, id, row)."""
+    """All rows with the digest of their shingles; and of each distinct one its component and first row, as (no id, id, row)."""
     small_batches(docs.sparkSession)
-    confirmed = int(128 * np.arccos(similarity) / np.pi)
+    names = ["row", "id", "s1", "s2", "grams", "w1", "w2", *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_fingerprints(t, shingle) for t in batch.column(2).to_pylist()]
-            fp = np.frombuffer(b"".join(x for x, _ in found), "<i8")
-            pair = np.frombuffer(b"".join(x for _, x in found), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, (fp, pair[:, 0], pair[:, 1]))], ["row", "id", "fp", "c1", "c2"])
+            prints, grams = [], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_set(text, shingle)
+                words, wide = text_fingerprints(text, own)
+                grams.append(len(own))
+                prints.append(xxhash.xxh3_128_digest(own.tobytes()) + words + wide)
+            found = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 12)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(found[:, i]) for i in (0, 1)), pa.array(grams, pa.int64()), *(pa.array(found[:, i]) for i in range(2, 12))], names)
 
     rows = docs.select(F.col(row).cast("string").alias("row"), F.col(key).cast("bigint").alias("id"), text_bytes())
-    rows = materialize(rows.mapInArrow(run, "row string, id bigint, fp bigint, c1 bigint, c2 bigint"), "fingerprints")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    codes = materialize(rows.groupBy("fp", "c1", "c2").agg(first).withColumn("rep", F.monotonically_increasing_id()), "codes")
-    tied = connected_components(link_forest(codes.drop("first"), WIDE_ROWS, WORD_RADIUS, LEVELS, confirmed))
+    rows = materialize(rows.mapInArrow(run, "row string, " + ", ".join(f"{c} bigint" for c in names[1:])), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "w1", "w2")).alias("first")
+    same = [F.any_value(c).alias(c) for c in ("grams", *WIDE)]  # functions of the set of shingles
+    codes = rows.groupBy("s1", "s2").agg(first, *same).select("*", "first.w1", "first.w2", F.monotonically_increasing_id().alias("rep"))
+    codes = materialize(codes, "codes")
+    limits = doubtful_bits(similarity)
+    found = [link_forest(codes.select(F.col(w).alias("fp"), "rep", *WIDE), WIDE_ROWS, WORD_RADIUS, LEVELS, limits) for w in ("w1", "w2")]
+    pairs = materialize(found[0].unionByName(found[1]), "pairs")
+    tied = connected_components(_confirmed(pairs, docs, row, codes, shingle, similarity))
     return rows, codes.join(tied, F.col("rep") == F.col("vertex"), "left").withColumn("component", F.coalesce("component", "rep"))
 
 
 def first_rows(docs: DataFrame, row: str, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row) of each group of similar texts the row that comes first, by key (rows without one last), then by row.
 
-    row: a column that tells rows apart; repeated values are one row. Similarity is the cosine of the sets of shingles,
-    as their 128-bit fingerprints tell it: 26 differing bits at most for 0.8.
+    row: a column that tells rows apart; repeated values are one row. Similarity is the cosine of the sets of distinct shingles.
     """
     _, codes = _similar_groups(docs, row, key, shingle, similarity)
     return codes.groupBy("component").agg(F.min("first").alias("f")).select(F.col("f.row").alias("row"))
@@ -338,7 +514,7 @@ def first_rows(docs: DataFrame, row: str, key: str = "doc_id", shingle: int = 5,
 def similar_rows(docs: DataFrame, row: str, key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, first): the distinct rows with the first one of their group; as in first_rows."""
     rows, codes = _similar_groups(docs, row, key, shingle, similarity)
-    codes = materialize(codes.select("fp", "c1", "c2", "component", "first"), "named")
+    codes = materialize(codes.select("s1", "s2", "component", "first"), "named")
     firsts = codes.groupBy("component").agg(F.min("first").alias("f")).select("component", F.col("f.row").alias("first"))
     groups = codes.drop("first").join(firsts, "component").drop("component")
-    return rows.join(groups, ["fp", "c1", "c2"]).select("row", "first").distinct()
+    return rows.join(groups, ["s1", "s2"]).select("row", "first").distinct()
