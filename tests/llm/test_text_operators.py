@@ -205,7 +205,7 @@ def test_recall_of_similar_texts():
     vocabulary = [f"w{i}" for i in range(2000)]
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     bits = lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
-    sure, may, _ = simhash.doubtful_bits(0.8)
+    may, _ = simhash.doubtful_bits(0.8)
     close, far = [], []
     for _ in range(400):
         base = [vocabulary[min(int(rng.paretovariate(0.7)), 1999)] for _ in range(rng.randrange(60, 600))]
@@ -217,7 +217,6 @@ def test_recall_of_similar_texts():
         (p, c), (q, d) = map(simhash.text_fingerprints, texts, sets)
         counted = len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5
         assert simhash.alike(*sets, 0.8) == counted
-        assert counted or bits(c, d) > sure
         linked = min(bits(p[:8], q[:8]), bits(p[8:], q[8:])) <= simhash.WORD_RADIUS and bits(c, d) <= may and counted
         j = len(a & b) / len(a | b)
         (close if j >= 0.8 else far if j < 0.5 else []).append(linked)

@@ -16,9 +16,9 @@ row for each member; connected components of these rows are the components of al
 `near_duplicates` links by one fingerprint of shingles. `similar_rows` is for whole corpora, where texts are linked if the
 cosine of their sets of shingles is the similarity asked for, or above. Two indexes hold independent fingerprints of
 the words, weighed by the logarithm of their number, which few edits move little (WORD_RADIUS). Of the pairs that one of them finds,
-those whose 512-bit fingerprints of the shingles allow the similarity (DEVIATIONS) are counted out by the hashes of their
-shingles, so that no pair below the similarity is a link. A node passes on a spanning tree of its sure pairs and the doubtful pairs between such trees.
-What hangs together by these pairs is dealt out in blocks of BLOCK_BYTES of shingle hashes, each pair of blocks on its own.
+those whose 512-bit fingerprints of the shingles allow the similarity (DEVIATIONS) tie groups together. A group is dealt out in
+blocks of BLOCK_BYTES. Each pair of blocks meets in one task, where pairs as the above, the closest first, are counted out by the hashes of
+their shingles unless links tie them already; no pair below the similarity is a link.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle; very long texts are hashed whole; repeated rows give repeated results; columns besides
@@ -117,11 +117,11 @@ def text_fingerprints(text: bytes, shingles: np.ndarray) -> tuple[bytes, bytes]:
     return _majority(of_words, np.array([n.bit_length() for n in times.values()])), _majority(_widened(shingles))
 
 
-def doubtful_bits(similarity: float) -> tuple[int, int, int]:
-    """Differing bits of 512 up to which a pair surely has the similarity, and up to which it may; and the latter of the first 128, at twice the deviations."""
+def doubtful_bits(similarity: float) -> tuple[int, int]:
+    """Differing bits of 512 up to which a pair may have the similarity; and of the first 128, at twice the deviations."""
     p = np.arccos(similarity) / np.pi
     spread = DEVIATIONS * np.sqrt(512 * p * (1 - p))
-    return int(512 * p - spread), int(np.ceil(512 * p + spread)), int(np.ceil(128 * p + spread))
+    return int(np.ceil(512 * p + spread)), int(np.ceil(128 * p + spread))
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -229,22 +229,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
     return label
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the pairs (a, b) that tie together, without circles, what label does not tie yet; and the label with them."""
-    chosen = [(a[:0], b[:0])]
-    while True:
-        new = label[a] != label[b]
-        a, b = a[new], b[new]
-        if not len(a):
-            return *map(np.concatenate, zip(*chosen)), label
-        first = np.full(n, len(a))
-        for end in (a, b):
-            np.minimum.at(first, label[end], np.arange(len(a)))
-        pick = np.unique(first[first < len(a)])
-        chosen.append((a[pick], b[pick]))
-        label = forest(n, a[pick], b[pick], label)
-
-
 def parts_of(bits: list[int], n: int) -> list[list[int]]:
     return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
@@ -261,67 +245,20 @@ NODE = ["mask", "bits", "i", "j"]
 WIDE = [f"c{i}" for i in range(8)]
 
 
-def _earlier(below: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The masks of the index, sorted, and for each the masks beside it, or beside those above it, that come first (0: none). A pair's first node is where it agrees on none of these."""
-    found, work = {}, [(0, [])]
-    while work:
-        mask, before = work.pop()
-        for i, m in enumerate(below.get(mask, ())):
-            found[m] = before + below[mask][:i]
-            work.append((m, found[m]))
-    masks = np.array(sorted(found), np.int64)
-    table = np.zeros((len(masks), max(map(len, found.values()))), np.int64)
-    for row, m in zip(table, masks.tolist()):
-        row[: len(found[m])] = found[m]
-    return masks, table.view(np.uint64)
-
-
-def _forest_links(codes: np.ndarray, bounds: np.ndarray, reps: np.ndarray, radius: int) -> Iterator[list[np.ndarray]]:
-    root = np.arange(len(codes))
-    for a, b in pair_parts(codes, bounds, radius):
-        root = forest(len(codes), a, b, root)
-    tied = np.flatnonzero(root != np.arange(len(codes)))
-    yield [reps[tied], reps[root[tied]]]
-
-
-def _doubtful_links(codes: np.ndarray, bounds: np.ndarray, reps: np.ndarray, wide: np.ndarray, masks: np.ndarray, radius: int, limits: tuple[int, int, int], earlier) -> Iterator[list[np.ndarray]]:
-    """(u, v, differing bits) of a spanning tree of the sure pairs, and of the doubtful pairs that these trees do not tie; with bits -1 a forest of all of them."""
-    n, (sure, may, few) = len(codes), limits
-    differ = lambda a, b, some=wide: sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in some)
-
-    def possible(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs that the trees do not tie and that may be similar, with their bits; most others go by their first bits."""
-        for near in (lambda: tree[a] != tree[b], lambda: differ(a, b, wide[:2]) <= few):
-            keep = near()
-            a, b = a[keep], b[keep]
-        bits = differ(a, b)
-        return a[bits <= may], b[bits <= may], bits[bits <= may]
-
-    tree, loose = np.arange(n), np.arange(n)
-    doubtful = False
-    for a, b in pair_parts(codes, bounds, radius):
-        a, b, bits = possible(a, b)
-        loose = forest(n, a, b, loose)
-        x, y, tree = spanning(n, a[bits <= sure], b[bits <= sure], tree)
-        yield [reps[x], reps[y], differ(x, y)]
-        doubtful |= bool((bits > sure).any())
-    tied = np.flatnonzero(loose != np.arange(n))
-    yield [reps[tied], reps[loose[tied]], np.full(len(tied), -1)]
-    if not doubtful:
-        return
-    known, before = earlier
-    at = np.searchsorted(known, masks)
-    for a, b in pair_parts(codes, bounds, radius):
-        a, b, bits = possible(a, b)
-        others = before[at[a]]
-        first = (((codes[a] ^ codes[b])[:, None] & others != 0) | (others == 0)).all(axis=1)
-        yield [reps[a[first]], reps[b[first]], bits[first]]
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the columns of x and y."""
+    return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x, y))
+
+
+def _maybe(wide: np.ndarray, a: np.ndarray, b: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+    """Places of the pairs that may be similar; most others go by their first bits."""
+    may, few = limits
+    near = np.flatnonzero(_bits(wide[:2, a], wide[:2, b]) <= few)
+    return near[_bits(wide[:, a[near]], wide[:, b[near]]) <= may]
 
 
-def _node_links(nodes: DataFrame, radius: int, limits: tuple[int, int, int] | None, below: dict[int, list[int]]) -> DataFrame:
-    """(u, v) for a spanning forest of the links inside each node; nodes: NODE, fp, rep. With limits, and WIDE in nodes: (u, v, bits) as of _doubtful_links."""
-    names = ["u", "v", *(["bits"] if limits else [])]
-    earlier = _earlier(below) if limits else None
+def _node_links(nodes: DataFrame, radius: int, limits: tuple[int, int] | None) -> DataFrame:
+    """(u, v) for a spanning forest of the links inside each node; nodes: NODE, fp, rep, and WIDE where limits, as of doubtful_bits, leave pairs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -329,15 +266,21 @@ def _node_links(nodes: DataFrame, radius: int, limits: tuple[int, int, int] | No
         def changes(rows: np.ndarray) -> np.ndarray:
             return np.flatnonzero((rows[: len(NODE), 1:] != rows[: len(NODE), :-1]).any(axis=0)) + 1
 
-        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def links(rows: np.ndarray) -> pa.RecordBatch:
             bounds = np.concatenate([[0], changes(rows), [rows.shape[1]]])
             codes = rows[len(NODE)].view(np.uint64)
             order = np.lexsort((gray_rank(codes), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
-            codes, reps, wide, masks = codes[order], rows[len(NODE) + 1][order], rows[len(NODE) + 2 :][:, order], rows[0][order]
-            found = _doubtful_links(codes, bounds, reps, wide, masks, radius, limits, earlier) if limits else _forest_links(codes, bounds, reps, radius)
-            for part in found:
-                if len(part[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names)
+            codes, reps, wide = codes[order], rows[len(NODE) + 1][order], rows[len(NODE) + 2 :][:, order]
+            root = np.arange(len(codes))
+            for a, b in pair_parts(codes, bounds, radius):
+                if limits:
+                    new = root[a] != root[b]
+                    a, b = a[new], b[new]
+                    near = _maybe(wide, a, b, limits)
+                    a, b = a[near], b[near]
+                root = forest(len(codes), a, b, root)
+            tied = np.flatnonzero(root != np.arange(len(codes)))
+            return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[root[tied]])], ["u", "v"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
@@ -346,13 +289,13 @@ def _node_links(nodes: DataFrame, radius: int, limits: tuple[int, int, int] | No
             rows = np.concatenate(held, axis=1)
             held = [rows]
             if len(change := changes(rows)):  # the last node may go on in the next batch
-                yield from links(rows[:, : change[-1]])
+                yield links(rows[:, : change[-1]])
                 held = [rows[:, change[-1] :]]
         if held and sum(x.shape[1] for x in held):
-            yield from links(np.concatenate(held, axis=1))
+            yield links(np.concatenate(held, axis=1))
 
     dealt = nodes.repartition(*NODE).sortWithinPartitions(*NODE)
-    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
 def _children(radius: int, node_rows: int, levels: int) -> dict[int, list[int]]:
@@ -368,10 +311,10 @@ def _children(radius: int, node_rows: int, levels: int) -> dict[int, list[int]]:
     return found
 
 
-def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADIUS, levels: int = 64, limits: tuple[int, int, int] | None = None) -> DataFrame:
+def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADIUS, levels: int = 64, limits: tuple[int, int] | None = None) -> DataFrame:
     """codes: distinct (fp, rep). Rows (u, v) of representatives that connect whatever links of codes connect.
 
-    With limits, as of doubtful_bits, codes have WIDE too and rows (u, v, bits) are as of _doubtful_links.
+    With limits, as of doubtful_bits, codes have WIDE too, and only pairs within the limits are links.
     """
     below = _children(radius, node_rows, levels)
     inner = {m: own for m, own in below.items() if m}
@@ -397,7 +340,7 @@ def link_forest(codes: DataFrame, node_rows: int = NODE_ROWS, radius: int = RADI
         last = large.filter(~F.col("mask").isin(*inner)).select("mask", "bits", F.ceil(F.col("count") / node_rows).cast("int").alias("n"))
         some_split = bool(split.take(1))
         part = now.join(split, ["mask", "bits"], "left_anti") if some_split else now
-        part = _node_links(in_blocks(part, last if last.take(1) else None), radius, limits, below)
+        part = _node_links(in_blocks(part, last if last.take(1) else None), radius, limits)
         links = part if links is None else links.unionByName(part)
         if not some_split:
             return links
@@ -419,58 +362,83 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     )
 
 
+#: What a block has of each member beside the shingles, and what a member counts for it.
+PRINTS, MEMBER_BYTES = ["w1", "w2", *WIDE], 1024
+
+
 def _sets(docs: DataFrame, row: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(component, n, rep, grams): the shingle_set of each wanted (row, rep, component, n), as bytes."""
+    """(rep, grams): the shingle_set of each wanted (row, rep), as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingle_set(t, shingle).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], ["component", "n", "rep", "grams"])
+            grams = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["rep", "grams"])
 
-    texts = docs.select(F.col(row).cast("string").alias("row"), text_bytes().alias("text")).join(wanted, "row").select("component", "n", "rep", "text")
+    texts = docs.select(F.col(row).cast("string").alias("row"), text_bytes().alias("text")).join(wanted, "row").select("rep", "text")
     # a row that repeats gives one set, in each task first
-    return texts.mapInArrow(run, "component bigint, n int, rep bigint, grams binary").groupBy("component", "n", "rep").agg(F.first("grams").alias("grams"))
+    return texts.mapInArrow(run, "rep bigint, grams binary").groupBy("rep").agg(F.first("grams").alias("grams"))
+
+
+def _block_links(reps: np.ndarray, own: np.ndarray, prints: np.ndarray, grams: list[np.ndarray], i: int, j: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the members of block i and those of block j that tie together all that links there tie."""
+    root = list(range(len(reps)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    words, wide, limits, found = prints[:2], prints[2:], doubtful_bits(similarity), []
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+        new = a < b if i == j else np.arange(len(a))
+        a, b = a[new], b[new]
+        near = np.minimum(_bits(words[:1, a], words[:1, b]), _bits(words[1:, a], words[1:, b])) <= WORD_RADIUS
+        a, b = a[near], b[near]
+        near = _maybe(wide, a, b, limits)
+        a, b = a[near], b[near]
+        found.append(np.stack([_bits(wide[:, a], wide[:, b]), a, b]))
+    found = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    links = []
+    for a, b in found[1:, np.argsort(found[0], kind="stable")].T.tolist():
+        if (x := top(a)) != (y := top(b)) and alike(grams[a], grams[b], similarity):
+            root[x] = y
+            links.append((int(reps[a]), int(reps[b])))
+    return links
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, row: str, codes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v) of those pairs (u, v, bits) that have the similarity by count, as far as they tie together what others do not."""
-    around = connected_components(pairs.filter("bits < 0").select("u", "v"))
-    members = codes.join(around, F.col("rep") == F.col("vertex")).select("rep", "component", "grams", F.col("first.row").alias("row"))
-    # blocks that bound the bytes of the sets; a component of one block is one group
-    sizes = members.groupBy("component").agg(F.least(F.ceil(F.sum("grams") * 8 / BLOCK_BYTES), F.count("*")).cast("int").alias("n"))
-    members = materialize(members.join(sizes, "component").select("row", "rep", "component", F.greatest("n", F.lit(1)).alias("n")), "members")
-    lot = lambda c: F.pmod(F.xxhash64(c), F.col("n")).cast("int")
-    sets = _sets(docs, row, members, shingle).select("component", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"), lot("rep").alias("own"), F.col("rep").alias("u"), "grams")
-    sets = sets.select("component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.lit(-1).cast("bigint").alias("bits"), "u", F.lit(None).cast("bigint").alias("v"), "grams")
-    ends = pairs.filter("bits >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "bits").distinct()
-    ends = ends.join(members.select(F.col("rep").alias("u"), "component", "n"), "u").withColumns({"a": lot("u"), "b": lot("v")})
-    ends = ends.select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "bits", "u", "v", F.lit(None).cast("binary").alias("grams"))
+    """(u, v) of links by count inside what the pairs (u, v) tie together."""
+    around = connected_components(pairs)
+    members = codes.join(around, F.col("rep") == F.col("vertex")).select("rep", "component", "grams", F.col("first.row").alias("row"), *PRINTS)
+    sizes = members.groupBy("component").agg(F.least(F.ceil(F.sum(F.col("grams") * 8 + MEMBER_BYTES) / BLOCK_BYTES), F.count("*")).cast("int").alias("n"))
+    members = materialize(members.drop("grams").join(sizes, "component"), "members")
+    dealt = members.drop("row").join(_sets(docs, row, members.select("row", "rep"), shingle), "rep")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     key = ["component", "i", "j"]
+    dealt = dealt.select("component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "rep", "own", *PRINTS, "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, root = None, {}, {}
+        now, held = None, []
 
-        def top(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = x = root.get(up, up)
-            return x
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                numbers = np.array([x[:-1] for x in held], np.int64).T
+                found = _block_links(numbers[0], numbers[1], numbers[2:], [np.frombuffer(x[-1], np.uint64) for x in held], *now[1:], similarity)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
 
         for batch in batches:
-            out = []
-            for *group, _, u, v, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                if group != now:
-                    now, held, root = group, {}, {}
-                if v is None:
-                    held[u] = np.frombuffer(grams, np.uint64)
-                elif (a := top(u)) != (b := top(v)) and alike(held[u], held[v], similarity):
-                    root[a] = b
-                    out.append((u, v))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["u", "v"])
-
-    # the sets of a group come first, then its pairs, the closest first
-    dealt = sets.unionByName(ends).repartition(*key).sortWithinPartitions(*key, "bits")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+            for component, i, j, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (component, i, j) != now:
+                    yield from links()
+                    now, held = (component, i, j), []
+                held.append(member)
+        yield from links()
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "u bigint, v bigint")
 
 
 def _similar_groups(docs: DataFrame, row: str, key: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
