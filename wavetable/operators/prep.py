@@ -10,6 +10,8 @@ from wavetable.schema import CLASSES, UNKNOWN
 
 FIRST_SAMPLES = 10_000
 PITCH_UM = 20.0
+#: Fixed value: sources of fewer bytes may hold nothing but zeros, and are looked into.
+DEAD_BYTES = 200 * 1024 * 1024
 EPS = 1e-8
 
 
@@ -28,6 +30,16 @@ def slab(samples: DataFrame, t0: float, t1: float, fs: float, scale: float = 1e6
     return samples.filter((F.col(order) >= round(t0 * fs)) & (F.col(order) < round(t1 * fs))).withColumn("value", F.col("value") * scale)
 
 
+def dead_by_size(samples: DataFrame, sizes: DataFrame, keys: list[str], block: int, most_bytes: int = DEAD_BYTES, order: str = "sample_ix") -> DataFrame:
+    """(keys, size_bytes, looks_dead, is_dead): the samples of sources below most_bytes, or of unknown size, decide; others are live and none of theirs is read further.
+
+    sizes: keys, size_bytes; a row for each source. A small source without samples is dead.
+    """
+    screened = sizes.select(*keys, "size_bytes", (F.coalesce("size_bytes", F.lit(0)) < most_bytes).alias("looks_dead"))
+    looked = dead(samples.join(screened.filter("looks_dead").select(*keys), keys, "left_semi"), keys, block, order)
+    return screened.join(looked, keys, "left").withColumn("is_dead", F.col("looks_dead") & F.coalesce("is_dead", F.lit(True)))
+
+
 def dead(samples: DataFrame, keys: list[str], block: int, order: str = "sample_ix") -> DataFrame:
     """(keys, is_dead): all zeros in a block at the beginning, in the middle and at the end."""
     n = samples.groupBy(*keys).agg(F.max(order).alias("_last"))

@@ -17,6 +17,7 @@ from wavetable.operators import models as E
 from wavetable.operators import shift as H
 from wavetable.operators import splits as C
 from wavetable.plans.registry import query, r
+from wavetable.sources import partitions
 from wavetable.sources import views as V
 from wavetable.sources.scratch import scratch_path
 
@@ -385,3 +386,25 @@ def feature_cache(spark, sf):
     for _ in range(2):
         found = cache.get_or_build("amplitude", 1, index.count(), lambda: built.append(1) or D.amplitude(index))
     return found.select("chunk_id", F.col("v")[0].alias("f0"), F.col("v")[1].alias("f1"), F.lit(len(built) == 1).alias("kept"))
+
+
+@query(f"""{CH}, {SCALED}, g AS (SELECT DISTINCT grp FROM chunks), b AS (SELECT grp, row_number() OVER (ORDER BY grp) = 1 AS twice FROM g)
+SELECT chunk_id, grp, {r('log10(greatest(CASE WHEN twice THEN sd * 10 ELSE sd END, 1e-12))', 'f0')}, {r('mean', 'f1')}, CASE WHEN twice THEN 2 ELSE 1 END::bigint n_built FROM sc JOIN chunks USING (chunk_id) JOIN b USING (grp)""")
+def feature_rebuild(spark, sf):
+    """Features of the whole index after the deviations of one group changed; n_built: how often the builder saw the group."""
+    index, seen = _index(spark, sf).select("chunk_id", "grp", "scale_std_uv", "scale_mean_uv"), []
+    first = index.agg(F.min("grp").alias("first"))
+    changed = index.join(F.broadcast(first)).withColumn("scale_std_uv", F.col("scale_std_uv") * F.when(F.col("grp") == F.col("first"), 10).otherwise(1)).drop("first")  # one row
+    cache = partitions.PartitionedCache(spark, scratch_path(spark, "features"))
+
+    def build(rows):
+        seen.append(rows.select("grp").distinct())
+        return D.amplitude(rows)
+
+    for version in (index, changed):
+        found = cache.get_or_build("amplitude", version, ["chunk_id", "scale_std_uv", "scale_mean_uv"], build)
+    counts = seen[0]
+    for more in seen[1:]:
+        counts = counts.unionByName(more)
+    counts = counts.groupBy("grp").agg(F.count("*").alias("n_built"))
+    return found.join(index.select("chunk_id", "grp"), "chunk_id").join(counts, "grp").select("chunk_id", "grp", F.col("v")[0].alias("f0"), F.col("v")[1].alias("f1"), "n_built")

@@ -8,7 +8,7 @@ from wavetable.functions import labels as L
 from wavetable.operators import prep as B
 from wavetable.plans import build
 from wavetable.plans.registry import query, r
-from wavetable.sources import store
+from wavetable.sources import partitions, store
 from wavetable.sources import views as V
 from wavetable.sources.scratch import scratch_path
 
@@ -243,3 +243,25 @@ def sink_tables(spark, sf):
         got = spark.read.schema(report.schema).option("header", True).format(kind).load(path).withColumn("kind", F.lit(kind))
         out = got if out is None else out.unionByName(got)
     return out
+
+
+@query(f"{C} SELECT row_number() OVER (ORDER BY md5(chunk_id::varchar), chunk_id) - 1 AS \"order\", chunk_id, grp, channel, {r('list_sum(wave::DOUBLE[])', 'total')} FROM chunks WHERE gid = 3")
+def take_from_spans(spark, sf):
+    """The chunks of one group, in a shuffled order, from a store written by ranges of ids."""
+    from wavetable.operators.ranks import ranked
+
+    c, path = V.chunks(spark, sf), scratch_path(spark, "by-id")
+    partitions.write_by_id(c, path, span=500)
+    ordered = ranked(c.filter("gid = 3").select("chunk_id").withColumn("_o", F.md5(F.col("chunk_id").cast("string").cast("binary"))), ["_o", "chunk_id"])
+    found = partitions.take_by_id(spark, path, ordered.select("chunk_id", (F.col("rank") - 1).alias("order")), span=500)
+    return found.select("order", "chunk_id", "grp", "channel", F.aggregate("wave", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query("""WITH z AS (SELECT o_orderkey AS source, o_totalprice::DOUBLE size_bytes FROM orders), s AS (SELECT l_orderkey AS source, l_linenumber - 1 AS ix, max(floor(l_discount * 12)) v FROM lineitem GROUP BY 1, 2),
+n AS (SELECT source, max(ix) z FROM s GROUP BY 1), d AS (SELECT source, bool_and(v = 0) dead FROM s JOIN n USING (source) WHERE ix < 1 OR (ix >= z // 2 AND ix < z // 2 + 1) OR ix >= z GROUP BY 1)
+SELECT source, round(size_bytes, 2) + 0e0 AS size_bytes, size_bytes < 100000 AS looks_dead, size_bytes < 100000 AND coalesce(dead, true) AS is_dead FROM z LEFT JOIN d USING (source)""")
+def size_screen(spark, sf):
+    """Orders as sources, their lines as samples: only sources below a size are looked into."""
+    samples = V.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source"), (F.col("l_linenumber") - 1).alias("sample_ix")).agg(F.max(F.floor(F.col("l_discount") * 12)).alias("value"))
+    sizes = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("source"), F.round(F.col("o_totalprice").cast("double"), 2).alias("size_bytes"))
+    return B.dead_by_size(samples, sizes, ["source"], 1, most_bytes=100_000)

@@ -13,7 +13,9 @@ from wavetable.plans import reports as K_
 from wavetable.plans import sweep as S
 from wavetable.plans.q_metrics import BIG, SQL_CALIBRATION, sql_report
 from wavetable.plans.registry import query, r
+from wavetable.sources import partitions
 from wavetable.sources import views as V
+from wavetable.sources.scratch import scratch_path
 
 K = V.K
 
@@ -342,3 +344,21 @@ def early_stop(spark, sf):
 def sem_by_level(spark, sf):
     return K_.mean_and_error(M.with_probabilities(V.big(spark, sf), K), ["gid", "label"], "conf")
 
+
+
+@query(f"{FOLDS} SELECT features, control, fold, {r("balanced_accuracy / CASE WHEN features = 'set1' THEN 2 ELSE 1 END", 'balanced_accuracy')} FROM fm")
+def replaced_results(spark, sf):
+    """Fold metrics by feature set on disk, after one set was replaced in place."""
+    f, path = _folds(spark, sf).select("features", "control", "fold", "balanced_accuracy"), scratch_path(spark, "results")
+    partitions.replace_partitions(f, path, ["features"])
+    partitions.replace_partitions(f.filter("features = 'set1'").withColumn("balanced_accuracy", F.col("balanced_accuracy") / 2), path, ["features"])
+    return spark.read.parquet(path).select("features", "control", "fold", "balanced_accuracy")
+
+
+@query(f"{BIG} SELECT gid, count(*) n, {', '.join(r(f'avg(p{i})', f'p_{i}') for i in range(K))} FROM pr GROUP BY 1")
+def saved_predictions(spark, sf):
+    """Mean probabilities of each group from the saved rows of the real model; those of a permuted control beside them are not saved."""
+    rows, path = M.with_probabilities(V.big(spark, sf), K), scratch_path(spark, "predictions")
+    both = rows.select("gid", "p", F.explode(F.array(F.lit(0), F.lit(1))).alias("draw"))
+    partitions.save_predictions(both.withColumn("p", F.when(F.col("draw") == 0, F.col("p")).otherwise(F.reverse("p"))), path, ["gid"], [str(i) for i in range(K)])
+    return spark.read.parquet(path).groupBy(F.col("gid").cast("int").alias("gid")).agg(F.count("*").alias("n"), *[F.avg(f"p_{i}").alias(f"p_{i}") for i in range(K)])

@@ -11,6 +11,7 @@ from wavetable.operators import metrics as M
 from wavetable.operators import models as E
 from wavetable.operators import splits as C
 from wavetable.operators.shift import centred_by_group
+from wavetable.sources.partitions import save_predictions
 from wavetable.sources.scratch import materialize
 
 
@@ -147,11 +148,19 @@ def discriminator(sets: dict[str, tuple[DataFrame, int]], folds: DataFrame, posi
     return out, summary
 
 
-def adaptation(rows: DataFrame, folds: DataFrame, d: int, k: int) -> DataFrame:
-    """Report for each scheme of the head on vectors as they are and on vectors centred by group, with how well the dataset can be told from them (identity_auc; null with one dataset)."""
+def adaptation(rows: DataFrame, folds: DataFrame, d: int, k: int, save: str | None = None) -> DataFrame:
+    """Report for each scheme of the head on vectors as they are and on vectors centred by group, with how well the dataset can be told from them (identity_auc; null with one dataset).
+
+    save: a folder for the predictions of both runs, by run and scheme, as p_<class>.
+    """
     out, names = None, sorted(x["dataset"] for x in rows.select("dataset").distinct().collect())  # a row for each dataset
     for name, own in (("uncentred", rows), ("centred", centred_by_group(rows))):
-        part = M.full_report(judged(fitted_folds(own, folds, d, k)), ["scheme"], k).drop("per_class_recall").withColumn("run", F.lit(name))
+        found = fitted_folds(own, folds, d, k)
+        if save:
+            found = materialize(found, "adapted")
+            kept = found.select("chunk_id", "grp", "label", "scheme", "fold", "draw", "p", F.lit(name).alias("run"))
+            save_predictions(kept, save, ["run", "scheme"], [str(i) for i in range(k)])
+        part = M.full_report(judged(found), ["scheme"], k).drop("per_class_recall").withColumn("run", F.lit(name))
         if len(names) == 2:
             part = part.crossJoin(F.broadcast(identity_probe(own, C.paired_holdout(own), d, names[1]).agg(F.avg("auc").alias("identity_auc"))))  # one row
         else:
