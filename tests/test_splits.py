@@ -89,3 +89,44 @@ def test_permutation_keeps_the_counts(index):
 
 def test_class_counts_has_absent_classes(index):
     assert {r["label"]: r["n"] for r in C.class_counts(index).collect()}[4] == 0
+
+
+def test_shuffles_are_bijections_and_even():
+    import numpy as np
+
+    from wavetable.functions.hashing import swap_or_not
+
+    for n in (1, 2, 3, 7, 64, 1000):
+        for s in (1, 2, 77, 2**28):
+            x = np.arange(n)
+            assert sorted(swap_or_not(x, np.full(n, n), np.full(n, s)).tolist()) == x.tolist()
+    n, draws = 7, 20_000
+    starts = np.random.default_rng(0).integers(1, 2**28, draws)
+    to = np.stack([swap_or_not(np.full(draws, i), np.full(draws, n), starts) for i in range(n)])
+    single = np.stack([np.bincount(to[i], minlength=n) for i in range(n)])
+    assert ((single - draws / n) ** 2 / (draws / n)).sum() < 36 + 5 * np.sqrt(2 * 36)  # chi-square of 36 degrees
+    pairs = np.bincount(to[0] * n + to[1], minlength=n * n)[[i * n + j for i in range(n) for j in range(n) if i != j]]
+    expected = draws / len(pairs)
+    assert ((pairs - expected) ** 2 / expected).sum() < 41 + 5 * np.sqrt(2 * 41)
+    big = 2**40
+    far = swap_or_not(np.arange(4096) * 2**20, np.full(4096, big), np.full(4096, 5))
+    assert len(set(far.tolist())) == 4096 and 0 <= far.min() and far.max() < big and abs(far.mean() / big - 0.5) < 0.04
+
+
+def test_draws_deal_the_labels_of_each_key(spark):
+    from collections import Counter
+
+    rows = [(g, i, (i * i + len(g or "")) % 3) for g in ("a", "bb", None) for i in range(60 if g == "a" else 5)]
+    df = spark.createDataFrame(rows, "grp string, chunk_id long, label int")
+    got = C.permuted_draws(df, ["grp"], "chunk_id", [1, 2, 3]).collect()
+    assert len(got) == 3 * len(rows) and len({(r["grp"], r["draw"], r["chunk_id"]) for r in got}) == len(got)
+    for g in ("a", "bb", None):
+        own = Counter(x[2] for x in rows if x[0] == g)
+        assert all(Counter(r["label"] for r in got if r["grp"] == g and r["draw"] == d) == own for d in (1, 2, 3))
+    dealt = {d: [r["label"] for r in sorted((r for r in got if r["grp"] == "a" and r["draw"] == d), key=lambda r: r["chunk_id"])] for d in (1, 2, 3)}
+    assert dealt[1] != dealt[2] != dealt[3] and dealt[1] != [x[2] for x in rows if x[0] == "a"]
+    again = C.permuted_draws(df.repartition(5), ["grp"], "chunk_id", [2]).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in got if r["draw"] == 2}
+    whole = df.filter("grp = 'a'").drop("grp")
+    assert Counter(r["label"] for r in C.permuted_draws(whole, [], "chunk_id", [1]).collect()) == Counter(x[2] for x in rows if x[0] == "a")
+    assert C.permuted_draws(df.limit(0), ["grp"], "chunk_id", [1]).count() == 0

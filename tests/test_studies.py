@@ -14,6 +14,7 @@ from wavetable.operators import shift as H
 from wavetable.operators import splits as C
 from wavetable.plans import reports as K
 from wavetable.plans import sweep as S
+from wavetable.sources.scratch import scratch_path
 from wavetable.sources import store
 
 
@@ -106,8 +107,12 @@ def test_identity_is_seen_and_then_centred_away(spark):
 def test_centring_recovers_a_shifted_lab(spark):
     rows = separable(spark, shift=1.0)
     folds = C.cross_lab_folds(rows, "A", "B")
-    got = {r["run"]: r["balanced_accuracy"] for r in S.adaptation(rows, folds, 3, 3).collect()}
+    path = scratch_path(spark, "adapted")
+    got = {r["run"]: r["balanced_accuracy"] for r in S.adaptation(rows, folds, 3, 3, save=path).collect()}
     assert got["uncentred"] < 0.7 < got["centred"]
+    saved = spark.read.parquet(path).groupBy("run").agg(F.count("*").alias("n"), F.avg(F.col("p_0") + F.col("p_1") + F.col("p_2")).alias("total")).collect()
+    n = rows.filter("dataset = 'B'").count()
+    assert {(r["run"], r["n"], round(r["total"], 9)) for r in saved} == {("uncentred", n, 1.0), ("centred", n, 1.0)}
 
 
 def test_fusion_helps(spark):

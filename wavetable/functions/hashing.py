@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rounds of shuffled_place, and the multiplier and prime modulus from which their constants are drawn.
+ROUNDS, MULTIPLIER, PRIME = 64, 48271, 2**31 - 1
 
 
 def order_key(seed: int | str, *keys: Column) -> Column:
@@ -14,3 +20,29 @@ def order_key(seed: int | str, *keys: Column) -> Column:
 def uniform(seed: int | str, *keys: Column) -> Column:
     """Double in [0, 1) from the first 32 bits of the md5."""
     return F.conv(F.substring(order_key(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def swap_or_not(x: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """A bijection of 0 to n - 1 for each s, place by place: in each round x and k - x (mod n) change places or not, as a hash of the larger says.
+
+    k and the hash's terms come from a sequence that begins at s (1 to PRIME - 1). Any n up to 2**62 goes, without walking cycles.
+    """
+    for _ in range(rounds):
+        a = s * MULTIPLIER % PRIME
+        b = a * MULTIPLIER % PRIME
+        s = b * MULTIPLIER % PRIME
+        other = ((a * 2**31 + b) % n - x) % n
+        t = (np.maximum(x, other) % PRIME + s) % PRIME
+        x = np.where((t * t % PRIME * t + a) % PRIME % 2 == 1, other, x)
+    return x
+
+
+@F.pandas_udf(T.LongType())
+def shuffled_place(place: pd.Series, n: pd.Series, start: pd.Series) -> pd.Series:
+    """swap_or_not of a column of places."""
+    return pd.Series(swap_or_not(place.to_numpy(np.int64), n.to_numpy(np.int64), start.to_numpy(np.int64)))
+
+
+def shuffle_start(seed: int | str, *keys: Column) -> Column:
+    """Where the sequence of a shuffle begins: 1 to 2**28, from the md5."""
+    return F.conv(F.substring(order_key(seed, *keys), 1, 7), 16, 10).cast("long") + 1

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavetable.functions.hashing import order_key
+from wavetable.functions.hashing import order_key, shuffle_start, shuffled_place
 from wavetable.operators.ranks import ranked
+from wavetable.sources.scratch import materialize
 
 VAL, TEST = 0.30, 0.15
 FOLD_VAL = 0.25
@@ -175,6 +176,21 @@ def permuted_labels(df: DataFrame, keys: list[str], key: str, label: str = "labe
     return ordered.join(shuffled.select(*keys, "rank", label), [*keys, "rank"]).drop("rank")
 
 
+def permuted_draws(df: DataFrame, keys: list[str], key: str, draws: list[int], label: str = "label", seed: int = 0) -> DataFrame:
+    """(keys, draw, key, label): for each draw the labels dealt anew inside each value of keys, with one ranking for all draws.
+
+    Row number r of n takes the label of row number pi(r), where pi is a bijection of the numbers for each (keys, draw),
+    so that each draw costs a join and no sorting. key is unique within keys; keys without rows give none; null is a key.
+    """
+    own = F.to_json(F.struct(*keys)) if keys else F.lit("")  # one name of a key's values, null ones too
+    placed = materialize(ranked(df.select(*keys, own.alias("_own"), key, label), [key], ["_own"], "_rank"), "places")
+    sizes = placed.groupBy("_own").agg(F.count("*").alias("_n"))
+    asked = placed.drop(label).join(sizes, "_own").withColumn("draw", F.explode(F.array(*[F.lit(int(d)) for d in draws])))
+    start = shuffle_start(seed, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*keys, "draw"]])
+    asked = asked.withColumn("_rank", shuffled_place(F.col("_rank") - 1, F.col("_n"), start) + 1)
+    return asked.join(placed.select("_own", "_rank", label), ["_own", "_rank"]).select(*keys, "draw", key, label)
+
+
 def class_counts(df: DataFrame, label: str = "label", classes: int = 5) -> DataFrame:
     """Every class with its rows, 0 included."""
     all_ = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(label))

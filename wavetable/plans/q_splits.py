@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wavetable.functions.hashing import ROUNDS
 from wavetable.operators import splits as C
 from wavetable.plans.registry import query
 from wavetable.schema import in_view
@@ -139,6 +140,20 @@ def permuted_labels(spark, sf):
     return C.permuted_labels(_big_id(spark, sf), ["gid"], "id").select("id", "gid", "label")
 
 
+#: The bijection round by round: x and its partner change places or not.
+SQL_SHUFFLE = f"""pl AS (SELECT id, gid, label, row_number() OVER (PARTITION BY gid ORDER BY id) - 1 x, count(*) OVER (PARTITION BY gid) n FROM b),
+st AS (SELECT i, gid, draw, id, n, x, s FROM (SELECT 0 i, gid, draw, id, n, x, cast(concat('0x', substr(md5(concat('0:', gid, ':', draw)), 1, 7)) AS bigint) + 1 s FROM pl, range(1, 3) t(draw))
+UNION ALL SELECT i + 1, gid, draw, id, n, CASE WHEN ((t * t % 2147483647) * t + a) % 2147483647 % 2 = 1 THEN o ELSE x END, c FROM (
+SELECT *, (greatest(x, o) % 2147483647 + c) % 2147483647 t FROM (SELECT *, (((a * 2147483648 + b) % n - x) % n + n) % n o FROM (
+SELECT *, b * 48271 % 2147483647 c FROM (SELECT *, a * 48271 % 2147483647 b FROM (SELECT *, s * 48271 % 2147483647 a FROM st WHERE i < {ROUNDS}))))))"""
+
+
+@query(f"{BIG_IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {SQL_SHUFFLE} SELECT st.id, st.gid, draw::int draw, pl.label FROM st JOIN pl ON pl.gid = st.gid AND pl.x = st.x WHERE i = {ROUNDS}")
+def permuted_draws(spark, sf):
+    """Two draws of labels, dealt anew inside each group."""
+    return C.permuted_draws(_big_id(spark, sf), ["gid"], "id", [1, 2]).select("id", "gid", "draw", "label")
+
+
 @query(f"{W_BIG} SELECT i::int AS label, coalesce(n, 0) n FROM range(0, 5) t(i) LEFT JOIN (SELECT label, count(*) n FROM big WHERE label IN (0, 2, 3, 4) GROUP BY 1) ON label = i")
 def class_counts(spark, sf):
     return C.class_counts(in_view(V.big(spark, sf), "4class"))

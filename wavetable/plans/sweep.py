@@ -48,7 +48,7 @@ def fitted_folds(
     """Test rows of every fold with p, from one model for each distinct training set and draw.
 
     rows: chunk_id, grp, label, v. folds: scheme, fold, part, grp. Draw 0 has the true labels; draws 1 to `draws` are
-    trained on labels that are dealt anew, by the order of a hash, among the training rows; after the first, among
+    trained on labels that are dealt anew, by a bijection of row numbers, among the training rows; after the first, among
     extra_rows of them at most. Adds scheme, fold, draw. A fold whose training rows have fewer than two classes, or that
     has no test row, gives no rows. train: other rows to train on, such as a capped sample; the test is always all of rows.
     Each row is in the training table once, with the numbers of the models that it trains and its labels in them.
@@ -60,10 +60,9 @@ def fitted_folds(
     tasks = F.transform("sets", lambda s: F.struct((s * per).alias("config"), F.col("label").cast("int").alias("label")))
     if draws:
         ids = joined.select(F.explode("sets").alias("set"), "chunk_id", "label")
-        copies = ids.withColumn("draw", F.lit(1))
+        dealt = C.permuted_draws(ids, ["set"], "chunk_id", [1], seed=seed)
         if draws > 1:
-            copies = copies.unionByName(C.keyed_sample(ids, extra_rows, ["set"], ["chunk_id"], seed).withColumn("draw", F.explode(F.sequence(F.lit(2), F.lit(draws)))))
-        dealt = C.permuted_labels(copies.withColumn("id", F.concat_ws(":", "draw", "chunk_id")), ["set", "draw"], "id", seed=seed)
+            dealt = dealt.unionByName(C.permuted_draws(C.keyed_sample(ids, extra_rows, ["set"], ["chunk_id"], seed), ["set"], "chunk_id", list(range(2, draws + 1)), seed=seed))
         more = dealt.groupBy("chunk_id").agg(F.collect_list(F.struct((F.col("set") * per + F.col("draw")).alias("config"), F.col("label").cast("int").alias("label"))).alias("more"))
         joined = joined.join(more, "chunk_id", "left")
         tasks = F.concat(tasks, F.coalesce("more", F.slice(tasks, 1, 0)))
