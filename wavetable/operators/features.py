@@ -107,9 +107,10 @@ def whitened(chunks: DataFrame, references: DataFrame, fs: float, group: str = "
     return joined.withColumn(wave, dsp.referenced_function(lambda x, ref: dsp.whiten(x, ref, fs))(F.col(wave), F.col("reference"))).drop("reference")
 
 
-def fit_references(chunks: DataFrame, fs: float, sample: int = 400, width: int = 512, group: str = "grp", key: str = "chunk_id", wave: str = "wave") -> DataFrame:
-    """(group, reference): mean spectrum of a sample of each group's chunks."""
-    some = keyed_sample(chunks.select(group, key, wave), sample, [group], [key])
+def fit_references(chunks: DataFrame, fs: float, sample: int | None = 400, width: int = 512, group: str = "grp", key: str = "chunk_id", wave: str = "wave") -> DataFrame:
+    """(group, reference): mean spectrum of a sample of each group's chunks; with None of all of them."""
+    some = chunks.select(group, key, wave)
+    some = some if sample is None else keyed_sample(some, sample, [group], [key])
     return as_vector(mean_spectrum(some.withColumn("psd", psd(F.col(wave), fs, width)), [group]), [group])
 
 
