@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 
 from tests.test_queries import rows
 from wavetable.functions.hashing import swap_or_not
+from wavetable.operators import metrics as M
 from wavetable.operators import splits as C
 from wavetable.operators.ranks import placed
 from wavetable.plans.queries import ORACLE_SQL, QUERIES
@@ -44,3 +45,20 @@ def test_shuffles_go_back(spark):
         for n in (rng.integers(1, high, 3000), np.full(9000, high)):
             x, s = (rng.random(len(n)) * n).astype(np.int64) % n, np.full(len(n), 77)
             assert (swap_or_not(swap_or_not(x, n, s), n, s, back=True) == x).all()
+
+
+def test_a_report_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(300).selectExpr("id % 3 fold", "cast(id % 2 as int) label", "array(0.3D, 0.7D) p", "0.7D conf", "1 pred", "cast(id % 2 as double) hit", "id <> 5 converged")
+    got = M.full_report(rows.mapInArrow(counted, rows.schema), ["fold"], 2, ("converged",)).orderBy("fold").collect()
+    assert seen.value == 300
+    for x in got:
+        assert x["n"] == 100 and x["converged"] == (x["fold"] != 2)
+        assert abs(x["accuracy"] - 0.5) < 1e-12 and abs(x["ece"] - 0.2) < 1e-12 and abs(x["brier"] - (2 * 0.3**2 + 2 * 0.7**2) / 2) < 1e-12
+        assert abs(x["nll"] + (np.log(0.3) + np.log(0.7)) / 2) < 1e-12 and abs(x["mean_conf"] - 0.7) < 1e-12
