@@ -17,8 +17,8 @@ row for each member; connected components of these rows are the components of al
 cosine of their sets of shingles is the similarity asked for, or above. Two indexes hold independent fingerprints of
 the words, weighed by the logarithm of their number, which few edits move little (WORD_RADIUS). Of the pairs that one of them finds,
 those whose 512-bit fingerprints of the shingles allow the similarity (DEVIATIONS) tie groups together. A group is dealt out in
-blocks of BLOCK_BYTES. Each pair of blocks meets in one task, where pairs as the above, the closest first, are counted out by the hashes of
-their shingles unless links tie them already; no pair below the similarity is a link.
+blocks of BLOCK_BYTES. Each pair of blocks meets in one task, where pairs as the above, CHUNK at a time and of these the closest first, are counted
+out by the hashes of their shingles unless links tie them already; no pair below the similarity is a link.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle; very long texts are hashed whole; repeated rows give repeated results; columns besides
@@ -55,8 +55,8 @@ DEVIATIONS = 3
 BLOCK_BYTES = 2 << 20
 #: Members of the lowest groups in a node, and groups of each upper group.
 FANOUT = 8
-#: Pairs of groups that are compared at once.
-CHUNK = 1 << 20
+#: Pairs of groups, and of members, that are compared at once (a few hundred bytes of memory each).
+CHUNK = 1 << 16
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -389,23 +389,24 @@ def _block_links(reps: np.ndarray, own: np.ndarray, prints: np.ndarray, grams: l
         return x
 
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    words, wide, limits, found = prints[:2], prints[2:], doubtful_bits(similarity), []
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
+    words, wide, limits, links = prints[:2], prints[2:], doubtful_bits(similarity), []
+    step = max(1, CHUNK // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some, tops = left[at : at + step], np.array([top(x) for x in range(len(root))])
         a, b = np.repeat(some, len(right)), np.tile(right, len(some))
-        new = a < b if i == j else np.arange(len(a))
+        new = tops[a] != tops[b]
+        if i == j:
+            new &= a < b
         a, b = a[new], b[new]
         near = np.minimum(_bits(words[:1, a], words[:1, b]), _bits(words[1:, a], words[1:, b])) <= WORD_RADIUS
         a, b = a[near], b[near]
         near = _maybe(wide, a, b, limits)
         a, b = a[near], b[near]
-        found.append(np.stack([_bits(wide[:, a], wide[:, b]), a, b]))
-    found = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-    links = []
-    for a, b in found[1:, np.argsort(found[0], kind="stable")].T.tolist():
-        if (x := top(a)) != (y := top(b)) and alike(grams[a], grams[b], similarity):
-            root[x] = y
-            links.append((int(reps[a]), int(reps[b])))
+        closest = np.argsort(_bits(wide[:, a], wide[:, b]), kind="stable")
+        for a, b in zip(a[closest].tolist(), b[closest].tolist()):
+            if (x := top(a)) != (y := top(b)) and alike(grams[a], grams[b], similarity):
+                root[x] = y
+                links.append((int(reps[a]), int(reps[b])))
     return links
 
 
