@@ -83,3 +83,31 @@ def test_a_store_is_built_from_filtered_blocks(spark):
     assert {r["channel"]: r["reason"] for r in ledger.collect()} == {3: "all zeros", 4: "no complete live window"}
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(signal" not in plan
+
+
+def loop(sos, x):
+    """Forward and backward over a whole channel in doubles, sample by sample."""
+    edge = dsp.edge_of(sos)
+    wide = [2 * x[0] - x[i] for i in range(edge, 0, -1)] + list(x) + [2 * x[-1] - x[-1 - i] for i in range(1, edge + 1)]
+    for _ in range(2):
+        state = [float(v) for v in (dsp.settled(sos) * wide[0]).ravel()]
+        out = []
+        for u in wide:
+            for i, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+                y = b0 * u + state[2 * i]
+                state[2 * i], state[2 * i + 1] = b1 * u - a1 * y + state[2 * i + 1], b2 * u - a2 * y
+                u = y
+            out.append(u)
+        wide = out[::-1]
+    return wide[edge:-edge]
+
+
+def test_plain_blocks_have_the_bits_of_a_loop_over_the_channel(many_ranges):
+    rng = np.random.default_rng(5)
+    signals = {("g", 0): rng.gamma(2.0, 30.0, 6000).round(2), ("h", 0): rng.gamma(2.0, 30.0, 400).round(2), ("h", 1): rng.gamma(2.0, 30.0, 30).round(2)}
+    placed = G.placed_blocks(blocks_of(many_ranges, signals, 16), KEYS)
+    low, high = G.chain(64.0, 32.0)[0]
+    got = joined(G.preprocess_blocks(placed, KEYS, 64.0, 32.0, plain=True))
+    assert got.keys() == signals.keys()
+    for k, x in signals.items():
+        assert got[k].tolist() == [v * 1e6 for v in loop(high, loop(low, x.tolist())[::2])]

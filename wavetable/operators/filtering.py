@@ -5,6 +5,11 @@ when it begins at rest. Each block gives that state; the maps, a few numbers for
 totals: ranges of (keys, order), one map for each range, the states at the beginning of the ranges, then those of the
 blocks inside. Each block then runs from its own state. The way back does the same from the other end.
 
+plain gives the bits of one loop in doubles over a whole channel: states found by maps are only guesses of where ranges of
+blocks begin. A range that begins elsewhere than the one before it ended runs again from there, until none does. The first
+range begins right, so there are as many rounds as ranges of a channel at most; two runs from nearly the same state soon meet
+unless the cut is very low for the rate, so that few rounds are usual.
+
 Defined cases: blocks may have any sizes, and null and empty ones count as nothing; the odd extension at both ends is a
 block of its own, put together from the few samples that it mirrors; a channel that is no longer than that extension raises,
 as it does in dsp.zero_phase (long_enough tells such channels); values that are not finite spread to the whole channel.
@@ -17,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavetable.functions import dsp
@@ -137,11 +143,66 @@ def _one_way(blocks: DataFrame, keys: list[str], sos: np.ndarray, back: bool) ->
     return out.select(*keys, "pos", "size", (F.reverse("samples") if back else F.col("samples")).alias("samples"))
 
 
-def zero_phase_blocks(placed: DataFrame, keys: list[str], sos: np.ndarray) -> DataFrame:
-    """placed (keys, pos, size, samples) filtered forward and backward; the same as dsp.zero_phase of each whole channel."""
+def _one_way_plain(blocks: DataFrame, keys: list[str], sos: np.ndarray, back: bool) -> DataFrame:
+    """_one_way with the bits of a loop in doubles; tasks go through sorted rows and hold no more than a batch of them."""
+    at = -(F.col("pos") + F.col("size")) if back else F.col("pos")
+    turned = blocks.select(*keys, at.cast("long").alias("at"), "pos", "size", (F.reverse("samples") if back else F.col("samples")).alias("samples"))
+    kinds = [f"`{c}` {t}" for c, t in blocks.select(*keys).dtypes]
+    parts = materialize(turned.repartitionByRange(*keys, "at").withColumn("part", F.spark_partition_id()), "parts")
+    by = [*keys, "part"]
+
+    def from_starts(starts: DataFrame, run, schema: list[str]) -> DataFrame:
+        return parts.join(starts, by).repartition("part").sortWithinPartitions("part", *keys, "at").mapInPandas(run, ", ".join([*kinds, *schema]))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list]]:
+        """Frames with the filtered samples in place of samples, and (keys and part, samples so far, first sample, begin, state) after each row."""
+        now = None
+        for frame in batches:
+            out, after = [], []
+            for *key, x, begin in zip(*(frame[c].astype(object) for c in by), frame["samples"], frame["state"]):
+                x = np.asarray(x, float).tolist()
+                if key != now:
+                    now, n, u, state = key, 0, x[0], [float(v) for v in begin]
+                out.append(dsp.run_plain(sos, x, state))
+                n += len(x)
+                after.append((*key, n, u, list(begin), list(state)))
+            yield frame.assign(samples=pd.Series(out, index=frame.index, dtype=object)), after
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, last = [*by, "size", "u", "state", "end"], None
+        for _, after in runs(batches):
+            rows = ([last] if last else []) + after
+            done = [a for a, b in zip(rows, rows[1:]) if a[: len(by)] != b[: len(by)]]
+            last = rows[-1] if rows else None
+            yield pd.DataFrame(done, columns=names)
+        if last:
+            yield pd.DataFrame([last], columns=names)
+
+    def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, _ in runs(batches):
+            yield frame[[*keys, "pos", "size", "samples"]]
+
+    end_kinds = ["part int", "size long", "u double", "state array<double>", "end array<double>"]
+    rest = from_starts(parts.select(*by).distinct().withColumn("state", F.array(*[F.lit(0.0)] * (2 * len(sos)))), ends, end_kinds)
+    guess = block_states(rest.select(*keys, F.col("part").cast("long").alias("at"), "size", F.col("end").alias("left"), "u"), keys, sos)
+    known = materialize(from_starts(guess.select(*keys, F.col("at").cast("int").alias("part"), "state"), ends, end_kinds).select(*by, "state", "end"), "runs")
+    while True:
+        before = F.lag("end").over(W.partitionBy(*keys).orderBy("part"))  # a row for each range of a channel
+        moved = known.select(*by, "state", F.coalesce(before, "state").alias("begin")).filter(~F.col("begin").eqNullSafe(F.col("state")))
+        moved = materialize(moved.select(*by, F.col("begin").alias("state")), "moved")
+        if not moved.take(1):
+            break
+        known = materialize(known.join(moved, by, "left_anti").unionByName(from_starts(moved, ends, end_kinds).select(*by, "state", "end")), "runs")
+    out = from_starts(known.select(*by, "state"), filtered, ["pos long", "size int", "samples array<double>"])
+    return out.withColumn("samples", F.reverse("samples")) if back else out
+
+
+def zero_phase_blocks(placed: DataFrame, keys: list[str], sos: np.ndarray, plain: bool = False) -> DataFrame:
+    """placed (keys, pos, size, samples) filtered forward and backward; the same as dsp.zero_phase of each whole channel, or with plain as a loop in doubles."""
+    one_way = _one_way_plain if plain else _one_way
     wide = materialize(extended(placed, keys, dsp.edge_of(sos)), "extended")
-    there = materialize(_one_way(wide, keys, sos, back=False), "forward")
-    back = _one_way(there, keys, sos, back=True)
+    there = materialize(one_way(wide, keys, sos, back=False), "forward")
+    back = one_way(there, keys, sos, back=True)
     end = back.join(placed.groupBy(*keys).agg(F.sum("size").alias("_n")), keys)
     return end.filter((F.col("pos") >= 0) & (F.col("pos") < F.col("_n"))).select(*keys, "pos", "size", "samples")
 
@@ -160,10 +221,10 @@ def chain(fs: float, target: float, cut: float = 0.1) -> tuple[list[np.ndarray],
     return [*low, dsp.butterworth(2, cut, fs / step, "high")], [1] * len(low) + [step]
 
 
-def preprocess_blocks(placed: DataFrame, keys: list[str], fs: float, target: float, cut: float = 0.1) -> DataFrame:
+def preprocess_blocks(placed: DataFrame, keys: list[str], fs: float, target: float, cut: float = 0.1, plain: bool = False) -> DataFrame:
     """dsp.preprocess of each whole channel: low-pass, decimation by a whole factor, high-pass; volts to microvolts."""
     sections, steps = chain(fs, target, cut)
     if len(sections) > 1:
-        placed = materialize(decimated(zero_phase_blocks(placed, keys, sections[0]), keys, steps[-1]), "decimated")
-    out = zero_phase_blocks(placed, keys, sections[-1])
+        placed = materialize(decimated(zero_phase_blocks(placed, keys, sections[0], plain), keys, steps[-1]), "decimated")
+    out = zero_phase_blocks(placed, keys, sections[-1], plain)
     return out.withColumn("samples", F.transform("samples", lambda x: x * 1e6))
