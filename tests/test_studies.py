@@ -14,7 +14,7 @@ from wavetable.operators import shift as H
 from wavetable.operators import splits as C
 from wavetable.plans import reports as K
 from wavetable.plans import sweep as S
-from wavetable.sources.scratch import scratch_path
+from wavetable.sources.scratch import materialize, scratch_path
 from wavetable.sources import store
 
 
@@ -272,6 +272,19 @@ def test_extra_draws_train_on_few_rows(spark):
     assert got.groupBy("draw").count().select("count").distinct().count() == 1 and {r["draw"] for r in got.select("draw").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_draws_train_on_every_row_of_large_folds(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(S, "materialize", lambda df, name: kept.append((name, materialize(df, name))) or kept[-1][1])
+    rows = spark.range(24_500).selectExpr("id chunk_id", "if(id < 24000, 'a', 'b') grp", "cast(id % 3 as int) label", "array(cast(id % 3 + id % 7 as double)) v")
+    folds = spark.createDataFrame([("s", "f", "train", "a"), ("s", "f", "test", "b")], "scheme string, fold string, part string, grp string")
+    got = {r["control"]: r for r in S.sweep({"one": (rows, 1)}, folds, 3, draws=3).collect()}
+    assert got[True]["draws"] == 3 and got[True]["n_train"] == got[False]["n_train"] == 24_000
+    (table,) = [t for name, t in kept if name == "training"]
+    counts = table.select(F.explode(F.arrays_zip("configs", "labels")).alias("x")).groupBy("x.configs", "x.labels").count().collect()
+    assert {(r["configs"], r["labels"]): r["count"] for r in counts} == {(c, y): 8000 for c in range(4) for y in range(3)}
+    assert table.select(F.transform("configs", lambda c: F.get(F.col("labels"), F.array_position("configs", c).cast("int") - 1)).alias("x")).filter("x[1] <> x[2]").count() > 12_000
+
+
 def test_identity_auc_after_centring(spark):
     rows = separable(spark, shift=1.0)
     got = {r["run"]: r["identity_auc"] for r in S.adaptation(rows, C.cross_lab_folds(rows, "A", "B"), 3, 3).collect()}
