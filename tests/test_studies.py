@@ -285,6 +285,28 @@ def test_draws_train_on_every_row_of_large_folds(spark, monkeypatch):
     assert table.select(F.transform("configs", lambda c: F.get(F.col("labels"), F.array_position("configs", c).cast("int") - 1)).alias("x")).filter("x[1] <> x[2]").count() > 12_000
 
 
+def test_training_sets_have_the_same_numbers_however_folds_are_dealt_out(spark):
+    folds = spark.createDataFrame([("s", f"f{i}", "train", f"g{j}") for i in range(12) for j in range(i + 1)], "scheme string, fold string, part string, grp string")
+    rows = spark.createDataFrame([(f"g{i}", label) for i in range(12) for label in (0, 1)], "grp string, label int")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(S.training_sets(rows, folds.repartition(int(n)))[0])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and sorted(found[0].values()) == list(range(12))
+
+
+def test_test_rows_stay_where_they_are(spark):
+    rows = separable(spark).repartition(4)
+    folds = C.leave_one_out(rows, "A")
+    number, _ = S.training_sets(rows, folds)
+    asked = S.asked_rows(rows, folds, number)
+    assert asked.count() == rows.filter("dataset = 'A'").count()
+    assert "hashpartitioning(grp" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_identity_auc_after_centring(spark):
     rows = separable(spark, shift=1.0)
     got = {r["run"]: r["identity_auc"] for r in S.adaptation(rows, C.cross_lab_folds(rows, "A", "B"), 3, 3).collect()}
